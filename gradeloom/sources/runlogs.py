@@ -56,13 +56,19 @@ def corrupt_blocks(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def contact_edges(rounds: DataFrame, text: str = "text") -> DataFrame:
-    """(round, node, neighbour) from a JSON list of maps; an empty list keeps its node
-    with a null neighbour."""
+    """(..., round, node, neighbour) from a JSON list of maps.
+
+    A node with an empty list stays, with a null neighbour.
+    """
+    rest = [c for c in rounds.columns if c != text]
     parsed = F.from_json(F.col(text), CONTACT_SCHEMA)
-    per_round = rounds.select(F.posexplode(parsed).alias("round", "contacts"))
-    per_node = per_round.select("round", F.explode("contacts").alias("node", "neighbours"))
+    per_round = rounds.select(*rest, F.posexplode(parsed).alias("round", "contacts"))
+    per_node = per_round.select(*rest, "round", F.explode("contacts").alias("node", "neighbours"))
     return per_node.select(
-        "round", F.col("node").cast("int"), F.explode_outer("neighbours").alias("neighbour")
+        *rest,
+        "round",
+        F.col("node").cast("int").alias("node"),
+        F.explode_outer("neighbours").alias("neighbour"),
     )
 
 
