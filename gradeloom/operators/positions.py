@@ -37,19 +37,21 @@ def running(
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
     block: Column | None = None,
+    width: int = BLOCK_ROWS,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running values per group in the given order.
 
     ``values`` maps an output name to ``("sum" | "max", expression)``. With
     ``inclusive=False`` a row sees the rows before it only (null for the first).
-    ``block`` must grow with the order; by default ranges of the first order column.
+    ``block`` must grow with the order; by default it is ranges of the first order
+    column, ``width`` wide.
     """
     key, blk = "_group", "_block"
     work = df.select(
         "*",
         F.struct(*[F.col(g) for g in group] or [F.lit(0).alias("all")]).alias(key),
-        (block_of(F.col(order[0])) if block is None else block).alias(blk),
+        (block_of(F.col(order[0]), width) if block is None else block).alias(blk),
         *[expr.alias(f"_in_{name}") for name, (_, expr) in values.items()],
     )
     fold = {"sum": F.sum, "max": F.max}
@@ -92,13 +94,14 @@ def with_position(
     group: Sequence[str] = (),
     name: str = "ordinal",
     block: Column | None = None,
+    width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """0-based position of each row, in its group or in the whole table.
 
     The first order column is an integer that, with the others, is unique in its
     group (or ``block`` says how to cut the order into bounded ranges).
     """
-    counted = running(df, group, order, {name: ("sum", F.lit(1).cast("bigint"))}, block)
+    counted = running(df, group, order, {name: ("sum", F.lit(1).cast("bigint"))}, block, width)
     return counted.withColumn(name, F.col(name) - 1)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.operators.positions import running, with_position
+from gradeloom.operators.positions import BLOCK_ROWS, running, with_position
 
 
 def best_so_far(
@@ -16,6 +16,7 @@ def best_so_far(
     step: str,
     valid: str = "valid_acc",
     carried: Sequence[str] = ("test_acc",),
+    width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best validation score up to each step and the other scores at that step.
 
@@ -32,7 +33,7 @@ def best_so_far(
             *[F.col(c).cast("double").alias(c) for c in carried],
         ),
     )
-    out = running(history, run, [step], {"_best": ("max", candidate)})
+    out = running(history, run, [step], {"_best": ("max", candidate)}, width=width)
     return out.select(
         *history.columns,
         F.coalesce(F.col("_best.score"), F.lit(0.0)).alias("best_val_acc"),
@@ -74,6 +75,7 @@ def running_mean(
     sets: str | None = None,
     bias: float = 1e-8,
     name: str = "running_mean",
+    width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean since the last reset; without a sample since then, the last mean before it.
 
@@ -85,7 +87,7 @@ def running_mean(
     is_set = F.lit(False) if sets is None else F.coalesce(F.col(sets), F.lit(False))
     total, count, was_set, mark = (f"_{x}_{name}" for x in ("s", "n", "set", "epoch"))
     breaks = F.col(reset).cast("bigint") + is_set.cast("bigint")
-    marked = running(log, metric, [order], {mark: ("sum", breaks)}, inclusive=False)
+    marked = running(log, metric, [order], {mark: ("sum", breaks)}, width=width, inclusive=False)
     marked = marked.withColumn(
         mark, F.coalesce(F.col(mark), F.lit(0)) + is_set.cast("bigint")
     )
@@ -98,11 +100,12 @@ def running_mean(
             count: ("sum", F.col(value).isNotNull().cast("bigint")),
             was_set: ("max", is_set),
         },
+        width=width,
     )
     start = F.when(F.col(was_set), F.lit(0.0)).otherwise(F.lit(bias))
     here = F.when(F.col(count) >= 1, F.col(total) / (F.col(count) + start))
     latest = F.when(here.isNotNull(), F.struct(F.col(order).alias("at"), here.alias("mean")))
-    carried = running(summed, metric, [order], {"_latest": ("max", latest)})
+    carried = running(summed, metric, [order], {"_latest": ("max", latest)}, width=width)
     return carried.select(
         *log.columns, F.coalesce(F.col("_latest.mean"), F.lit(0.0)).alias(name)
     )
