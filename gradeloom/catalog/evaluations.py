@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.catalog.answers import _SHAPES, _answer_pairs
 from gradeloom.catalog.registry import query, table
 from gradeloom.operators.positions import with_position
-from gradeloom.operators.splits import parity_split
+from gradeloom.operators.splits import parity_position, parity_split
 from gradeloom.plans import evaluate as V
 from gradeloom.plans.spec import TASKS, few_shot
 
@@ -239,7 +239,7 @@ def eval_routed(spark: SparkSession, sf: str) -> DataFrame:
     generations = texts.select("sample_id", F.inline(answers))
     experts = generations.select("expert_label").distinct()
     return V.routed_answers(
-        samples, classified, generations, experts, V.letter_answers, languages=()
+        samples, classified, generations, experts, V.grade_letters
     ).metrics
 
 
@@ -257,8 +257,10 @@ def eval_routed(spark: SparkSession, sf: str) -> DataFrame:
 def split_report(spark: SparkSession, sf: str) -> DataFrame:
     samples, generations = _letters(spark, sf)
     placed = with_position(samples.drop("ordinal"), ["sample_id"])
-    split = placed.withColumn("split", parity_split(F.col("ordinal")))
-    split = with_position(split, ["ordinal"], ["split"], "split_ordinal")
+    place = F.col("ordinal")
+    split = placed.withColumns(
+        {"split": parity_split(place), "split_ordinal": parity_position(place)}
+    )
     details = V.letter_answers(split, generations, languages=()).details
     return V.split_report(details, train_head=64)
 

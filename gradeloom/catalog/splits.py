@@ -177,9 +177,11 @@ def step_batches(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def train_head(spark: SparkSession, sf: str) -> DataFrame:
-    split = _documents(spark, sf).withColumn("split", S.parity_split(F.col("ordinal")))
-    placed = with_position(split, ["ordinal"], ["split"], "split_ordinal")
-    return S.head_of_split(placed, "train", 64).select("doc_id", "split_ordinal")
+    place = F.col("ordinal")
+    split = _documents(spark, sf).withColumns(
+        {"split": S.parity_split(place), "split_ordinal": S.parity_position(place)}
+    )
+    return S.head_of_split(split, "train", 64).select("doc_id", "split_ordinal")
 
 
 @query("SELECT doc_id, source, 'acc_fr' AS metric FROM documents WHERE lang = 'fr'")

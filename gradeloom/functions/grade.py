@@ -75,14 +75,10 @@ def numbers_agree(
     value: Column, reference: Column, percent: bool = True, rel_tol: float = 1e-4
 ) -> Column:
     """Closeness to the reference, or to it read as a percentage either way."""
-    agree = is_close(reference, value, rel_tol)
-    if percent:
-        agree = (
-            agree
-            | is_close(reference / 100, value, rel_tol)
-            | is_close(reference * 100, value, rel_tol)
-        )
-    return agree
+    if not percent:
+        return is_close(reference, value, rel_tol)
+    readings = F.array(reference / 100, reference, reference * 100)
+    return F.exists(readings, lambda r: is_close(r, value, rel_tol))
 
 
 def _wrapped(text: Column, left: str, right: str) -> Column:
@@ -93,9 +89,12 @@ def _bare_equal(a: Column, b: Column) -> Column:
     outer = (_wrapped(a, "[", "]") & ~b.startswith("(")) | (
         _wrapped(a, "(", ")") & ~b.startswith("[")
     )
-    left = F.when(outer, F.btrim(a, F.lit("[]()"))).otherwise(a)
-    right = F.when(outer, F.btrim(b, F.lit("[]()"))).otherwise(b)
-    return F.translate(left, "{}()", "") == F.translate(right, "{}()", "")
+    sides = F.array(a, b)
+    trimmed = F.when(
+        outer, F.transform(sides, lambda t: F.btrim(t, F.lit("[]()")))
+    ).otherwise(sides)
+    bare = F.transform(trimmed, lambda t: F.translate(t, "{}()", ""))
+    return let(lambda pair: pair[0] == pair[1], bare)
 
 
 def same_without_brackets(a: Column, b: Column) -> Column:
@@ -128,28 +127,31 @@ def answers_equal(
     """
 
     def parts_equal(a: Column, b: Column) -> Column:
+        def compare(g: Column, p: Column) -> Column:
+            alike = F.zip_with(
+                g, p, lambda x, y: answers_equal(x, y, percent, rel_tol, depth - 1)
+            )
+            return (F.size(g) == F.size(p)) & F.forall(alike, lambda ok: ok)
+
         if depth == 0:
             return F.lit(False)
-        alike = F.zip_with(
-            _parts(a),
-            _parts(b),
-            lambda g, p: answers_equal(g, p, percent, rel_tol, depth - 1),
-        )
-        same_size = F.size(_parts(a)) == F.size(_parts(b))
-        return _both_wrapped(a, b) & same_size & F.forall(alike, lambda ok: ok)
+        same = let(compare, _parts(a), _parts(b))
+        return _both_wrapped(a, b) & F.coalesce(same, F.lit(False))
 
     def texts_equal(a: Column, b: Column) -> Column:
-        return _bare_equal(a, b) | F.coalesce(parts_equal(a, b), F.lit(False))
+        return _bare_equal(a, b) | parts_equal(a, b)
 
-    def decide(a: Column, b: Column, x: Column, y: Column) -> Column:
+    def decide(sides: Column, values: Column) -> Column:
+        x, y = values[0], values[1]
         return (
             F.when(x.isNotNull() & y.isNotNull(), numbers_agree(x, y, percent, rel_tol))
-            .when(a == "", F.lit(False))
-            .otherwise(let(texts_equal, strip(a), strip(b)))
+            .when(sides[0] == "", F.lit(False))
+            .otherwise(let(texts_equal, strip(sides[0]), strip(sides[1])))
         )
 
     return let(
-        lambda a, b: let(decide, a, b, as_number(a), as_number(b)), gold, prediction
+        lambda sides: let(decide, sides, F.transform(sides, as_number)),
+        F.array(gold, prediction),
     )
 
 
@@ -169,30 +171,27 @@ def latex_verdict(
     (unequal, but only algebra could tell for certain).
     """
 
-    def forms(g: Column, p: Column, raw: Column) -> Column:
-        a = F.when(raw, g).otherwise(latex.normalize(g))
-        b = F.when(raw, p).otherwise(latex.normalize(p))
-        return let(judge, a, b, raw)
+    def forms(sides: Column) -> Column:
+        return let(normal, sides, F.exists(sides, latex.abnormal))
 
-    def judge(a: Column, b: Column, raw: Column) -> Column:
-        equal = F.when(a == b, F.lit(True)).otherwise(
-            answers_equal(a, b, percent, rel_tol)
-        )
-        return let(flags, a, b, raw, equal)
+    def normal(sides: Column, raw: Column) -> Column:
+        chosen = F.when(raw, sides).otherwise(F.transform(sides, latex.normalize))
+        return let(judge, chosen, raw)
 
-    def flags(a: Column, b: Column, raw: Column, equal: Column) -> Column:
-        settled = equal | (is_number(a) & is_number(b)) | (a == "")
-        return _verdict(equal, raw, ~equal & too_deep(a, b), ~settled)
+    def judge(sides: Column, raw: Column) -> Column:
+        a, b = sides[0], sides[1]
+        equal = F.when(a == b, F.lit(True)).otherwise(answers_equal(a, b, percent, rel_tol))
+        return let(flags, sides, raw, equal)
+
+    def flags(sides: Column, raw: Column, equal: Column) -> Column:
+        numbers = F.forall(sides, is_number)
+        settled = equal | numbers | (sides[0] == "")
+        return _verdict(equal, raw, ~equal & too_deep(sides[0], sides[1]), ~settled)
 
     no = F.lit(False)
-    return let(
-        lambda g, p: F.when(
-            g.isNotNull() & p.isNotNull(),
-            let(forms, g, p, latex.abnormal(g) | latex.abnormal(p)),
-        ).otherwise(_verdict(g.isNull() & p.isNull(), no, no, no)),
-        gold,
-        prediction,
-    )
+    return F.when(
+        gold.isNotNull() & prediction.isNotNull(), let(forms, F.array(gold, prediction))
+    ).otherwise(_verdict(gold.isNull() & prediction.isNull(), no, no, no))
 
 
 def _verdict(correct: Column, raw: Column, review: Column, symbolic: Column) -> Column:

@@ -18,16 +18,28 @@ CONV, TURN = "conv_id", "turn"
 
 
 def _with_ends(turns: DataFrame) -> DataFrame:
-    """First and last turn of the conversation, its first role, on every turn."""
+    """What a turn has to know of its conversation: first and last turn, the first
+    role, and whether some role is out of order (``_wrong``).
+
+    User turns belong on every second place from the first one after a leading
+    system turn, and nothing else does, so counts by parity of the turn decide.
+    """
+    user, odd = F.col("role") == "user", F.col(TURN) % 2 == 1
     ends = turns.groupBy(CONV).agg(
         F.min(TURN).alias("_first"),
         F.max(TURN).alias("_last"),
         F.min_by("role", TURN).alias("_first_role"),
+        F.count_if(user != odd).alias("_misfit_odd"),
+        F.count_if(user == odd).alias("_misfit_even"),
+    )
+    starts_odd = (F.col("_first") + (F.col("_first_role") == "system").cast("int")) % 2 == 1
+    misfits = F.when(starts_odd, F.col("_misfit_odd")).otherwise(F.col("_misfit_even"))
+    return turns.join(
+        ends.select(CONV, "_first", "_last", "_first_role", (misfits > 0).alias("_wrong")), CONV
     )
-    return turns.join(ends, CONV)
 
 
-def _offsets(pieces: DataFrame) -> DataFrame:
+def _placed(pieces: DataFrame) -> DataFrame:
     """Character range of each piece in the rendered text."""
     sized = pieces.withColumn("_len", F.length("piece").cast("bigint"))
     placed = running(sized, [CONV], [TURN], {"stop": ("sum", F.col("_len"))})
@@ -44,7 +56,7 @@ def header_pieces(
         P.header_piece(F.col("role"), F.col("text")),
         F.when(F.col(TURN) == F.col("_last"), F.lit(tail)).otherwise(F.lit("")),
     )
-    return _offsets(_with_ends(turns).select(CONV, TURN, piece.alias("piece")))
+    return _placed(_with_ends(turns).select(CONV, TURN, piece.alias("piece")))
 
 
 def im_start_pieces(
@@ -56,29 +68,25 @@ def im_start_pieces(
         P.im_start_piece(F.col("role"), F.col("text")),
         F.when(F.col(TURN) == F.col("_last"), F.lit(tail)).otherwise(F.lit("")),
     )
-    return _offsets(_with_ends(turns).select(CONV, TURN, piece.alias("piece")))
+    return _placed(_with_ends(turns).select(CONV, TURN, piece.alias("piece")))
 
 
 def instruction_pieces(turns: DataFrame, generation: bool = True) -> DataFrame:
     """Instruction style, with ``error`` on every turn of a conversation whose roles
-    do not alternate; its pieces are null."""
-    with_ends = _with_ends(turns).withColumn("_at", F.col(TURN) - F.col("_first"))
-    in_front = (F.col("_first_role") == "system").cast("int")
-    place = F.col("_at") - in_front
-    wrong = (place >= 0) & ((F.col("role") == "user") != (place % 2 == 0))
-    errors = with_ends.groupBy(CONV).agg(F.max(wrong).alias("_wrong"))
-    closing = (F.col(TURN) == F.col("_last")) & (F.col("role") == "user") & F.lit(generation)
+    do not alternate; its pieces are null. Turns are numbered without gaps."""
+    role, turn = F.col("role"), F.col(TURN)
+    closing = (turn == F.col("_last")) & (role == "user") & F.lit(generation)
     piece = F.concat(
-        P.instruction_piece(F.col("role"), F.col("text"), F.col("_at")),
+        P.instruction_piece(role, F.col("text"), turn - F.col("_first")),
         F.when(closing, F.lit(P.RESPONSE_MARK)).otherwise(F.lit("")),
     )
-    checked = with_ends.join(errors, CONV)
-    return _offsets(
-        checked.select(
+    wrong = F.col("_wrong")
+    return _placed(
+        _with_ends(turns).select(
             CONV,
             TURN,
-            F.when(~F.col("_wrong"), piece).alias("piece"),
-            F.when(F.col("_wrong"), F.lit("roles must alternate")).alias("error"),
+            F.when(~wrong, piece).alias("piece"),
+            F.when(wrong, F.lit("roles must alternate")).alias("error"),
         )
     )
 

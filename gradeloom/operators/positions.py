@@ -46,6 +46,10 @@ def running(
     ``inclusive=False`` a row sees the rows before it only (null for the first).
     ``block`` must grow with the order; by default it is ranges of the first order
     column, ``width`` wide.
+
+    The input is read twice, once with few columns for the block totals. Give it a
+    stored table, or cut the lineage first, where computing it again is dear; and
+    give it narrow rows where only the positions of wide ones are wanted.
     """
     key, blk = "_group", "_block"
     work = df.select(
@@ -139,7 +143,7 @@ def with_sort_position(
 
 
 def with_hash_position(
-    df: DataFrame, key: str, seed: int | str, name: str = "ordinal"
+    df: DataFrame, key: str, seed: int | str, name: str = "ordinal", group: Sequence[str] = ()
 ) -> DataFrame:
     """0-based position in a seeded shuffle: order by digest of seed and unique key.
 
@@ -147,7 +151,7 @@ def with_hash_position(
     """
     shuffled = df.withColumn("_digest", digest(seed, F.col(key)))
     lead = F.conv(F.substring("_digest", 1, HASH_DIGITS), 16, 10).cast("bigint")
-    return with_position(shuffled, ["_digest", key], (), name, lead).drop("_digest")
+    return with_position(shuffled, ["_digest", key], group, name, lead).drop("_digest")
 
 
 def first_k_per_group(

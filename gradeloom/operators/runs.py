@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.positions import BLOCK_ROWS, running, with_position
+from gradeloom.session import cut_lineage
 
 
 def best_so_far(
@@ -91,8 +92,10 @@ def running_mean(
     marked = marked.withColumn(
         mark, F.coalesce(F.col(mark), F.lit(0)) + is_set.cast("bigint")
     )
+    # Each pass reads its input twice; without a cut three passes would read it
+    # eight times.
     summed = running(
-        marked,
+        cut_lineage(marked),
         [*metric, mark],
         [order],
         {
@@ -105,7 +108,8 @@ def running_mean(
     start = F.when(F.col(was_set), F.lit(0.0)).otherwise(F.lit(bias))
     here = F.when(F.col(count) >= 1, F.col(total) / (F.col(count) + start))
     latest = F.when(here.isNotNull(), F.struct(F.col(order).alias("at"), here.alias("mean")))
-    carried = running(summed, metric, [order], {"_latest": ("max", latest)}, width=width)
+    means = cut_lineage(summed.select(*log.columns, latest.alias("_mean")))
+    carried = running(means, metric, [order], {"_latest": ("max", F.col("_mean"))}, width=width)
     return carried.select(
         *log.columns, F.coalesce(F.col("_latest.mean"), F.lit(0.0)).alias(name)
     )

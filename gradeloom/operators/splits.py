@@ -27,6 +27,17 @@ def four_to_one_split(ordinal: Column) -> Column:
     return F.when(ordinal % 5 < 4, "train").otherwise("test")
 
 
+def parity_position(ordinal: Column) -> Column:
+    """Position inside its own half of the parity split."""
+    return F.floor(ordinal / 2).cast("bigint")
+
+
+def four_to_one_position(ordinal: Column) -> Column:
+    """Position inside its own part of the four-to-one split."""
+    block = F.floor(ordinal / 5).cast("bigint")
+    return F.when(ordinal % 5 < 4, block * 4 + ordinal % 5).otherwise(block)
+
+
 def tail_holdout(
     df: DataFrame, n: int, held: int = 256, ordinal: str = "ordinal"
 ) -> DataFrame:
@@ -46,14 +57,19 @@ def cut_split(ordinal: Column, at: int, first: str = "train", rest: str = "test"
 
 
 def seeded_split(
-    df: DataFrame, key: str, seed: int | str, k: int, name: str = "shuffled"
+    df: DataFrame,
+    key: str,
+    seed: int | str,
+    k: int,
+    name: str = "shuffled",
+    group: Sequence[str] = (),
 ) -> DataFrame:
-    """Seeded shuffle: the first k rows train, all others validate.
+    """Seeded shuffle: the first k rows (of each group) train, all others validate.
 
     A deterministic uniform permutation by digest, not the one of a particular
     random generator. ``name`` holds the place in the shuffle.
     """
-    placed = with_hash_position(df, key, seed, name)
+    placed = with_hash_position(df, key, seed, name, group)
     return placed.withColumn("split", cut_split(F.col(name), k, "train", "valid"))
 
 

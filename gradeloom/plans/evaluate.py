@@ -72,6 +72,12 @@ def _plain(details: DataFrame) -> Evaluation:
     )
 
 
+def grade_letters(rows: DataFrame, null_is_correct: bool = True) -> DataFrame:
+    rows = rows.withColumn("prediction", E.last_option_letter(F.col("output")))
+    correct = G.same_answer(F.col("answer"), F.col("prediction"), null_is_correct)
+    return rows.withColumn("correct", correct)
+
+
 def letter_answers(
     samples: DataFrame,
     generations: DataFrame,
@@ -81,9 +87,17 @@ def letter_answers(
 ) -> Evaluation:
     """Last capital A to E against ``samples.answer``."""
     rows = _attempted(samples, generations, positions)
-    rows = rows.withColumn("prediction", E.last_option_letter(F.col("output")))
-    correct = G.same_answer(F.col("answer"), F.col("prediction"), null_is_correct)
-    return _with_languages(rows.withColumn("correct", correct), languages)
+    return _with_languages(grade_letters(rows, null_is_correct), languages)
+
+
+def grade_numbers(
+    rows: DataFrame, null_is_correct: bool = True, mode: str = "plain"
+) -> DataFrame:
+    rows = rows.withColumn("prediction", E.last_number(F.col("output"), mode))
+    gold = F.col("answer").cast("double")
+    correct = G.same_answer(gold, F.col("prediction"), null_is_correct)
+    # Spark holds nan equal to itself.
+    return rows.withColumn("correct", correct & ~F.coalesce(F.isnan(gold), F.lit(False)))
 
 
 def number_answers(
@@ -96,11 +110,18 @@ def number_answers(
 ) -> Evaluation:
     """Last number against ``samples.answer``, by value."""
     rows = _attempted(samples, generations, positions)
-    rows = rows.withColumn("prediction", E.last_number(F.col("output"), mode))
-    gold = F.col("answer").cast("double")
-    correct = G.same_answer(gold, F.col("prediction"), null_is_correct)
-    correct = correct & ~F.coalesce(F.isnan(gold), F.lit(False))
-    return _with_languages(rows.withColumn("correct", correct), languages)
+    return _with_languages(grade_numbers(rows, null_is_correct, mode), languages)
+
+
+def grade_choices(rows: DataFrame, guess: bool = True) -> DataFrame:
+    rows = rows.withColumn("prediction", E.choice_letter(F.col("output")))
+    said, count = F.col("prediction"), F.size("options")
+    return rows.withColumns(
+        {
+            "correct": G.choice_correct(F.col("answer"), said, count, guess),
+            "guess_undefined": G.guess_undefined(said, count),
+        }
+    )
 
 
 def choice_answers(
@@ -110,17 +131,13 @@ def choice_answers(
     guess: bool = True,
 ) -> Evaluation:
     """Letter A to J against ``samples.answer``; guessed from ``samples.options`` if missing."""
-    rows = _attempted(samples, generations, positions)
-    rows = rows.withColumn("prediction", E.choice_letter(F.col("output")))
-    said, count = F.col("prediction"), F.size("options")
-    return _plain(
-        rows.withColumns(
-            {
-                "correct": G.choice_correct(F.col("answer"), said, count, guess),
-                "guess_undefined": G.guess_undefined(said, count),
-            }
-        )
-    )
+    return _plain(grade_choices(_attempted(samples, generations, positions), guess))
+
+
+def grade_latex(rows: DataFrame, percent: bool = True) -> DataFrame:
+    rows = rows.withColumn("prediction", E.final_answer(F.col("output")))
+    verdict = G.latex_verdict(F.col("answer"), F.col("prediction"), percent)
+    return rows.withColumn("_verdict", verdict).select(*rows.columns, "_verdict.*")
 
 
 def latex_answers(
@@ -130,11 +147,7 @@ def latex_answers(
     percent: bool = True,
 ) -> Evaluation:
     """Final answer of a worked solution against ``samples.answer``; keeps ``type``."""
-    rows = _attempted(samples, generations, positions)
-    rows = rows.withColumn("prediction", E.final_answer(F.col("output")))
-    verdict = G.latex_verdict(F.col("answer"), F.col("prediction"), percent)
-    graded = rows.withColumn("_verdict", verdict)
-    return _plain(graded.select(*rows.columns, "_verdict.*"))
+    return _plain(grade_latex(_attempted(samples, generations, positions), percent))
 
 
 def latex_by_type(details: DataFrame) -> DataFrame:
@@ -146,11 +159,7 @@ def latex_by_type(details: DataFrame) -> DataFrame:
     )
 
 
-def command_answers(
-    samples: DataFrame, generations: DataFrame, positions: DataFrame | None = None
-) -> Evaluation:
-    """The ``command`` member of the output against the one of ``samples.ai_output``."""
-    rows = _attempted(samples, generations, positions)
+def grade_commands(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             "prediction": E.json_command(F.col("output")),
@@ -158,17 +167,26 @@ def command_answers(
             "malformed": E.malformed_json(F.col("output")),
         }
     )
-    correct = G.command_correct(F.col("answer"), F.col("prediction"))
-    return _plain(rows.withColumn("correct", correct))
+    return rows.withColumn("correct", G.command_correct(F.col("answer"), F.col("prediction")))
+
+
+def command_answers(
+    samples: DataFrame, generations: DataFrame, positions: DataFrame | None = None
+) -> Evaluation:
+    """The ``command`` member of the output against the one of ``samples.ai_output``."""
+    return _plain(grade_commands(_attempted(samples, generations, positions)))
+
+
+def grade_categories(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("prediction", E.first_box(F.col("output")))
+    return rows.withColumn("correct", G.same_answer(F.col("label"), F.col("prediction")))
 
 
 def category_answers(
     samples: DataFrame, generations: DataFrame, positions: DataFrame | None = None
 ) -> Evaluation:
     """First box against ``samples.label``."""
-    rows = _attempted(samples, generations, positions)
-    rows = rows.withColumn("prediction", E.first_box(F.col("output")))
-    return _plain(rows.withColumn("correct", G.same_answer(F.col("label"), F.col("prediction"))))
+    return _plain(grade_categories(_attempted(samples, generations, positions)))
 
 
 def code_answers(
@@ -226,23 +244,22 @@ def routed_answers(
     classifications: DataFrame,
     generations: DataFrame,
     experts: DataFrame,
-    evaluate: Callable[..., Evaluation],
-    **options: object,
+    grade: Callable[[DataFrame], DataFrame],
 ) -> Evaluation:
     """Each sample answered by the expert its predicted category names.
 
     ``classifications(sample_id, classification)`` hold the classifier's output,
     ``generations(sample_id, expert_label, generation)`` the answers of every
-    expert. Samples whose category has no expert count in the total only.
+    expert, ``experts(expert_label)`` those that exist; ``grade`` is one of the
+    graders of this module. Samples whose category has no expert count in the
+    total only.
     """
     box = E.first_box(F.col("classification"))
     labels = classifications.select("sample_id", E.expert_label(box).alias("expert_label"))
     routed = with_experts(samples.join(labels, "sample_id"), experts)
-    answers = routed.where("evaluated").select("sample_id", "expert_label").join(
-        generations, ["sample_id", "expert_label"]
-    )
-    details = evaluate(samples, answers.drop("expert_label"), **options).details
-    graded = routed.join(details.select("sample_id", "correct"), "sample_id", "left")
+    answered = routed.join(generations, ["sample_id", "expert_label"], "left")
+    graded = grade(answered.withColumnRenamed("generation", "output"))
+    graded = graded.withColumn("correct", F.when(F.col("evaluated"), F.col("correct")))
     return Evaluation(routed_report(graded), graded)
 
 

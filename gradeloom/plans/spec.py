@@ -107,20 +107,18 @@ def _by_parity(samples: DataFrame) -> DataFrame:
 def _code_split(samples: DataFrame) -> DataFrame:
     """The first 300 problems are the pool, shuffled into 200 train and 100 valid ones;
     the rest is the test set."""
-    pool = samples.where(F.col("ordinal") < 300)
-    rest = samples.where(F.col("ordinal") >= 300).withColumn("split", F.lit("test"))
-    return S.seeded_split(pool, "task_id", 16, 200).drop("shuffled").unionByName(rest)
+    marked = samples.withColumn("_pool", F.col("ordinal") < 300)
+    split = S.seeded_split(marked, "task_id", 16, 200, group=["_pool"])
+    chosen = F.when(F.col("_pool"), F.col("split")).otherwise("test")
+    return split.withColumn("split", chosen).drop("_pool", "shuffled")
 
 
 def _category_split(samples: DataFrame) -> DataFrame:
     """Four of five rows are for training; of those every other one validates."""
     place = F.col("ordinal")
-    # Position among the training rows: four of each full block of five.
-    inner = F.floor(place / 5) * 4 + place % 5
+    inner = S.parity_split(S.four_to_one_position(place))
     outer = S.four_to_one_split(place)
-    return samples.withColumn(
-        "split", F.when(outer == "train", S.parity_split(inner)).otherwise("test")
-    )
+    return samples.withColumn("split", F.when(outer == "train", inner).otherwise("test"))
 
 
 def _code_eval(clean: bool, source: str) -> Callable[..., V.Evaluation]:
