@@ -133,6 +133,8 @@ def _attempts(spark: SparkSession, sf: str) -> DataFrame:
         "l_partkey",
         "l_suppkey",
         "l_linenumber",
+        "l_extendedprice",
+        "l_quantity",
         status("l_returnflag", "N").alias("base_status"),
         status("l_linestatus", "O").alias("plus_status"),
     )
@@ -140,14 +142,14 @@ def _attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Attempts with their number. Ranges of part keys are the blocks of an order."""
-    order = ["l_partkey", "l_suppkey", "l_linenumber"]
+    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
     arrived = with_position(_attempts(spark, sf), order, ["task_id"], "completion_id", width=1024)
     return arrived.select("task_id", "completion_id", "base_status", "plus_status")
 
 
 _VERDICTS_SQL = """
     v AS (SELECT l_orderkey AS task_id,
-            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS completion_id,
+            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) - 1 AS completion_id,
             CASE WHEN l_returnflag = 'N' THEN 'pass' ELSE 'fail' END AS base_status,
             CASE WHEN l_linestatus = 'O' THEN 'pass' ELSE 'fail' END AS plus_status
           FROM lineitem)

@@ -13,7 +13,7 @@ FLAT_OBJECT = r"\{[^{}]+\}"
 
 def read_logs(spark: SparkSession, path: str, node_pattern: str = r"/([0-9]+)/") -> DataFrame:
     """Whole log files: (node, path, text), the node taken from the path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_path")
     node = F.nullif(F.regexp_extract(name, node_pattern, 1), F.lit("")).cast("int")
     return files.select(node.alias("node"), name.alias("path"), F.col("value").alias("text"))
@@ -74,7 +74,7 @@ def contact_edges(rounds: DataFrame, text: str = "text") -> DataFrame:
 
 def read_contact_rounds(spark: SparkSession, path: str) -> DataFrame:
     """Contact graph per round from a JSON file."""
-    return contact_edges(spark.read.option("wholetext", True).text(path).toDF("text"))
+    return contact_edges(spark.read.text(path, wholetext=True).toDF("text"))
 
 
 def chosen_checkpoint(paths: DataFrame, pick: str = "last", node: str = "node", path: str = "path") -> DataFrame:
