@@ -13,6 +13,7 @@ from gradeloom.operators import ranking, reports, runs
 
 from gradeloom.operators.population import member_likelihood as of_members
 from gradeloom.operators.positions import with_position
+from gradeloom.session import cut_lineage
 from gradeloom.sources import runlogs
 
 
@@ -231,7 +232,7 @@ def pass_at_k_many_attempts(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def verdict_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.verdict_lists(_verdicts(spark, sf), chunk=4)
+    return reports.verdict_lists(cut_lineage(_verdicts(spark, sf)), chunk=4)
 
 
 @query(
@@ -330,6 +331,39 @@ def best_so_far_ties(spark: SparkSession, sf: str) -> DataFrame:
     return best.drop("valid_acc", "test_acc")
 
 
+@query(
+    """
+    WITH h AS (
+      SELECT user_id AS run, event_id AS iter, (value - 20) / 500 AS valid_acc, value / 500 AS test_acc,
+             coalesce(max(CASE WHEN value > 20 THEN value END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS top
+      FROM events),
+    s AS (
+      SELECT run, iter, unnest(['valid_acc', 'test_acc', 'best_val_acc', 'test_at_best_val']) AS metric,
+             unnest([valid_acc, test_acc, CASE WHEN top > 0 THEN (top - 20) / 500 ELSE 0 END,
+                     CASE WHEN top > 0 THEN top / 500 ELSE 0 END]) AS value FROM h)
+    SELECT run, iter, metric, round(value, 9) AS value FROM s
+    UNION ALL
+    SELECT user_id, event_id, 'rewards/' || event_type, round(value, 9) FROM events
+    """
+)
+def step_records(spark: SparkSession, sf: str) -> DataFrame:
+    """What is logged at each evaluation step, as one row per scalar."""
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("iter"), "event_type", "value"
+    )
+    history = events.select(
+        "run",
+        "iter",
+        ((F.col("value") - 20) / 500).alias("valid_acc"),
+        (F.col("value") / 500).alias("test_acc"),
+    )
+    running = events.select(
+        "run", "iter", F.concat(F.lit("rewards/"), "event_type").alias("metric"), "value"
+    )
+    records = runs.step_records(history, running)
+    return records.withColumn("value", F.round("value", 9))
+
+
 _LOG_TEXT_SQL = """
     l AS (SELECT (user_id % 4)::INT AS node, 'results/' || (user_id % 4) || '/' || lpad(event_id::VARCHAR, 12, '0') AS path,
                  event_id, value FROM events)
@@ -388,7 +422,8 @@ def corrupt_log_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def step_series(spark: SparkSession, sf: str) -> DataFrame:
     records = runlogs.log_records(_logs(spark, sf), "iter bigint, loss double")
     good = records.where(F.col("corrupt").isNull()).select("node", "path", "pos", "record.*")
-    return runs.step_series(good, "loss")
+    # Positions read their input twice; the texts are parsed once.
+    return runs.step_series(cut_lineage(good), "loss")
 
 
 @query(

@@ -241,7 +241,7 @@ _NAME_SQL = "'layers.' || label || CASE WHEN label < 7 THEN '.mlp' ELSE '.attn'
 )
 def svd_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
     """Decomposing and composing again gives back the matrix."""
-    again = matrices.reconstruct(matrices.decompose(_matrices(spark, sf), 128), 128)
+    again = matrices.reconstruct(matrices.decompose(_matrices(spark, sf)))
     return again.select("name", "row", _rounded("values").alias("values"))
 
 
@@ -253,7 +253,7 @@ def svd_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
 )
 def svd_energy(spark: SparkSession, sf: str) -> DataFrame:
     """The squared singular values sum to the squared entries of the matrix."""
-    singular = matrices.decompose(_matrices(spark, sf), 128).where("part = 'S'")
+    singular = matrices.decompose(_matrices(spark, sf), 512).where("part = 'S'")
     energy = F.aggregate("values", F.lit(0.0), lambda acc, s: acc + s * s)
     return singular.select("name", F.round(energy, 6).alias("energy"))
 
@@ -267,11 +267,11 @@ def svd_energy(spark: SparkSession, sf: str) -> DataFrame:
 def composed_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """A constant mask cancels out, so the chosen names come back and the others pass through."""
     base = _matrices(spark, sf)
-    parts = matrices.decompose(base, 128)
+    parts = matrices.decompose(base)
     half = parts.where("part = 'S'").select(
         "name", F.transform("values", lambda _: F.lit(0.5)).alias("values")
     )
-    applied = matrices.apply_composed(base, matrices.compose(parts, half, 128))
+    applied = matrices.apply_composed(base, matrices.compose(parts, half))
     return applied.select("name", "row", _rounded("values").alias("values"))
 
 

@@ -1,7 +1,7 @@
 """Answer extraction from generated text, as native column expressions.
 
-Patterns that look for a *last* hit are anchored at the start of the text and
-let a greedy prefix find it: one backward walk instead of an array of all hits.
+Whatever looks for a *last* hit searches the reversed text for the first one and
+turns the hit around: the search ends at the hit, and no array of all hits is made.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ def _hit(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _last_hit(text: Column, reversed_pattern: str) -> Column:
+    return F.reverse(_hit(F.reverse(text), reversed_pattern, 0))
+
+
 def last_number(text: Column, mode: str = "plain") -> Column:
     """Last number in the text, as a double.
 
@@ -37,21 +41,21 @@ def last_number(text: Column, mode: str = "plain") -> Column:
         return last.try_cast("double")
     # A number never leaves a run of digits and dots, so only the last run that
     # ends in a digit has to be read from the left.
-    run = _hit(text, r"(?s)\A.*(?<![0-9.])([0-9.]*[0-9])")
+    run = _last_hit(text, r"[0-9][0-9.]*")
     hits = F.regexp_extract_all(run, F.lit(r"\d*\.?\d+"), F.lit(0))
     return F.try_element_at(hits, F.lit(-1)).try_cast("double")
 
 
 def last_option_letter(text: Column) -> Column:
     """Last capital A to E anywhere, also inside a word."""
-    return _hit(text, r"(?s)\A.*([A-E])")
+    return _last_hit(text, r"[A-E]")
 
 
 def choice_letter(text: Column) -> Column:
     """A to J: after "answer is", else on an "Answer:" line, else the last standalone letter."""
     stated = _hit(text, r"answer is \(?([A-J])\)?")
     on_line = _hit(text, rf"(?dm)^.*[aA]nswer:[{WS}]*([A-J])")
-    alone = _hit(text, r"(?s)\A.*(?<![\p{L}\p{N}_])([A-J])(?![\p{L}\p{N}_])")
+    alone = _last_hit(text, r"(?<![\p{L}\p{N}_])[A-J](?![\p{L}\p{N}_])")
     return F.coalesce(stated, on_line, alone)
 
 

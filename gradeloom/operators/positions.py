@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from gradeloom.functions.vectors import digest
 from gradeloom.session import cut_lineage
 
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
 HASH_DIGITS = 4
 
 
@@ -55,7 +55,8 @@ def running(
     work = df.select(
         "*",
         F.struct(*[F.col(g) for g in group] or [F.lit(0).alias("all")]).alias(key),
-        (block_of(F.col(order[0]), width) if block is None else block).alias(blk),
+        # As a struct, like the group: rows without an order are a block of their own.
+        F.struct(block_of(F.col(order[0]), width) if block is None else block).alias(blk),
         *[expr.alias(f"_in_{name}") for name, (_, expr) in values.items()],
     )
     fold = {"sum": F.sum, "max": F.max}

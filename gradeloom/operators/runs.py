@@ -47,6 +47,29 @@ def best_so_far(
     ).drop("_best")
 
 
+def step_records(
+    history: DataFrame, metrics: DataFrame | None = None, width: int = BLOCK_ROWS
+) -> DataFrame:
+    """The log of a run: (run, iter, metric, value), one row per scalar and step.
+
+    ``history(run, iter, valid_acc, test_acc, ...)`` holds the scores of every
+    evaluation step; the best validation score so far and the test (and transfer)
+    scores at it are added. ``metrics(run, iter, metric, value)`` are further
+    scalars, such as running means.
+    """
+    carried = [c for c in ("test_acc", "transfer_acc") if c in history.columns]
+    wide = best_so_far(history, ["run"], "iter", "valid_acc", carried, width)
+    scalars = [c for c in wide.columns if c not in ("run", "iter")]
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+            for c in scalars
+        ]
+    )
+    records = wide.select("run", "iter", F.inline(pairs))
+    return records if metrics is None else records.unionByName(metrics)
+
+
 def step_series(
     log: DataFrame, metric: str, node: str = "node", path: str = "path", place: str = "pos"
 ) -> DataFrame:

@@ -121,9 +121,11 @@ def step_draws(n: int, steps: DataFrame, size: int, seed: int | str) -> DataFram
 
     stride = from_digest("a") % max(p - 1, 1) + 1
     start = from_digest("b") % p
+    # Products stay below p * (size + extra); wider numbers only where they must be.
+    wide = "bigint" if p * (size + extra + 1) < 2**63 else "decimal(38,0)"
     walk = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.lit(size + extra - 1).cast("bigint")),
-        lambda j: ((stride % p).cast("decimal(38,0)") * j + start) % F.lit(p).cast("decimal(38,0)"),
+        lambda j: ((stride % p).cast(wide) * j + start) % F.lit(p).cast(wide),
     )
     kept = F.slice(F.filter(walk, lambda place: place < n), 1, size)
     return steps.select("step", F.posexplode(kept).alias("draw", "ordinal")).withColumn(

@@ -52,6 +52,12 @@ def test_positions_in_groups_and_overall(skewed):
     assert [r.ordinal for r in sorted(overall, key=lambda r: r.o)] == list(range(len(rows)))
 
 
+def test_rows_without_an_order_are_kept(spark):
+    df = spark.createDataFrame([("a", None), ("a", 5), ("a", 3)], "g string, o bigint")
+    got = P.with_position(df, ["o"], ["g"], width=1).collect()
+    assert sorted((r.ordinal, r.o) for r in got) == [(0, None), (1, 3), (2, 5)]
+
+
 def test_sort_position_on_texts_and_doubles(spark):
     rows = [(f"k{i % 13}", (i * 37 % 101) / 7) for i in range(500)]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, x double, n int")
