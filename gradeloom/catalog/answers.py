@@ -475,7 +475,7 @@ def code_parses(spark: SparkSession, sf: str) -> DataFrame:
       FROM lineitem),
     m AS (SELECT l_orderkey, avg(reward) AS mean, stddev_pop(reward) AS std FROM r GROUP BY l_orderkey)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, reward,
-           round(greatest(-1.5, least(1.5, (reward - mean) / greatest(std, 1e-7))), 6)::DOUBLE AS norm_reward
+           round(greatest(-1.5, least(1.5, (reward - mean) / greatest(std, 1e-7))), 6)::DOUBLE + 0.0 AS norm_reward
     FROM r JOIN m USING (l_orderkey)
     """
 )

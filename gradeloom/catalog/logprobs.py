@@ -39,7 +39,7 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     f"""
     WITH {_TOKENS}, m AS (SELECT *, max(logit) OVER (PARTITION BY sample_id) AS peak FROM t)
     SELECT sample_id, pos, token_id, supplier,
-           round(logit - peak - ln(sum(exp(logit - peak)) OVER (PARTITION BY sample_id)), 6) AS logp FROM m
+           round(logit - peak - ln(sum(exp(logit - peak)) OVER (PARTITION BY sample_id)), 6) + 0.0 AS logp FROM m
     """
 )
 def log_softmax(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ def sequence_loglik(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_TOKENS}
-    SELECT sample_id, round(sum(exp(ref_logp) * (ref_logp - logp)), 6) AS kl_div FROM t GROUP BY sample_id
+    SELECT sample_id, round(sum(exp(ref_logp) * (ref_logp - logp)), 6) + 0.0 AS kl_div FROM t GROUP BY sample_id
     """
 )
 def kl_to_reference(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +96,7 @@ def _losses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_LOSSES} SELECT sample_id, round(pg, 6)::DOUBLE AS pg, round(loss, 6)::DOUBLE AS loss FROM l")
+@query(f"WITH {_LOSSES} SELECT sample_id, round(pg, 6)::DOUBLE + 0.0 AS pg, round(loss, 6)::DOUBLE + 0.0 AS loss FROM l")
 def policy_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _losses(spark, sf).select(
         "sample_id", F.round("pg", 6).alias("pg"), F.round("loss", 6).alias("loss")
@@ -106,7 +106,7 @@ def policy_loss(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_LOSSES}
-    SELECT o_orderstatus, round(avg(loss), 6) AS loss, round(avg(pg), 6) AS pg, count(*) AS n FROM l GROUP BY o_orderstatus
+    SELECT o_orderstatus, round(avg(loss), 6) + 0.0 AS loss, round(avg(pg), 6) + 0.0 AS pg, count(*) AS n FROM l GROUP BY o_orderstatus
     """
 )
 def mean_loss(spark: SparkSession, sf: str) -> DataFrame:

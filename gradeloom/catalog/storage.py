@@ -81,7 +81,7 @@ def stored_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("split", "metric", F.round("value", 6).alias("value"))
 
 
-@query("SELECT vec_id::VARCHAR AS name, list_transform(embedding, v -> round(v::DOUBLE, 6)) AS values FROM embeddings WHERE label = 4"
+@query("SELECT vec_id::VARCHAR AS name, list_transform(embedding, v -> round(v::DOUBLE, 6) + 0.0) AS values FROM embeddings WHERE label = 4"
        .replace("v -> ", "lambda v: "))
 def stored_params(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors of one owner, from a table partitioned by owner."""

@@ -29,7 +29,8 @@ def _rounded(values: str, digits: int = 6) -> F.Column:
 
 
 def _list(expr: str, order: str = "i") -> str:
-    return f"array_agg(round({expr}, 6) ORDER BY {order})"
+    # Adding zero turns a rounded -0 into 0, as Spark rounds it.
+    return f"array_agg(round({expr}, 6) + 0.0 ORDER BY {order})"
 
 
 @query(f"WITH {_LONG} SELECT vec_id, {_list('2.0 / (1 + exp(-v))')} AS values FROM e GROUP BY vec_id")
@@ -62,7 +63,7 @@ def _gauss_sql(seed: int, rest: str) -> str:
 @query(
     f"""
     SELECT vec_id::VARCHAR AS name, list_transform(range(0, 1 + (vec_id % 5)), lambda i:
-      round(0.1 + 0.01 * {_gauss_sql(7, "vec_id || ':' || i")}, 6)) AS values FROM embeddings
+      0.0 + round(0.1 + 0.01 * {_gauss_sql(7, "vec_id || ':' || i")}, 6)) AS values FROM embeddings
     """
 )
 def init_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +151,7 @@ def mix_experts_default(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_LONG}, n AS (SELECT vec_id, avg(v) AS mean, sqrt(sum(v * v)) AS norm FROM e GROUP BY vec_id)
-    SELECT vec_id, round(mean, 6) AS mean, round(norm, 6) AS norm FROM n
+    SELECT vec_id, round(mean, 6) + 0.0 AS mean, round(norm, 6) AS norm FROM n
     """
 )
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,7 +296,7 @@ def _moments(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_LONG}, {_MOMENTS}, x AS (SELECT i, best, unnest(range(32))::INT AS member FROM m)
-    SELECT member, i, round(CASE WHEN member = 0 THEN best ELSE -1.0 + {_unit_sql(11, "member || ':' || i")} * 2.0 END, 6) AS value
+    SELECT member, i, 0.0 + round(CASE WHEN member = 0 THEN best ELSE -1.0 + {_unit_sql(11, "member || ':' || i")} * 2.0 END, 6) AS value
     FROM x
     """
 )
@@ -307,7 +308,7 @@ def uniform_population(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_LONG}, {_MOMENTS}, x AS (SELECT *, unnest(range(32))::INT AS member FROM m)
-    SELECT member, i, round(CASE WHEN member = 0 THEN best
+    SELECT member, i, 0.0 + round(CASE WHEN member = 0 THEN best
       ELSE greatest(-0.1, least(0.1, mean + std * {_gauss_sql(11, "member || ':' || i")})) END, 6) AS value
     FROM x
     """
@@ -336,7 +337,7 @@ def _elite_moments(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_LONG}, {_ELITES}
-    SELECT i, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM e JOIN elite USING (vec_id) GROUP BY i
+    SELECT i, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v), 6) AS std FROM e JOIN elite USING (vec_id) GROUP BY i
     """
 )
 def elite_moments(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,7 +349,7 @@ def elite_moments(spark: SparkSession, sf: str) -> DataFrame:
     f"""
     WITH {_LONG}, {_ELITES}, {_MOMENTS},
     n AS (SELECT i, avg(v) AS mean, stddev_samp(v) AS std FROM e JOIN elite USING (vec_id) GROUP BY i)
-    SELECT i, round(n.mean * 0.7 + 0.3 * m.mean, 6) AS mean, round(n.std * 0.7 + 0.3 * m.std, 6) AS std
+    SELECT i, round(n.mean * 0.7 + 0.3 * m.mean, 6) + 0.0 AS mean, round(n.std * 0.7 + 0.3 * m.std, 6) AS std
     FROM n JOIN m USING (i)
     """
 )
@@ -360,7 +361,7 @@ def blended_moments(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_LONG}, {_MOMENTS}, b AS (SELECT vec_id FROM embeddings ORDER BY embedding[1] DESC, vec_id LIMIT 1)
-    SELECT i, round(v * 0.9 + 0.1 * best, 6) AS best FROM e JOIN b USING (vec_id) JOIN m USING (i)
+    SELECT i, round(v * 0.9 + 0.1 * best, 6) + 0.0 AS best FROM e JOIN b USING (vec_id) JOIN m USING (i)
     """
 )
 def blended_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,7 +389,7 @@ _FLAT = f"""
 """
 
 
-@query(f"WITH {_FLAT} SELECT owner, vec_id::VARCHAR AS name, flat, round(v, 6) AS value FROM f")
+@query(f"WITH {_FLAT} SELECT owner, vec_id::VARCHAR AS name, flat, round(v, 6) + 0.0 AS value FROM f")
 def flatten_params(spark: SparkSession, sf: str) -> DataFrame:
     flat = weights.flattened(_owned(spark, sf))
     return flat.withColumn("value", F.round("value", 6))

@@ -94,10 +94,11 @@ def grade_numbers(
     rows: DataFrame, null_is_correct: bool = True, mode: str = "plain"
 ) -> DataFrame:
     rows = rows.withColumn("prediction", E.last_number(F.col("output"), mode))
-    gold = F.col("answer").cast("double")
+    gold = F.col("answer").try_cast("double")
+    # An answer that is no number equals nothing, and Spark holds nan equal to itself.
+    odd = (F.col("answer").isNotNull() & gold.isNull()) | F.coalesce(F.isnan(gold), F.lit(False))
     correct = G.same_answer(gold, F.col("prediction"), null_is_correct)
-    # Spark holds nan equal to itself.
-    return rows.withColumn("correct", correct & ~F.coalesce(F.isnan(gold), F.lit(False)))
+    return rows.withColumn("correct", correct & ~odd)
 
 
 def number_answers(
