@@ -25,6 +25,7 @@ from gradeloom.session import cut_lineage
 
 BLOCK_ROWS = 1 << 18
 HASH_DIGITS = 4
+_FOLD = {"sum": F.sum, "max": F.max}
 
 
 def block_of(order: Column, width: int = BLOCK_ROWS) -> Column:
@@ -39,6 +40,7 @@ def running(
     block: Column | None = None,
     width: int = BLOCK_ROWS,
     inclusive: bool = True,
+    levels: int = 1,
 ) -> DataFrame:
     """Add running values per group in the given order.
 
@@ -47,37 +49,53 @@ def running(
     ``block`` must grow with the order; by default it is ranges of the first order
     column, ``width`` wide.
 
+    A group has as many blocks as its order range is wide, divided by ``width``.
+    Where that is itself too much for one task (orders with very large gaps),
+    ``levels=2`` carries the totals over blocks of blocks.
+
     The input is read twice, once with few columns for the block totals. Give it a
     stored table, or cut the lineage first, where computing it again is dear; and
     give it narrow rows where only the positions of wide ones are wanted.
     """
     key, blk = "_group", "_block"
+    blocks = block_of(F.col(order[0]), width) if block is None else block
     work = df.select(
         "*",
         F.struct(*[F.col(g) for g in group] or [F.lit(0).alias("all")]).alias(key),
         # As a struct, like the group: rows without an order are a block of their own.
-        F.struct(block_of(F.col(order[0]), width) if block is None else block).alias(blk),
+        F.struct(blocks.alias("number")).alias(blk),
         *[expr.alias(f"_in_{name}") for name, (_, expr) in values.items()],
     )
-    fold = {"sum": F.sum, "max": F.max}
     end = W.currentRow if inclusive else -1
     inner = W.partitionBy(key, blk).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    before = W.partitionBy(key).orderBy(blk).rowsBetween(W.unboundedPreceding, -1)
     totals = work.groupBy(key, blk).agg(
-        *[fold[kind](f"_in_{name}").alias(f"_in_{name}") for name, (kind, _) in values.items()]
-    )
-    carried = totals.select(
-        key,
-        blk,
-        *[
-            fold[kind](f"_in_{name}").over(before).alias(f"_carry_{name}")
-            for name, (kind, _) in values.items()
-        ],
+        *[_FOLD[kind](f"_in_{name}").alias(name) for name, (kind, _) in values.items()]
     )
+    if levels > 1 and block is None:
+        numbered = totals.select(
+            F.col(key).alias("g"), F.col(blk).alias("b"), F.col(f"{blk}.number").alias("n"),
+            *[F.col(name).alias(f"_total_{name}") for name in values],
+        )
+        again = {name: (kind, F.col(f"_total_{name}")) for name, (kind, _) in values.items()}
+        summed = running(numbered, ["g"], ["n"], again, None, width, False, levels - 1)
+        carried = summed.select(
+            F.col("g").alias(key), F.col("b").alias(blk),
+            *[F.col(name).alias(f"_carry_{name}") for name in values],
+        )
+    else:
+        before = W.partitionBy(key).orderBy(blk).rowsBetween(W.unboundedPreceding, -1)
+        carried = totals.select(
+            key,
+            blk,
+            *[
+                _FOLD[kind](name).over(before).alias(f"_carry_{name}")
+                for name, (kind, _) in values.items()
+            ],
+        )
     inside = work.select(
         "*",
         *[
-            fold[kind](f"_in_{name}").over(inner).alias(f"_here_{name}")
+            _FOLD[kind](f"_in_{name}").over(inner).alias(f"_here_{name}")
             for name, (kind, _) in values.items()
         ],
     )
@@ -100,13 +118,15 @@ def with_position(
     name: str = "ordinal",
     block: Column | None = None,
     width: int = BLOCK_ROWS,
+    levels: int = 1,
 ) -> DataFrame:
     """0-based position of each row, in its group or in the whole table.
 
     The first order column is an integer that, with the others, is unique in its
     group (or ``block`` says how to cut the order into bounded ranges).
     """
-    counted = running(df, group, order, {name: ("sum", F.lit(1).cast("bigint"))}, block, width)
+    one = {name: ("sum", F.lit(1).cast("bigint"))}
+    counted = running(df, group, order, one, block, width, levels=levels)
     return counted.withColumn(name, F.col(name) - 1)
 
 

@@ -29,12 +29,12 @@ def _grouped(rows):
     return groups
 
 
-@pytest.mark.parametrize("width", [1, 64, 1 << 20])
+@pytest.mark.parametrize("width, levels", [(1, 1), (64, 1), (1 << 20, 1), (1, 2), (30, 2), (8, 3)])
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_running_sum_and_max(skewed, width, inclusive):
+def test_running_sum_and_max(skewed, width, levels, inclusive):
     rows, df = skewed
     values = {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
-    got = P.running(df, ["g"], ["o"], values, width=width, inclusive=inclusive)
+    got = P.running(df, ["g"], ["o"], values, width=width, inclusive=inclusive, levels=levels)
     want = {}
     for g, entries in _grouped(rows).items():
         for i, (o, _) in enumerate(entries):
