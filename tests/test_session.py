@@ -30,10 +30,7 @@ def test_cluster_without_a_folder_is_refused():
         session.shared_folder(_fake("yarn"))
 
 
-def test_runtime_setting(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert session.shared_folder(spark) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_local_session_gets_its_own_folder(spark):
+    folder = session.shared_folder(spark)
+    assert folder == session.shared_folder(spark)
     assert session.cut_lineage(spark.range(3)).count() == 3
