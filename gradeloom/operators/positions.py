@@ -131,15 +131,18 @@ def with_position(
 
 
 def with_sort_position(
-    df: DataFrame, order: Sequence[Column], name: str = "ordinal"
+    df: DataFrame, order: Sequence[Column], name: str = "ordinal", group: Sequence[str] = ()
 ) -> DataFrame:
-    """0-based position under any total order, also on texts and doubles.
+    """0-based position under any total order, also on texts and doubles; in the
+    whole table or in each group.
 
     Rows are range-partitioned and sorted once and that layout is checkpointed,
-    so the two passes below (count per partition, then number) read the very
-    same partitions also after an executor was lost.
+    so the passes below (count per partition, number, first of each group) read
+    the very same partitions also after an executor was lost. A hot group is cut
+    by the ranges like everything else.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = [F.col(g) for g in group]
+    spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     fixed = cut_lineage(spread).select(
         "*",
         F.spark_partition_id().alias("_part"),
@@ -156,11 +159,20 @@ def with_sort_position(
             F.lit(0),
         ).alias("_offset"),
     )
-    return (
+    placed = (
         fixed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_place"))
         .drop("_part", "_place", "_offset")
     )
+    if not group:
+        return placed
+    keyed = placed.withColumn("_group", F.struct(*keys))
+    firsts = keyed.groupBy("_group").agg(F.min(name).alias("_first"))
+    return (
+        keyed.join(firsts, "_group")
+        .withColumn(name, F.col(name) - F.col("_first"))
+        .drop("_group", "_first")
+    )
 
 
 def with_hash_position(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.operators.positions import BLOCK_ROWS, running, with_position
+from gradeloom.operators.positions import BLOCK_ROWS, running, with_sort_position
 from gradeloom.session import cut_lineage
 
 
@@ -76,10 +76,11 @@ def step_series(
     """(node, step, value, at_start) of one metric, in path order.
 
     Steps count all rows of a node, also those without the metric, which are
-    dropped afterwards. A file was read as one text, so a path is a block.
+    dropped afterwards.
     """
-    placed = with_position(log, [path, place], [node], "step", block=F.col(path))
-    value = F.col(metric).cast("double")
+    needed = log.select(node, path, place, "iter", F.col(metric).alias("_metric"))
+    placed = with_sort_position(needed, [F.col(path), F.col(place)], "step", [node])
+    value = F.col("_metric").cast("double")
     return placed.where(value.isNotNull() & ~F.isnan(value)).select(
         node, "step", value.alias("value"), (F.col("iter") == 0).alias("at_start")
     )

@@ -67,6 +67,13 @@ def test_sort_position_on_texts_and_doubles(spark):
     assert [r.n for r in sorted(got, key=lambda r: r.ordinal)] == want
 
 
+def test_sort_position_in_groups(skewed):
+    rows, df = skewed
+    want = {(g, o): i for g, entries in _grouped(rows).items() for i, (o, _) in enumerate(entries)}
+    got = P.with_sort_position(df, [F.col("o")], "n", ["g"]).collect()
+    assert {(r.g, r.o): r.n for r in got} == want
+
+
 def test_hash_position_is_a_permutation_and_ignores_partitions(spark):
     df = spark.range(3000)
     one, many = (
