@@ -95,18 +95,29 @@ def mixed(params: DataFrame, coefficients: DataFrame, shared: bool = False) -> D
     return unsliced(entry_sums(joined, ["name"], "values", F.col("weight")), ["name"])
 
 
-def exchanged(params: DataFrame, edges: DataFrame, coefficient: float = 0.5) -> DataFrame:
+def exchanged(
+    params: DataFrame, edges: DataFrame, coefficient: float = 0.5, salts: int = 16
+) -> DataFrame:
     """One exchange: every node moves toward its neighbours.
 
     ``local + coefficient / (k + 1) * sum(neighbour - local)`` over its k
     neighbours, all read from the state before the exchange; a node without
     neighbours keeps its vectors. ``params(node, name, values)``,
     ``edges(node, neighbour)``.
+
+    A node that many others hear is small on both sides of the join and large in
+    its result, so its slices are spread over ``salts`` join keys and every edge
+    is repeated for each of them.
     """
-    sent = sliced(params).withColumnRenamed("node", "neighbour")
-    links = edges.where(F.col("neighbour").isNotNull()).select("node", "neighbour")
+    salt = F.pmod(F.xxhash64("name", "slice"), F.lit(salts))
+    sent = sliced(params).withColumnRenamed("node", "neighbour").withColumn("_salt", salt)
+    links = edges.where(F.col("neighbour").isNotNull()).select(
+        "node",
+        "neighbour",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt"),
+    )
     heard = entry_sums(
-        links.join(sent, "neighbour"), ["node", "name"], "values", _k=F.count(F.lit(1))
+        links.join(sent, ["neighbour", "_salt"]), ["node", "name"], "values", _k=F.count(F.lit(1))
     )
     heard = unsliced_with(heard, ["node", "name"], "values", "_k").withColumnRenamed("values", "_sum")
     step = F.lit(float(coefficient)) / (F.col("_k") + 1)
