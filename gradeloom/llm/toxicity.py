@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.registry import query, table
+from gradeloom.session import cut_lineage
 
 LABELLED_DOCS = 16_000
 THRESHOLD = 0.3
@@ -41,7 +42,7 @@ LOWEST = 0.01
 PIECE = 5
 PREFIXES = range(3, 7)
 LEAST_EVIDENCE = 20.0  # nats by which a piece's labels must beat chance; there are millions of pieces
-LEAST_SHARE = 0.8
+SHARES = (0.95, 0.8)  # least share of toxic documents, round by round
 MOST_PIECES = 20_000
 
 # Letters that signs and digits are used for.
@@ -297,15 +298,27 @@ def sampled_labels(labels: DataFrame, most: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel, most: int = LABELLED_DOCS) -> dict[str, float]:
-    """Share of toxic documents for the pieces that tell them."""
+    """Share of toxic documents for the pieces that tell them.
+
+    The purest pieces are learned first; weaker ones must tell something about the
+    documents that hold none of these.
+    """
     sample = F.broadcast(sampled_labels(labels, most))
-    rows = (
+    rows = cut_lineage(
         docs.select("doc_id", "text")
         .join(sample, "doc_id")
         .where(F.col("text").isNotNull())
         .dropDuplicates(["text"])
         .select("text", "toxic")
     )
+    chances: dict[str, float] = {}
+    for least in SHARES:
+        chances |= _purest(rows, letters, dict(chances), least)
+    return chances
+
+
+def _purest(rows: DataFrame, letters: LetterModel, told: dict[str, float], least: float) -> dict[str, float]:
+    """Pieces with a share of ``least`` among the rows that hold none of ``told``."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder, known = Decoder(letters), {}
@@ -314,9 +327,9 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel, most: int =
             toxic, clean = Counter(), Counter()
             for text, label in zip(frame["text"], frame["toxic"]):
                 found = {p for w in restored_words(text, decoder, known) for p in of_word(w)}
-                (toxic if label == 1 else clean).update(found)
-            # Two marks that no piece can be count the documents.
-            toxic[""], clean[""] = int((frame["toxic"] == 1).sum()), int((frame["toxic"] == 0).sum())
+                # An empty piece, which no word has, counts the documents.
+                if told.keys().isdisjoint(found):
+                    (toxic if label == 1 else clean).update(found | {""})
             names = [*toxic, *(p for p in clean if p not in toxic)]
             yield pd.DataFrame({"piece": names, "toxic": [toxic[p] for p in names], "clean": [clean[p] for p in names]})
 
@@ -324,12 +337,11 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel, most: int =
         rows.mapInPandas(count, "piece string, toxic long, clean long")
         .groupBy("piece")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where("toxic >= 3 AND 2 * toxic >= clean OR piece = ''")
+        .withColumn("share", F.col("toxic") / (F.col("toxic") + F.col("clean") + 1.0))
     )
-    counts = counts.withColumn("share", F.col("toxic") / (F.col("toxic") + F.col("clean") + 1.0))
     kept = {
         r["piece"]: r
-        for r in counts.where((F.col("share") >= LEAST_SHARE) | (F.col("piece") == ""))
+        for r in counts.where((F.col("share") >= least) | (F.col("piece") == ""))
         .orderBy(F.col("piece") != "", F.desc("toxic"), "piece")
         .limit(MOST_PIECES)
         .collect()
