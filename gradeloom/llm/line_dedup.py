@@ -159,6 +159,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
     )
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated chunks cut out of ``text`` (and ``n_chars``, where there is one, set anew).
+
+    A document that had a text and lost all of it goes.
+    """
+    kept = dedup_lines(docs)
+    changed = F.col("_n_chunks_removed") > 0
+    new = {"text": F.col("_kept")}
+    if "n_chars" in docs.columns:
+        length = F.length("_kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, length).otherwise(F.col("n_chars"))
+    rest = kept.where(~changed | (F.col("_n_removed") < F.col("_n_lines")))
+    return rest.withColumns(new).select(*docs.columns)
+
+
 _SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (

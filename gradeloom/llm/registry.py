@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About ``most`` rows of ``df``, those with the lowest hashes of ``keys``; all if there are no more.
+
+    Rows are let through by a threshold from their number, so no task sends more than its share.
+    """
+    span = 1 << 40
+    share = min(1.0, most / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(span)) < F.lit(int(span * share)))
+
+
 def once_per_worker(key: object, make: Callable[[], object]) -> object:
     """A value made once in a Python worker and kept for its later tasks.
 

@@ -418,6 +418,22 @@ def link(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the smallest ``doc_id`` of each component, its own columns only.
+
+    Rows without a number stay, as no other row can stand for them by name.
+    """
+    first = (
+        link(docs.where(F.col("doc_id").isNotNull()))
+        .where("doc_id = component_id")
+        .select(F.col("doc_id").alias("_first"))
+        .distinct()
+    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"))
+    kept = rows.join(first, F.col("_id") == F.col("_first"), "left_semi")
+    return kept.unionByName(rows.where(F.col("_id").isNull())).select("_row.*")
+
+
 @query("op5_set_join")
 def op5_set_join(spark: SparkSession, sf: str) -> DataFrame:
     return link(table(spark, sf, "documents"))

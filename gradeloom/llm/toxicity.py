@@ -380,6 +380,13 @@ def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, learned: Column | None = None) -> DataFrame:
+    """``docs`` without the texts that the scorer rejects, with its own columns only."""
+    scorer = train(docs.select("doc_id", "text"), labels, learned)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text")
+    return score_texts(rows, scorer).where(F.col("score") < THRESHOLD).select("_row.*")
+
+
 def in_training() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
 
