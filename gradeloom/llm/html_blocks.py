@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import query, table
+from gradeloom.llm.registry import hashed_sample, query, table
 
 TRAINING_PAGES = 240
 LESSONS = 8  # changed copies of each page
@@ -452,14 +452,10 @@ def blurred(x: np.ndarray, random: np.random.Generator) -> np.ndarray:
 
 def train(pages: DataFrame, most: int = TRAINING_PAGES) -> Lstm:
     """Network from ``pages`` (page_id, html)."""
-    sample = (
-        pages.where(F.col("html").isNotNull())
-        .select("page_id", "html", F.xxhash64("page_id").alias("_place"))
-        .orderBy("_place", "page_id")
-        .limit(most)
-        .collect()  # a bounded number of pages
-    )
-    read = [blocks_of(r["html"]) for r in sorted(sample, key=lambda r: (r["_place"], r["page_id"], r["html"]))]
+    shown = pages.where(F.col("html").isNotNull()).select("page_id", "html")
+    # A bounded number of pages; about as many as asked for, whatever the hash does at most twice.
+    sample = hashed_sample(shown, most, "page_id").limit(2 * most).collect()
+    read = [blocks_of(r["html"]) for r in sorted(sample, key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["html"]))]
     read = [b for b in read if b]
     if not read:
         texts = [f"Some words of a text, number {i}." for i in range(12)]
