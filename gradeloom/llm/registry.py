@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import new_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,6 +33,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    Unlike a checkpoint it carries nothing of the old plan along, which loops need: the
+    constraints of a checkpointed plan are inferred anew in every round and multiply.
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """About ``most`` rows of ``df``, those with the lowest hashes of ``keys``; all if there are no more.
 

@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import components
-from gradeloom.llm.registry import query, table
+from gradeloom.llm.registry import query, table, written
 from gradeloom.llm.token_ids import LOWER, SPACE_TABLE, batches_of, piece_hashes, word_bounds
-from gradeloom.session import cut_lineage, new_folder
+from gradeloom.session import new_folder
 
 WORDS = 5
 PERCENT = 80
@@ -379,18 +379,20 @@ def link(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    wanted = cut_lineage(
+    wanted = written(
         members.join(sizes, "root")
         .withColumn("blocks", blocks)
         .withColumn("block", here)
         .select("key", "first", "copies", "block", F.explode(cells).alias("c"))
-        .select("key", "first", "copies", "block", "c.*", (F.col("c.i") < F.col("c.j")).alias("across"))
+        .select("key", "first", "copies", "block", "c.*", (F.col("c.i") < F.col("c.j")).alias("across")),
+        "cells",
     )
     texts = only_ids(docs.select("doc_id", "text"), id_filter(wanted, "first"))
-    found = cut_lineage(
+    found = written(
         wanted.join(texts, wanted["first"] == texts["doc_id"])
         .groupBy("cell", "i", "j")
-        .applyInPandas(search, "a long, b long, links long")
+        .applyInPandas(search, "a long, b long, links long"),
+        "forest",
     )
 
     roots = components(found.select("a", "b"))
