@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import once_per_worker, query, table
+from gradeloom.llm.registry import beside, once_per_worker, query, table
 
 WINDOW = 13
 MOST_BYTES = 16_000_000
@@ -102,7 +102,7 @@ def spans(text: str | None, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-HITS = "n_words long, n_hit long, numbers array<int>, spans array<struct<begin:long,end:long>>"
+HITS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<begin:long,end:long>>"
 
 
 def benchmark_parts(items: DataFrame, most_bytes: int = MOST_BYTES) -> list[list[tuple[str, str]]]:
@@ -150,11 +150,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_bytes: in
                 rows.append((len(hit), int(hit.sum()), sorted(ids, key=lambda i: i.encode()), spans(text, hit)))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])
 
-    schema = HITS.replace("numbers array<int>", "item_ids array<string>")
-    scanned = F.pandas_udf(run, schema)
-    return docs.withColumn("_scan", scanned(F.col("text"))).select(
-        *[docs[c] for c in docs.columns], "_scan.*"
-    )
+    scanned = F.pandas_udf(run, HITS)
+    return beside(docs, scanned(docs["text"]), ["n_words", "n_hit", "item_ids", "spans"])
 
 
 def is_contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Column:
@@ -163,8 +160,7 @@ def is_contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Colum
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones, with its own columns only."""
-    marked = docs.withColumn("_row", F.struct(*[docs[c] for c in docs.columns])).select("_row", "text")
-    hits = scan(marked, items)
+    hits = scan(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"]), items)
     return hits.where(~is_contaminated(F.col("n_hit"), F.col("n_words"))).select("_row.*")
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import hashed_sample, query, table
+from gradeloom.llm.registry import beside, hashed_sample, query, table
 
 TRAINING_PAGES = 240
 LESSONS = 8  # changed copies of each page
@@ -486,7 +486,8 @@ def extract(pages: DataFrame, net: Lstm) -> DataFrame:
                 texts += ["\n".join(b.text for b, kept in zip(bs, ls) if kept) for bs, ls in zip(read, labels)]
             yield pd.Series(texts, dtype=object)
 
-    return pages.withColumn("text", F.pandas_udf(run, "string")(F.col("html")))
+    text = F.pandas_udf(run, "string")(pages["html"])
+    return beside(pages, F.struct(text.alias("text")), ["text"])
 
 
 @query("op1_main_text")

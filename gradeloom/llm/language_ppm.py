@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import query, table
+from gradeloom.llm.registry import beside, query, table
 from gradeloom.llm.token_ids import batches_of
 
 DOCS_PER_LANGUAGE = 600
@@ -196,8 +196,10 @@ def train(docs: DataFrame, most: int = DOCS_PER_LANGUAGE) -> Model | None:
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add lang_pred and score to ``docs``; only the text is looked at."""
+    fields = ("lang_pred", "score")
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return beside(docs, unknown, fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -211,7 +213,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": score})
 
     predict = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("_found", predict(F.col("text"))).select(*[docs[c] for c in docs.columns], "_found.*")
+    return beside(docs, predict(docs["text"]), fields)
 
 
 def held_out(rest: int, of: int) -> Column:

@@ -131,8 +131,8 @@ def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_kept`` (the text without its repeated chunks), ``_n_lines``, ``_n_removed``
-    and ``_n_chunks_removed`` added."""
+    """For each row of ``docs``: the row as a struct ``_row``, ``_kept`` (its text without repeated
+    chunks), ``_n_lines``, ``_n_removed`` and ``_n_chunks_removed``."""
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
         docs[order].alias("_id"),
@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
         .withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_removed")))
     )
     return kept.select(
-        "_row.*",
+        "_row",
         F.when(F.col("_text").isNull(), F.lit(None).cast("string"))
         .when(F.size("_removed") == 0, F.col("_text"))
         .otherwise(F.array_join(F.transform("_stay", lambda i: bytes_of(F.get(F.col("_chunks"), i))), "\n"))
@@ -166,12 +166,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     kept = dedup_lines(docs)
     changed = F.col("_n_chunks_removed") > 0
-    new = {"text": F.col("_kept")}
+    new = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
         length = F.length("_kept").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(changed, length).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, length).otherwise(new["n_chars"])
     rest = kept.where(~changed | (F.col("_n_removed") < F.col("_n_lines")))
-    return rest.withColumns(new).select(*docs.columns)
+    return rest.select(*[value.alias(c) for c, value in new.items()])
 
 
 _SQL = f"""
@@ -213,7 +213,7 @@ FROM m GROUP BY doc_id
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
-        "doc_id",
+        "_row.doc_id",
         F.col("_n_lines").alias("n_lines"),
         F.col("_n_removed").alias("n_removed"),
         F.col("_n_chunks_removed").alias("n_chunks_removed"),

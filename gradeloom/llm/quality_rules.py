@@ -117,28 +117,28 @@ def equal_lines(lines: Column) -> Column:
 
 
 def text_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measures as columns; ``df`` keeps its own, text may be null."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    """Add the measures as columns; own columns of their names are replaced, text may be null."""
+    whole = F.coalesce(F.col("_text"), F.lit(""))
     filled = lambda parts: F.filter(parts, lambda w: w != "")
-    staged = df.withColumns(
-        {
-            "_words": filled(F.split(whole, SPACE, -1)),
-            "_all_lines": F.split(whole, "\n", -1),
-        }
-    ).withColumn("_lines", F.filter("_all_lines", lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))))
+    row = F.struct(*[df[c] for c in df.columns]).alias("_row")
+    staged = (
+        df.select(row, df[text].alias("_text"))
+        .withColumns({"_words": filled(F.split(whole, SPACE, -1)), "_all_lines": F.split(whole, "\n", -1)})
+        .withColumn("_lines", F.filter("_all_lines", lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))))
+    )
     listed = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
-    return staged.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            # Text without its white space: the code points in words.
-            "word_chars": F.length(F.regexp_replace(whole, SPACE, "")).cast("long"),
-            "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": equal_lines(F.col("_lines")),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")),
-            "n_stop_words": F.expr(f"size(filter(_words, w -> lower(w) IN ({listed})))").cast("long"),
-        }
-    ).drop("_words", "_all_lines", "_lines")
+    measures = {
+        "n_words": F.size("_words").cast("long"),
+        # Text without its white space: the code points in words.
+        "word_chars": F.length(F.regexp_replace(whole, SPACE, "")).cast("long"),
+        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": equal_lines(F.col("_lines")),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_repeat_words": repeated_words(F.col("_words")),
+        "n_stop_words": F.expr(f"size(filter(_words, w -> lower(w) IN ({listed})))").cast("long"),
+    }
+    own = [F.col("_row")[c].alias(c) for c in df.columns if c not in measures]
+    return staged.select(*own, *[value.alias(name) for name, value in measures.items()])
 
 
 def failed_any(rules: Iterable[Rule]) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.session import new_folder
@@ -44,6 +44,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def beside(df: DataFrame, result: Column, fields: Iterable[str]) -> DataFrame:
+    """``df`` with the fields of a struct column added; own columns of these names are replaced.
+
+    The rows travel as one value meanwhile, so no name of theirs can clash with a working column.
+    """
+    names = list(fields)
+    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), result.alias("new"))
+    own = [F.col("row")[c].alias(c) for c in df.columns if c not in names]
+    return packed.select(*own, *[F.col("new")[n].alias(n) for n in names])
+
+
 def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """About ``most`` rows of ``df``, those with the lowest hashes of ``keys``; all if there are no more.
 

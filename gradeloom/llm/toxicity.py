@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import query, table
+from gradeloom.llm.registry import beside, query, table
 from gradeloom.session import cut_lineage
 
 LABELLED_DOCS = 16_000
@@ -377,13 +377,14 @@ def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
         for column in columns:
             yield pd.Series([own.score(t) for t in column], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    score = F.pandas_udf(run, "double")(docs["text"])
+    return beside(docs, F.struct(score.alias("score")), ["score"])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learned: Column | None = None) -> DataFrame:
     """``docs`` without the texts that the scorer rejects, with its own columns only."""
     scorer = train(docs.select("doc_id", "text"), labels, learned)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"])
     return score_texts(rows, scorer).where(F.col("score") < THRESHOLD).select("_row.*")
 
 
