@@ -63,7 +63,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> dict:
         weight[(weight < LEAST_COUNT) | (symbols[mine] != symbols[:-1]) | (symbols[mine + 1] != symbols[1:])] = 0
         around = np.zeros(len(weight) + 2, np.int32)
         around[1:-1] = weight
-        chosen = np.flatnonzero((weight > around[:-2]) & (weight >= around[2:]))
+        peak = (weight > 0) & (weight >= around[:-2]) & (weight >= around[2:])
+        # Of peaks in a row, which are equally frequent, every other one.
+        peaks = np.flatnonzero(peak)
+        row = peaks[np.maximum.accumulate(np.where(np.diff(peaks, prepend=-2) > 1, np.arange(len(peaks)), 0))]
+        chosen = peaks[(peaks - row) % 2 == 0]
         names = slot[chosen]
         often = np.bincount(names, minlength=1 << bits) >= LEAST_COUNT
         chosen = chosen[often[names]]
