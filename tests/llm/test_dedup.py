@@ -145,7 +145,7 @@ def test_repeated_bytes(spark, copies, monkeypatch):
     rows = [*copies, *few, *tied, (3000, copies[0][1][7:] + copies[5][1]), (3001, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert removed(suffix_dedup.remove_repeats(docs)) == brute_bytes(rows)
-    monkeypatch.setattr(suffix_dedup, "batches_of", lambda texts: ((i, min(i + 3, len(texts))) for i in range(0, len(texts), 3)))
+    monkeypatch.setattr(suffix_dedup, "batches_of", lambda texts, most: ((i, min(i + 3, len(texts))) for i in range(0, len(texts), 3)))
     assert removed(suffix_dedup.remove_repeats(docs)) == brute_bytes(rows)
 
 
