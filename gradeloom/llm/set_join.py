@@ -44,7 +44,8 @@ PERCENT = 80
 SLOTS = 1 << 20  # of the table that ranks shingles; only speed depends on it
 FILTER_BITS = 1 << 26  # of the filter in front of the texts' shuffle; only speed depends on it
 SLICES = 64
-BLOCK = 1000  # sets in a block of a cell
+BLOCK = 500  # sets in a block of a cell
+BATCH = 2_000_000  # characters of texts read together
 SHORT = 0.02  # DivideSkip's weight of probing against merging
 
 
@@ -133,7 +134,7 @@ def read_sets(docs: DataFrame, folder: str) -> None:
         counts = np.zeros(SLOTS, np.uint32)
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, BATCH):
                 value, begin = shingle_sets(texts[a:b])
                 counts += np.bincount(slot_of(value, SLOTS), minlength=SLOTS).astype(np.uint32)
                 yield pd.DataFrame(
@@ -155,7 +156,7 @@ def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, BATCH):
                 value, begin = shingle_sets(texts[a:b])
                 keys = set_keys(value, begin)
                 n = np.diff(begin)
@@ -278,7 +279,10 @@ class Cell:
 
 def search(rows: pd.DataFrame) -> pd.DataFrame:
     """Forest and link counts of one cell (text, key, copies, block, side)."""
-    value, begin = shingle_sets(rows["text"].tolist())
+    texts = rows["text"].tolist()
+    parts = [shingle_sets(texts[i:j]) for i, j in batches_of(texts, BATCH)]
+    value = np.concatenate([v for v, _ in parts])
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
     keys = set_keys(value, begin)
     rows = rows.assign(n=np.diff(begin), place=np.arange(len(rows)))
     rows = rows[keys == rows["key"].to_numpy()].drop_duplicates("key").sort_values(["n", "key"])
