@@ -227,7 +227,7 @@ def json_command_match(spark: SparkSession, sf: str) -> DataFrame:
     """
     WITH texts AS (
       SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html
-             ELSE substr(html, 1, 40) || '```' || chr(10) || ' ' || url || ' ' || chr(10) END AS text
+             ELSE html || '```' || chr(10) || ' ' || url || ' ' || chr(10) END AS text
       FROM pages)
     SELECT page_id, md5(split_part(text, '```', 1)) AS body,
            md5(CASE WHEN strpos(text, '```') > 0
@@ -237,9 +237,7 @@ def json_command_match(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def fence_parts(spark: SparkSession, sf: str) -> DataFrame:
-    fenced = F.concat(
-        F.substring("html", 1, 40), F.lit("```\n "), F.col("url"), F.lit(" \n")
-    )
+    fenced = F.concat(F.col("html"), F.lit("```\n "), F.col("url"), F.lit(" \n"))
     text = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(fenced)
     return table(spark, sf, "pages").select(
         "page_id",
@@ -470,18 +468,19 @@ def code_parses(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """
     WITH r AS (
-      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+      SELECT CASE WHEN l_orderkey % 50 > 0 THEN l_orderkey END AS l_orderkey, l_linenumber, l_partkey, l_suppkey,
              CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS reward
       FROM lineitem),
     m AS (SELECT l_orderkey, avg(reward) AS mean, stddev_pop(reward) AS std FROM r GROUP BY l_orderkey)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, reward,
            round(greatest(-1.5, least(1.5, (reward - mean) / greatest(std, 1e-7))), 6)::DOUBLE + 0.0 AS norm_reward
-    FROM r JOIN m USING (l_orderkey)
+    FROM r JOIN (SELECT l_orderkey AS k, mean, std FROM m) ON l_orderkey IS NOT DISTINCT FROM k
     """
 )
 def reward_norm_clip(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
-        "l_orderkey",
+        # Some rows belong to no batch.
+        F.when(F.col("l_orderkey") % 50 > 0, F.col("l_orderkey")).alias("l_orderkey"),
         "l_linenumber",
         "l_partkey",
         "l_suppkey",

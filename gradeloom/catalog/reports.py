@@ -224,26 +224,29 @@ def pass_at_k_many_attempts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_VERDICTS_SQL}
-    SELECT task_id, completion_id // 4 AS chunk, count(*) OVER () * 0 + any_value(n) AS nfiles,
-           array_agg(base_status ORDER BY completion_id) AS base,
-           array_agg(plus_status ORDER BY completion_id) AS plus
-    FROM v JOIN (SELECT task_id, count(*) AS n FROM v GROUP BY task_id) USING (task_id)
-    GROUP BY task_id, completion_id // 4
+    SELECT task_id, completion_id, base_status AS base, plus_status AS plus,
+           count(*) OVER (PARTITION BY task_id) AS nfiles
+    FROM v
     """
 )
 def verdict_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.verdict_lists(cut_lineage(_verdicts(spark, sf)), chunk=4)
+    return reports.verdict_lists(cut_lineage(_verdicts(spark, sf)))
 
 
 @query(
     f"""
     WITH {_PER_TASK_SQL}
-    SELECT o_orderkey AS task_id, o_orderpriority, attempts, base, plus
-    FROM orders JOIN t ON o_orderkey = task_id
+    SELECT c.o_orderkey AS task_id, o_orderpriority, coalesce(attempts, 0) AS attempts, coalesce(base, 0) AS base,
+           coalesce(plus, 0) AS plus, attempts IS NOT NULL AS has_verdicts
+    FROM (SELECT o_orderkey, o_orderpriority FROM orders
+          UNION ALL SELECT -c_custkey, 'none' FROM customer) c LEFT JOIN t ON o_orderkey = task_id
     """
 )
 def verdict_counts_on_details(spark: SparkSession, sf: str) -> DataFrame:
     details = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), "o_orderpriority")
+    # Tasks that no verdict is about.
+    untested = table(spark, sf, "customer").select(-F.col("c_custkey"), F.lit("none"))
+    details = details.union(untested)
     per_task = reports.attempts_per_task(_attempts(spark, sf), _flags())
     return reports.with_verdict_counts(details, per_task)
 

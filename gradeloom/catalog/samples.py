@@ -36,16 +36,20 @@ def mcq_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-    SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN
-             p_name || chr(10) || 'Options:' || chr(10) || 'A. ' || p_brand || chr(10)
-             || 'B. ' || p_type || chr(10) || 'C. ' || p_size || chr(10) END AS prompt FROM part
+    SELECT p_partkey, p_name || chr(10) || 'Options:' || chr(10) || 'A. ' || p_brand || chr(10)
+             || 'B. ' || p_type || chr(10) || 'C. ' || p_size || chr(10)
+             || CASE WHEN p_partkey % 4 < 3 THEN '' ELSE 'D. ' || p_brand || chr(10)
+             || 'E. ' || p_type || chr(10) || 'F. ' || p_size || chr(10) END AS prompt,
+           CASE WHEN p_partkey % 4 = 3 THEN '6 options, but only 5 letters' END AS error FROM part
     """
 )
 def lettered_options(spark: SparkSession, sf: str) -> DataFrame:
     many = F.concat(F.col("options"), F.col("options"))
     options = F.when(F.col("p_partkey") % 4 < 3, F.col("options")).otherwise(many)
     return _parts(spark, sf).select(
-        "p_partkey", P.lettered_options(F.col("p_name"), options).alias("prompt")
+        "p_partkey",
+        P.lettered_options(F.col("p_name"), options).alias("prompt"),
+        P.options_error(options).alias("error"),
     )
 
 

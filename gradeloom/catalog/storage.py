@@ -67,16 +67,15 @@ def stored_shard(spark: SparkSession, sf: str) -> DataFrame:
     """
     SELECT event_type AS split, unnest(['value/mean', 'value/std', 'value/min', 'value/max']) AS metric,
            round(unnest([avg(value), stddev_pop(value), min(value), max(value)]), 6) AS value
-    FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type
+    FROM events GROUP BY event_type
     """
 )
 def stored_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Summaries of two splits next to each other under one run."""
+    """Summaries of all splits next to each other under one run."""
     path = new_folder(spark, "summaries")
     events = table(spark, sf, "events")
-    for split in ("click", "view"):
-        bundle = metric_bundle(events.where(F.col("event_type") == split), F.col("value"), "value")
-        tables.write_summary(bundle, path, "run-1", split)
+    bundle = metric_bundle(events, F.col("value"), "value", ["event_type"])
+    tables.write_summaries(bundle.withColumnRenamed("event_type", "split"), path, "run-1")
     stored = tables.read_summaries(spark, path)
     return stored.select("split", "metric", F.round("value", 6).alias("value"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gradeloom.catalog.registry import query, table
 from gradeloom.functions.vectors import soft_mask
 from gradeloom.operators import matrices, population, ranking, reports, weights
+from gradeloom.operators.positions import with_position
 
 _LONG = """
     e AS (SELECT vec_id, label, unnest(range(64))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
@@ -41,12 +42,12 @@ def mask_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-    SELECT vec_id, list_transform(range(1, 9), lambda i: round(1.0 - least(1.0, greatest(0.0,
-             i::DOUBLE - (label / 10.0) * 8)), 6)) AS mask FROM embeddings
+    SELECT vec_id, list_transform(range(1, 1 + label), lambda i: round(1.0 - least(1.0, greatest(0.0,
+             i::DOUBLE - ((vec_id % 5) / 4.0) * label)), 6)) AS mask FROM embeddings
     """
 )
 def soft_masks(spark: SparkSession, sf: str) -> DataFrame:
-    mask = soft_mask(F.lit(8), F.col("label") / 10.0)
+    mask = soft_mask(F.col("label"), (F.col("vec_id") % 5) / 4.0)
     return _vectors(spark, sf).select("vec_id", F.transform(mask, lambda m: F.round(m, 6)).alias("mask"))
 
 
@@ -62,7 +63,7 @@ def _gauss_sql(seed: int, rest: str) -> str:
 
 @query(
     f"""
-    SELECT vec_id::VARCHAR AS name, list_transform(range(0, 1 + (vec_id % 5)), lambda i:
+    SELECT vec_id::VARCHAR AS name, list_transform(range(0, vec_id % 5), lambda i:
       0.0 + round(0.1 + 0.01 * {_gauss_sql(7, "vec_id || ':' || i")}, 6)) AS values FROM embeddings
     """
 )
@@ -70,31 +71,31 @@ def init_vectors(spark: SparkSession, sf: str) -> DataFrame:
     shapes = table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("name"),
         F.lit(64).alias("rows"),
-        (1 + F.col("vec_id") % 5).cast("int").alias("cols"),
+        (F.col("vec_id") % 5).cast("int").alias("cols"),
     )
     start = weights.init_vectors(shapes, 0.1, 7)
     return start.select("name", _rounded("values").alias("values"))
 
 
+# A vector's name is its place among the vectors of its label, in number order.
+_PLACED = """
+    placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS name FROM embeddings)
+"""
 # An expert's weight for a name: from the first entry of its vector.
-_COEFFICIENTS = """
-    c AS (SELECT label AS expert, vec_id % 50 AS name, avg(1.0 + abs(embedding[1]::DOUBLE)) AS weight
-          FROM embeddings GROUP BY ALL)
+_COEFFICIENTS = f"""
+    {_PLACED}, c AS (SELECT label AS expert, name, 1.0 + abs(embedding[1]::DOUBLE) AS weight FROM placed)
 """
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
-    """(expert, name, values): one vector for each expert and name, the lowest number wins."""
-    vectors = _vectors(spark, sf).withColumn("name", F.col("vec_id") % 50)
-    return vectors.groupBy(F.col("label").alias("expert"), "name").agg(
-        F.min_by("values", "vec_id").alias("values")
-    )
+    """(expert, name, values): every vector, named by its place among those of its label."""
+    placed = with_position(_vectors(spark, sf), ["vec_id"], ["label"], "name")
+    return placed.select(F.col("label").alias("expert"), "name", "values")
 
 
 def _coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).groupBy(F.col("label").alias("expert"), (F.col("vec_id") % 50).alias("name")).agg(
-        F.avg(1.0 + F.abs(F.get("values", F.lit(0)))).alias("weight")
-    )
+    weight = 1.0 + F.abs(F.get("values", F.lit(0)))
+    return _named(spark, sf).select("expert", "name", weight.alias("weight"))
 
 
 @query(
@@ -115,14 +116,14 @@ def mean_mix_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMED = f"""
-    {_LONG}, first_of AS (SELECT label AS expert, vec_id % 50 AS name, min(vec_id) AS vec_id FROM embeddings GROUP BY ALL),
-    p AS (SELECT expert, name, i, v FROM first_of JOIN e USING (vec_id))
+    {_LONG}, {_PLACED},
+    p AS (SELECT placed.label AS expert, name, i, v FROM placed JOIN e USING (vec_id))
 """
 
 
 @query(
     f"""
-    WITH {_NAMED}, {_COEFFICIENTS},
+    WITH {_NAMED}, c AS (SELECT label AS expert, name, 1.0 + abs(embedding[1]::DOUBLE) AS weight FROM placed),
     n AS (SELECT expert, name, weight / sum(weight) OVER (PARTITION BY name) AS w FROM c),
     s AS (SELECT name, i, sum(w * v) AS v FROM p JOIN n USING (expert, name) GROUP BY name, i)
     SELECT name, {_list('v')} AS values FROM s GROUP BY name
@@ -172,8 +173,7 @@ def magnitude_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return bundle.withColumn("value", F.round("value", 6))
 
 
-# A ring with chords: node n hears n + 1 and n + 2 modulo 10; every seventh name
-# of a node is kept as that node's vector of that name.
+# A ring with chords: node n hears n + 1 and n + 2 modulo 10.
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, sf).withColumnRenamed("expert", "node")
 
@@ -372,20 +372,23 @@ def blended_best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _owned(spark: SparkSession, sf: str) -> DataFrame:
-    """Parameters of an owner in number order; vectors of different length."""
-    length = (1 + F.col("vec_id") % 64).cast("int")
+    """Parameters of an owner in number order; a vector and its first entries once more, one in seven empty."""
+    again = F.slice("values", F.lit(1), (F.col("vec_id") % 64).cast("int"))
+    whole = F.concat("values", again)
     return _vectors(spark, sf).select(
         F.col("label").alias("owner"),
         F.col("vec_id").alias("position"),
         F.col("vec_id").cast("string").alias("name"),
-        F.slice("values", F.lit(1), length).alias("values"),
+        F.when(F.col("vec_id") % 7 > 0, whole).otherwise(F.array().cast("array<double>")).alias("values"),
     )
 
 
 _FLAT = f"""
-    {_LONG}, f AS (
+    w AS (SELECT label, vec_id, CASE WHEN vec_id % 7 > 0 THEN list_concat(embedding, embedding[1:vec_id % 64]) ELSE [] END AS whole
+          FROM embeddings),
+    f AS (
       SELECT label AS owner, vec_id, i, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS flat
-      FROM e WHERE i < 1 + (vec_id % 64))
+      FROM (SELECT label, vec_id, unnest(range(len(whole))) AS i, unnest(whole)::DOUBLE AS v FROM w))
 """
 
 
@@ -398,7 +401,8 @@ def flatten_params(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_FLAT}
-    SELECT owner, vec_id AS position, vec_id::VARCHAR AS name, {_list('v')} AS values FROM f GROUP BY owner, vec_id
+    SELECT label AS owner, vec_id AS position, vec_id::VARCHAR AS name, coalesce(any_value(vs), []) AS values
+    FROM w LEFT JOIN (SELECT vec_id, {_list('v')} AS vs FROM f GROUP BY vec_id) USING (vec_id) GROUP BY label, vec_id
     """
 )
 def split_params(spark: SparkSession, sf: str) -> DataFrame:

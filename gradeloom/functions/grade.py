@@ -113,52 +113,46 @@ def _both_wrapped(a: Column, b: Column) -> Column:
 
 
 def answers_equal(
-    gold: Column,
-    prediction: Column,
-    percent: bool = True,
-    rel_tol: float = 1e-4,
-    depth: int = 2,
+    gold: Column, prediction: Column, percent: bool = True, rel_tol: float = 1e-4
 ) -> Column:
     """Equality of two non-null answer texts: numbers, brackets, then tuple parts.
 
-    Two numbers are decided by their values alone. Parts of a tuple or interval
-    are compared the same way, ``depth`` levels down; :func:`too_deep` tells
-    which pairs go beyond that.
+    Two numbers are decided by their values alone. Parts of a tuple or interval are
+    compared the same way at any depth: a list of undecided pairs starts with the two
+    texts, and every step drops the equal ones and replaces bracketed ones by
+    their parts, as many steps as the text has opening brackets. One unequal pair makes the list null.
     """
+    none = F.array().cast("array<struct<x:string,y:string>>")
 
-    def parts_equal(a: Column, b: Column) -> Column:
-        def compare(g: Column, p: Column) -> Column:
-            alike = F.zip_with(
-                g, p, lambda x, y: answers_equal(x, y, percent, rel_tol, depth - 1)
-            )
-            return (F.size(g) == F.size(p)) & F.forall(alike, lambda ok: ok)
-
-        if depth == 0:
-            return F.lit(False)
-        same = let(compare, _parts(a), _parts(b))
-        return _both_wrapped(a, b) & F.coalesce(same, F.lit(False))
+    def rest(pair: Column) -> Column:
+        """What is left to decide of a pair: nothing, its parts, or null for unequal."""
+        return let(by_value, pair, F.transform(F.array(pair["x"], pair["y"]), as_number))
 
-    def texts_equal(a: Column, b: Column) -> Column:
-        return _bare_equal(a, b) | parts_equal(a, b)
-
-    def decide(sides: Column, values: Column) -> Column:
+    def by_value(pair: Column, values: Column) -> Column:
         x, y = values[0], values[1]
+        both = x.isNotNull() & y.isNotNull()
         return (
-            F.when(x.isNotNull() & y.isNotNull(), numbers_agree(x, y, percent, rel_tol))
-            .when(sides[0] == "", F.lit(False))
-            .otherwise(let(texts_equal, strip(sides[0]), strip(sides[1])))
+            F.when(both & numbers_agree(x, y, percent, rel_tol), none)
+            .when(both | (pair["x"] == ""), F.lit(None))
+            .otherwise(let(by_text, strip(pair["x"]), strip(pair["y"])))
         )
 
-    return let(
-        lambda sides: let(decide, sides, F.transform(sides, as_number)),
-        F.array(gold, prediction),
-    )
+    def by_text(a: Column, b: Column) -> Column:
+        return F.when(_bare_equal(a, b), none).when(
+            _both_wrapped(a, b), let(by_parts, _parts(a), _parts(b))
+        )
 
+    def by_parts(p: Column, q: Column) -> Column:
+        pairs = F.zip_with(p, q, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.when(F.size(p) == F.size(q), pairs)
 
-def too_deep(gold: Column, prediction: Column) -> Column:
-    """Both answers open with more than two levels of brackets."""
-    nested = r"\A[\[(][\[(][\[(]"
-    return strip(gold).rlike(nested) & strip(prediction).rlike(nested)
+    opened = F.length(gold) - F.length(F.translate(gold, "([", ""))
+    left = F.aggregate(
+        F.sequence(F.lit(0), opened),
+        F.array(F.struct(gold.alias("x"), prediction.alias("y"))),
+        lambda todo, _: F.flatten(F.transform(todo, rest)),
+    )
+    return F.coalesce(F.size(left) == 0, F.lit(False)) & left.isNotNull()
 
 
 def latex_verdict(
@@ -167,8 +161,7 @@ def latex_verdict(
     """Equality of LaTeX answers and what a reader should look at, as one struct.
 
     Fields: ``correct``; ``raw_compared`` (no normal form, texts taken as they
-    are); ``needs_review`` (nested deeper than compared); ``needs_symbolic``
-    (unequal, but only algebra could tell for certain).
+    are); ``needs_symbolic`` (unequal, but only algebra could tell for certain).
     """
 
     def forms(sides: Column) -> Column:
@@ -186,19 +179,18 @@ def latex_verdict(
     def flags(sides: Column, raw: Column, equal: Column) -> Column:
         numbers = F.forall(sides, is_number)
         settled = equal | numbers | (sides[0] == "")
-        return _verdict(equal, raw, ~equal & too_deep(sides[0], sides[1]), ~settled)
+        return _verdict(equal, raw, ~settled)
 
     no = F.lit(False)
     return F.when(
         gold.isNotNull() & prediction.isNotNull(), let(forms, F.array(gold, prediction))
-    ).otherwise(_verdict(gold.isNull() & prediction.isNull(), no, no, no))
+    ).otherwise(_verdict(gold.isNull() & prediction.isNull(), no, no))
 
 
-def _verdict(correct: Column, raw: Column, review: Column, symbolic: Column) -> Column:
+def _verdict(correct: Column, raw: Column, symbolic: Column) -> Column:
     return F.struct(
         correct.alias("correct"),
         raw.alias("raw_compared"),
-        review.alias("needs_review"),
         symbolic.alias("needs_symbolic"),
     )
 

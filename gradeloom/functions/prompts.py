@@ -35,14 +35,19 @@ def options_prompt(question: Column, options: Column) -> Column:
     return F.concat(question, F.lit("\nOptions: \n"), F.array_join(options, "\n"))
 
 
-def lettered_options(question: Column, options: Column, max_options: int = 5) -> Column:
-    """Question and options lettered from A; null when there are too many options."""
+def lettered_options(question: Column, options: Column) -> Column:
+    """Question and options lettered from A, all of them; see :func:`options_error`."""
     lines = F.transform(
         options,
         lambda text, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), text, F.lit("\n")),
     )
-    whole = F.concat(question, F.lit("\nOptions:\n"), F.array_join(lines, ""))
-    return F.when(F.size(options) <= max_options, whole)
+    return F.concat(question, F.lit("\nOptions:\n"), F.array_join(lines, ""))
+
+
+def options_error(options: Column, max_options: int = 5) -> Column:
+    """Why a question does not fit its answer letters; null when it does."""
+    said = F.concat_ws(" ", F.size(options), F.lit(f"options, but only {max_options} letters"))
+    return F.when(F.size(options) > max_options, said)
 
 
 def code_task_from_docstring(prompt: Column) -> tuple[Column, Column]:

@@ -16,12 +16,18 @@ def sigmoid_mask(values: Column, max_mult: float = 1.0) -> Column:
     return F.transform(values, lambda p: F.lit(float(max_mult)) / (F.lit(1.0) + F.exp(-p)))
 
 
+def upto(n: Column | int) -> Column:
+    """The numbers 0 to n - 1 as an array; none if n is not above zero or null."""
+    last = (n if isinstance(n, Column) else F.lit(n)).cast("int") - 1
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
 def soft_mask(n: Column, fraction: Column) -> Column:
     """Mask of length n whose first ``fraction * n`` entries are open."""
     return F.transform(
-        F.sequence(F.lit(1).cast("bigint"), n.cast("bigint")),
+        upto(n),
         lambda i: F.lit(1.0)
-        - F.least(F.lit(1.0), F.greatest(F.lit(0.0), i.cast("double") - fraction * n)),
+        - F.least(F.lit(1.0), F.greatest(F.lit(0.0), (i + 1).cast("double") - fraction * n)),
     )
 
 

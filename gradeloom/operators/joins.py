@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions.vectors import upto
+
 
 def with_generations(samples: DataFrame, generations: DataFrame, key: str = "sample_id") -> DataFrame:
     """Samples with their generations; samples without one are in :func:`missing`."""
@@ -50,5 +52,5 @@ def only_correct(rows: DataFrame, details: DataFrame, key: str = "sample_id") ->
 
 
 def repeat_requests(df: DataFrame, n: int) -> DataFrame:
-    """Every request n times, numbered by ``completion_no``."""
-    return df.withColumn("completion_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Every request n times, numbered by ``completion_no``; no rows for n = 0."""
+    return df.withColumn("completion_no", F.explode(upto(n)))

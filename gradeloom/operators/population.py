@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.vectors import blend, gaussian, uniform
+from gradeloom.functions.vectors import blend, gaussian, uniform, upto
 
 
 def _members(dimensions: DataFrame, size: int) -> DataFrame:
     """Every dimension once for each of the ``size`` members."""
-    return dimensions.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return dimensions.withColumn("member", F.explode(upto(size)))
 
 
 def _with_best(value: Column, keep_best: bool) -> Column:

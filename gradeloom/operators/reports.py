@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,55 +105,45 @@ def numbered_attempts(
     return with_position(completions, [ordinal], [task], name)
 
 
-def verdict_lists(verdicts: DataFrame, chunk: int = 1000, task: str = "task_id") -> DataFrame:
-    """Statuses per task in completion order, with the number of completions.
+def verdict_lists(verdicts: DataFrame, task: str = "task_id") -> DataFrame:
+    """Statuses per task, one row per completion, with the task's number of completions.
 
-    Lists come in chunks of ``chunk`` completions, so that a task with very many
-    of them is several rows; a task within one chunk is exactly one row.
+    The same shape however many completions a task has: no list to outgrow a row.
     """
     files = verdicts.groupBy(task).agg(F.count(F.lit(1)).alias("nfiles"))
-    entry = F.struct("completion_id", "base_status", "plus_status")
-    lists = (
-        verdicts.groupBy(task, chunk_of(F.col("completion_id"), chunk).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select(
-            task,
-            "chunk",
-            F.col("entries.base_status").alias("base"),
-            F.col("entries.plus_status").alias("plus"),
-        )
+    rows = verdicts.select(
+        task, "completion_id", F.col("base_status").alias("base"), F.col("plus_status").alias("plus")
     )
-    return lists.join(files, task)
+    return rows.join(files, task)
 
 
 def with_verdict_counts(details: DataFrame, per_task: DataFrame, task: str = "task_id") -> DataFrame:
-    """Verdict counts of the task on each detail row."""
-    return details.join(per_task, task)
+    """Verdict counts of the task on each detail row; zero, and ``has_verdicts`` false, where it has none."""
+    counted = per_task.withColumn("has_verdicts", F.lit(True))
+    zero = {c: 0 for c in per_task.columns if c != task}
+    return details.join(counted, task, "left").fillna(zero | {"has_verdicts": False}, [*zero, "has_verdicts"])
 
 
 def routed_report(graded: DataFrame, label: str = "expert_label") -> DataFrame:
     """Per expert: samples and accuracy; and the total over *all* samples.
 
     Samples without an expert are not graded but stay in the denominator.
-    ``graded`` holds every classified sample once, with ``evaluated`` and ``correct``.
+    ``graded`` holds every sample once, with ``evaluated`` and ``correct``.
     """
     hits = F.coalesce(F.col("correct"), F.lit(False)).cast("int")
-    per_label = graded.groupBy(label).agg(
+    whole = F.grouping(label) == 1
+    # Labels and the total in one pass; a missing label is a group of its own.
+    rolled = graded.rollup(label).agg(
+        whole.alias("_whole"),
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("evaluated"), 1).otherwise(0)).alias("num_samples"),
+        F.sum(F.when(F.col("evaluated"), 1).otherwise(0)).alias("_asked"),
         F.sum(F.when(F.col("evaluated"), hits).otherwise(0)).alias("hits"),
     )
-    experts = per_label.where(F.col("num_samples") > 0).select(
-        F.col(label),
-        "num_samples",
-        (F.col("hits") / F.col("num_samples")).alias("test_acc"),
-    )
-    total = per_label.agg(
-        F.lit("final_test_acc").alias(label),
-        F.sum("n").alias("num_samples"),
-        (F.sum("hits") / F.sum("n")).alias("test_acc"),
+    return rolled.where(F.col("_whole") | (F.col("_asked") > 0)).select(
+        F.when(F.col("_whole"), "final_test_acc").otherwise(F.col(label)).alias(label),
+        F.when(F.col("_whole"), F.col("n")).otherwise(F.col("_asked")).alias("num_samples"),
+        F.try_divide("hits", F.when(F.col("_whole"), F.col("n")).otherwise(F.col("_asked"))).alias("test_acc"),
     )
-    return experts.unionByName(total)
 
 
 def normalized_rewards(
@@ -168,10 +160,13 @@ def normalized_rewards(
     """
     out = F.col(reward)
     if normalize:
-        moments = df.groupBy(*batch).agg(
+        named = [F.col(c).alias(f"_of_{c}") for c in batch]
+        moments = df.groupBy(*named).agg(
             F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std")
         )
-        df = df.join(moments, list(batch))
+        # Rows without a batch are a batch of their own.
+        same = reduce(and_, (df[c].eqNullSafe(moments[f"_of_{c}"]) for c in batch))
+        df = df.join(moments, same).drop(*[f"_of_{c}" for c in batch])
         out = (out - F.col("_mean")) / F.greatest(F.col("_std"), F.lit(1e-7))
     if clip is not None and clip > 0:
         out = F.greatest(F.lit(-float(clip)), F.least(F.lit(float(clip)), out))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.vectors import gaussian, sigmoid_mask
+from gradeloom.functions.vectors import gaussian, sigmoid_mask, upto
 from gradeloom.operators.positions import running
 from gradeloom.session import cut_lineage
 
@@ -61,8 +61,7 @@ def init_vectors(
     shapes: DataFrame, value: float, seed: int | str, spread: float = 0.01
 ) -> DataFrame:
     """Start vectors ``value + spread * gaussian`` of length ``least(rows, cols)`` per name."""
-    length = F.least("rows", "cols").cast("int")
-    index = F.sequence(F.lit(0), length - 1)
+    index = upto(F.least("rows", "cols"))
     filled = F.transform(
         index, lambda i: F.lit(float(value)) + F.lit(spread) * gaussian(seed, F.col("name"), i)
     )
@@ -180,17 +179,40 @@ def flattened(params: DataFrame) -> DataFrame:
 
 
 def split_by_sizes(flat: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Named vectors again, from ``flat(owner, flat, value)`` and ``sizes(owner, position, name, n)``."""
+    """Named vectors again, from ``flat(owner, flat, value)`` and ``sizes(owner, position, name, n)``.
+
+    Values travel in slices of neighbours, and a vector meets the slices it lies in.
+    A vector of length zero comes back empty.
+    """
     placed = running(
         sizes, ["owner"], ["position"], {"_before": ("sum", F.col("n").cast("bigint"))}, inclusive=False
-    )
-    offset = F.coalesce(F.col("_before"), F.lit(0))
-    places = placed.where(F.col("n") > 0).select(
+    ).withColumn("_from", F.coalesce(F.col("_before"), F.lit(0)))
+    places = placed.select(
         "owner",
         "position",
         "name",
-        F.explode(F.sequence(offset, offset + F.col("n") - 1)).alias("flat"),
+        "_from",
+        "n",
+        # An empty vector asks for a slice that does not exist.
+        F.explode(
+            F.when(
+                F.col("n") > 0,
+                F.sequence(
+                    F.floor(F.col("_from") / SLICE), F.floor((F.col("_from") + F.col("n") - 1) / SLICE)
+                ),
+            ).otherwise(F.array(F.lit(-1).cast("bigint")))
+        ).alias("_slice"),
+    )
+    entry = F.struct("flat", "value")
+    slices = flat.groupBy("owner", F.floor(F.col("flat") / SLICE).alias("_slice")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_entries")
+    )
+    inside = F.filter(
+        F.coalesce("_entries", F.array().cast("array<struct<flat:bigint,value:double>>")),
+        lambda e: (e["flat"] >= F.col("_from")) & (e["flat"] < F.col("_from") + F.col("n")),
+    )
+    met = places.join(slices, ["owner", "_slice"], "left").select(
+        "owner", "position", "name", F.struct("_slice", inside["value"].alias("part")).alias("_part")
     )
-    entries = flat.select("owner", "flat", "value").join(places, ["owner", "flat"])
-    parts = F.array_sort(F.collect_list(F.struct("flat", "value")))
-    return entries.groupBy("owner", "position", "name").agg(parts["value"].alias("values"))
+    parts = F.array_sort(F.collect_list("_part"))
+    return met.groupBy("owner", "position", "name").agg(F.flatten(parts["part"]).alias("values"))

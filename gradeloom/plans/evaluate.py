@@ -25,6 +25,7 @@ from gradeloom.operators.reports import (
     numbered_attempts,
     pass_at_k_report,
     routed_report,
+    with_verdict_counts,
 )
 from gradeloom.operators.splits import pick_positions
 
@@ -214,7 +215,7 @@ def code_answers(
         "task_id", *[F.col(name).alias(f"{name}_correct") for name in flags]
     )
     metrics = pass_at_k_report(per_task, list(flags), ks, f"{source}_").select("metric", "value")
-    return Evaluation(metrics, details.join(counts, "task_id"))
+    return Evaluation(metrics, with_verdict_counts(details, counts))
 
 
 def with_solutions(problems: DataFrame, completions: DataFrame, clean: bool) -> DataFrame:
@@ -252,15 +253,18 @@ def routed_answers(
     ``classifications(sample_id, classification)`` hold the classifier's output,
     ``generations(sample_id, expert_label, generation)`` the answers of every
     expert, ``experts(expert_label)`` those that exist; ``grade`` is one of the
-    graders of this module. Samples whose category has no expert count in the
-    total only.
+    graders of this module. Samples without a category, or one without an expert, count in the
+    total only; a sample without a stored answer is wrong. Of several answers the first text counts.
     """
     box = E.first_box(F.col("classification"))
     labels = classifications.select("sample_id", E.expert_label(box).alias("expert_label"))
-    routed = with_experts(samples.join(labels, "sample_id"), experts)
-    answered = routed.join(generations, ["sample_id", "expert_label"], "left")
-    graded = grade(answered.withColumnRenamed("generation", "output"))
-    graded = graded.withColumn("correct", F.when(F.col("evaluated"), F.col("correct")))
+    # One category and one answer per sample, so that none counts twice.
+    labels = labels.groupBy("sample_id").agg(F.min("expert_label").alias("expert_label"))
+    answers = generations.groupBy("sample_id", "expert_label").agg(F.min("generation").alias("output"))
+    routed = with_experts(samples.join(labels, "sample_id", "left"), experts)
+    graded = grade(routed.join(answers, ["sample_id", "expert_label"], "left"))
+    said = F.col("output").isNotNull()
+    graded = graded.withColumn("correct", F.when(F.col("evaluated"), said & F.col("correct")))
     return Evaluation(routed_report(graded), graded)
 
 

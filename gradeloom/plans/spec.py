@@ -162,7 +162,7 @@ TASKS: dict[str, TaskSpec] = {
         ),
         TaskSpec(
             "arc",
-            question=lambda: P.lettered_options(F.col("question"), F.col("choices.text"), 26),
+            question=lambda: P.lettered_options(F.col("question"), F.col("choices.text")),
             gold=lambda: F.col("answerKey"),
             render=_header_steps,
             evaluate=V.choice_answers,

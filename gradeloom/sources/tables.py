@@ -30,6 +30,12 @@ def write_summary(metrics: DataFrame, path: str, run_id: str, split: str) -> Non
     )
 
 
+def write_summaries(metrics: DataFrame, path: str, run_id: str) -> None:
+    """Metrics of one run with their ``split``, all splits in one pass; an existing run is kept."""
+    stored = metrics.withColumn("part", F.col("split"))
+    stored.write.mode("errorifexists").partitionBy("part").json(f"{path}/run_id={run_id}")
+
+
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """All summaries below a path, with ``run_id`` and ``part`` from the folders."""
     return spark.read.json(path)

@@ -122,12 +122,38 @@ def test_pass_at_k_of_a_huge_task(spark):
     assert got == pytest.approx(1 - 0.5**10)
 
 
-def test_verdict_lists_in_chunks(spark):
+def test_verdict_lists_keep_one_shape(spark):
     rows = [("t", i, "pass" if i % 2 else "fail", "pass") for i in range(25)] + [("u", 0, "pass", None)]
     verdicts = spark.createDataFrame(rows, "task_id string, completion_id int, base_status string, plus_status string")
-    lists = reports.verdict_lists(verdicts.repartition(4), chunk=10).orderBy("task_id", "chunk").collect()
-    assert [(r.task_id, r.nfiles, len(r.base)) for r in lists] == [("t", 25, 10), ("t", 25, 10), ("t", 25, 5), ("u", 1, 1)]
-    assert [s for r in lists[:3] for s in r.base] == [r[2] for r in rows[:25]]
+    lists = reports.verdict_lists(verdicts.repartition(4)).orderBy("task_id", "completion_id").collect()
+    assert [(r.task_id, r.completion_id, r.base, r.plus) for r in lists] == rows
+    assert [r.nfiles for r in lists] == [25] * 25 + [1]
+
+
+def test_details_without_verdicts_stay(spark):
+    details = spark.createDataFrame([("t",), ("u",)], "task_id string")
+    per_task = spark.createDataFrame([("t", 2, 1)], "task_id string, attempts bigint, base bigint")
+    got = sorted(map(tuple, reports.with_verdict_counts(details, per_task).collect()))
+    assert got == [("t", 2, 1, True), ("u", 0, 0, False)]
+
+
+def test_rewards_without_a_batch_stay(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, -1.0), (1, 1.0)], "b int, reward double")
+    got = sorted((r.b or 0, r.norm_reward) for r in reports.normalized_rewards(df, ["b"]).collect())
+    assert got == [(0, -1.0), (0, 1.0), (1, 0.0)]
+
+
+def test_routed_samples_count_once(spark):
+    samples = spark.createDataFrame([(i, "A") for i in range(4)], "sample_id bigint, answer string")
+    classified = spark.createDataFrame([(i, "\\boxed{code}") for i in (0, 1, 2)], "sample_id bigint, classification string")
+    generations = spark.createDataFrame(
+        [(0, "code", "A"), (0, "code", "B"), (1, "code", "A")], "sample_id bigint, expert_label string, generation string"
+    )
+    experts = spark.createDataFrame([("code",)], "expert_label string")
+    evaluation = V.routed_answers(samples, classified, generations, experts, V.grade_letters)
+    report = sorted((r.expert_label, r.num_samples, round(r.test_acc, 6)) for r in evaluation.metrics.collect())
+    assert report == [("code", 3, round(2 / 3, 6)), ("final_test_acc", 4, 0.5)]
+    assert evaluation.details.count() == 4
 
 
 def test_reward_normalisation(spark):

@@ -52,8 +52,11 @@ def test_brackets_and_tuples(evaluate):
     assert evaluate(G.same_without_brackets, rows, PAIR) == [True, False, True, True]
     rows = [("(1.0,2)", "(1,2.0)"), ("[(1.0)]", "[(1)]"), ("(1,2)", "(1,2,3)"), ("", ""), ("()", "(1)")]
     assert evaluate(G.answers_equal, rows, PAIR) == [True, True, False, False, False]
-    deep = [("[[[[1.0]]]]", "[[[[1]]]]"), ("(1)", "(1)")]
-    assert evaluate(G.too_deep, deep, PAIR) == [True, False]
+    deep = [
+        ("(((1.0)))", "(((1)))"), ("[[[[1.0]]]]", "[[[[1]]]]"), ("((((2))))", "((((1))))"), ("(((1.0)),2)", "(((1)),2.0)"),
+        ("(" * 40 + "1.0" + ")" * 40, "(" * 40 + "1" + ")" * 40), ("(((1.0))", "(((1))"),
+    ]
+    assert evaluate(G.answers_equal, deep, PAIR) == [True, True, False, True, True, False]
 
 
 def test_latex_equal(evaluate):

@@ -92,7 +92,9 @@ def test_samples(evaluate, spark):
     assert got == [want, None, None]
     many = spark.createDataFrame([(["x"] * 6,), (["x", "y"],)], "o array<string>")
     texts = [r[0] for r in many.select(P.lettered_options(F.lit("q"), F.col("o"))).collect()]
-    assert texts == [None, "q\nOptions:\nA. x\nB. y\n"]
+    assert texts == ["q\nOptions:\n" + "".join(f"{c}. x\n" for c in "ABCDEF"), "q\nOptions:\nA. x\nB. y\n"]
+    errors = [r[0] for r in many.select(P.options_error(F.col("o"))).collect()]
+    assert errors == ["6 options, but only 5 letters", None]
 
 
 def test_digest(spark):
