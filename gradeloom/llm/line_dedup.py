@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import query, table
+from gradeloom.functions.text import let
+from gradeloom.llm.registry import query, table, written
 
 ROLL = 2
 STEP, MODULUS = 1_000_003, 4_294_967_291
@@ -34,65 +35,74 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def with_chunks(df: DataFrame, text: str, out: str = "_chunks") -> DataFrame:
-    """Add the text's chunks: an array of (first line, number of lines), in order."""
+def chunks_of(lines: Column) -> Column:
+    """The chunks of a text's lines: an array of (first line, number of lines), in order.
 
-    def rolled(h: Column, i: Column) -> Column:
-        return (F.coalesce(F.get(F.col("_hashes"), i - 1), F.lit(0)) * STEP + h) % MODULUS
-
-    def ends(r: Column, i: Column) -> Column:
-        before, behind = F.get(F.col("_rolled"), i - 1), F.get(F.col("_rolled"), i + 1)
-        inside = (i >= LEAST_LINES - 1) & (i < F.size("_rolled") - LEAST_LINES)
-        return F.when(inside & (r > before) & (r >= behind), i)
+    Arrays that the steps look into are bound by ``let``, so they are made once for a text
+    and not once for every line, however Spark merges the projections.
+    """
 
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    return (
-        df.withColumn("_lines", lines)
-        .withColumn("_hashes", F.transform("_lines", line_hash))
-        .withColumn("_rolled", F.transform("_hashes", rolled))
-        .withColumn("_ends", F.array_compact(F.transform("_rolled", ends)))
-        .withColumn("_ends", F.concat("_ends", F.array(F.size("_lines") - 1)))
-        .withColumn(
-            out,
-            F.transform(
-                "_ends",
-                lambda end, k: F.struct(
-                    (F.coalesce(F.get(F.col("_ends"), k - 1), F.lit(-1)) + 1).alias("first"),
-                    (end - F.coalesce(F.get(F.col("_ends"), k - 1), F.lit(-1))).alias("n"),
-                ),
-            ),
+    def rolled(hashes: Column) -> Column:
+        return F.transform(
+            hashes, lambda h, i: (F.coalesce(F.get(hashes, i - 1), F.lit(0)) * STEP + h) % MODULUS
         )
-        .drop("_hashes", "_rolled", "_ends")
+
+    def ends(values: Column) -> Column:
+        def cut(value: Column, i: Column) -> Column:
+            inside = (i >= LEAST_LINES - 1) & (i < F.size(values) - LEAST_LINES)
+            return F.when(inside & (value > F.get(values, i - 1)) & (value >= F.get(values, i + 1)), i)
+
+        last = F.array(F.size(values) - 1)
+        return F.concat(F.array_compact(F.transform(values, cut)), last)
+
+    def between(stops: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(stops, k - 1), F.lit(-1))
+            return F.struct((before + 1).alias("first"), (end - before).alias("n"))
+
+        return F.transform(stops, chunk)
+
+    return let(between, let(ends, let(rolled, F.transform(lines, line_hash))))
+
+
+def with_chunks(df: DataFrame, text: str) -> DataFrame:
+    """Add the text's ``_lines`` and ``_chunks``."""
+    return df.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn(
+        "_chunks", chunks_of(F.col("_lines"))
     )
 
 
-def bytes_of(chunk: Column) -> Column:
-    return F.array_join(F.slice(F.col("_lines"), chunk["first"] + 1, chunk["n"]), "\n")
+def lines_of(lines: Column, chunk: Column) -> Column:
+    return F.slice(lines, chunk["first"] + 1, chunk["n"])
+
+
+def bytes_of(lines: Column, chunk: Column) -> Column:
+    return F.array_join(lines_of(lines, chunk), "\n")
 
 
 def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """(_id, _key, removed): the numbers of the chunks that each text loses."""
-    # An array keeps the expressions behind the explode in one projection.
+
+    def hashes(lines: Column, chunks: Column) -> Column:
+        """A hash for each chunk with enough lines that hold a word, null for others."""
+
+        def of_chunk(chunk: Column) -> Column:
+            filled = F.filter(lines_of(lines, chunk), lambda line: F.rlike(line, F.lit(WORD)))
+            return F.when(F.size(filled) >= LEAST_LINES, F.xxhash64(bytes_of(lines, chunk)))
+
+        return F.transform(chunks, of_chunk)
+
+    def shown_bytes(found: Column, lines: Column, chunks: Column) -> Column:
+        return F.transform(
+            found,
+            lambda f: F.struct(f["_h"].alias("h"), bytes_of(lines, F.get(chunks, f["_i"])).alias("bytes")),
+        )
+
     hashed = with_chunks(keyed.select("_id", "_key", "_text"), "_text").select(
-        "_id",
-        "_key",
-        F.posexplode(
-            F.transform(
-                "_chunks",
-                lambda c: F.when(
-                    F.size(
-                        F.filter(
-                            F.slice(F.col("_lines"), c["first"] + 1, c["n"]),
-                            lambda line: F.rlike(line, F.lit(WORD)),
-                        )
-                    )
-                    >= LEAST_LINES,
-                    F.xxhash64(bytes_of(c)),
-                ),
-            )
-        ).alias("_i", "_h"),
+        "_id", "_key", F.posexplode(let(hashes, F.col("_lines"), F.col("_chunks"))).alias("_i", "_h")
     )
-    hashed = hashed.where(F.col("_h").isNotNull())
+    # Small rows, read four times: the texts are cut and hashed once.
+    hashed = written(hashed.where(F.col("_h").isNotNull()), "chunks")
     place = F.struct("_id", "_key", "_i")
     often = (
         hashed.groupBy("_h").agg(F.count("*").alias("n"), F.min(place).alias("_first")).where("n > 1").drop("n")
@@ -102,14 +112,7 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     listed = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("_i", "_h")).alias("_found"))
     shown = (
         with_chunks(joined(keyed.select("_id", "_key", "_text"), listed, "inner"), "_text")
-        .select(
-            F.explode(
-                F.transform(
-                    "_found",
-                    lambda f: F.struct(f["_h"].alias("h"), bytes_of(F.get(F.col("_chunks"), f["_i"])).alias("bytes")),
-                )
-            ).alias("c")
-        )
+        .select(F.explode(let(shown_bytes, F.col("_found"), F.col("_lines"), F.col("_chunks"))).alias("c"))
         .groupBy("c.h", "c.bytes")
         .agg(F.lit(1).alias("one"))
     )
@@ -140,22 +143,28 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
         F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_key"),
     )
     lost = repeated_chunks(keyed)
-    kept = (
+
+    def rest(removed: Column, lines: Column, chunks: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), removed)
+        gone = F.transform(removed, lambda i: F.get(chunks, i)["n"].cast("long"))
+        return F.struct(
+            F.array_join(F.transform(stay, lambda i: bytes_of(lines, F.get(chunks, i))), "\n").alias("kept"),
+            F.size(lines).cast("long").alias("n_lines"),
+            F.aggregate(gone, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_removed"),
+            F.size(removed).cast("long").alias("n_chunks_removed"),
+        )
+
+    removed = F.coalesce("_removed", F.array().cast("array<int>"))
+    return (
         with_chunks(joined(keyed, lost, "left"), "_text")
-        .withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
-        .withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_removed")))
-    )
-    return kept.select(
-        "_row",
-        F.when(F.col("_text").isNull(), F.lit(None).cast("string"))
-        .when(F.size("_removed") == 0, F.col("_text"))
-        .otherwise(F.array_join(F.transform("_stay", lambda i: bytes_of(F.get(F.col("_chunks"), i))), "\n"))
-        .alias("_kept"),
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.aggregate(
-            "_removed", F.lit(0).cast("long"), lambda acc, i: acc + F.get(F.col("_chunks"), i)["n"]
-        ).alias("_n_removed"),
-        F.size("_removed").cast("long").alias("_n_chunks_removed"),
+        .select("_row", "_text", let(rest, removed, F.col("_lines"), F.col("_chunks")).alias("_new"))
+        .select(
+            "_row",
+            F.when(F.col("_new.n_chunks_removed") == 0, F.col("_text")).otherwise(F.col("_new.kept")).alias("_kept"),
+            F.col("_new.n_lines").alias("_n_lines"),
+            F.col("_new.n_removed").alias("_n_removed"),
+            F.col("_new.n_chunks_removed").alias("_n_chunks_removed"),
+        )
     )
 
 
