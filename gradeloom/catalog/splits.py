@@ -133,39 +133,54 @@ def source_cap(spark: SparkSession, sf: str) -> DataFrame:
     return S.cap_per_source(events, "event_type", "event_id", 400)
 
 
-@query(
+# Four Feistel rounds on a position's two digits in base a, as the library draws.
+def _round_sql(number: int) -> str:
+    half, other = ("l", "r") if number % 2 == 0 else ("r", "l")
+    key = f"('0x' || substr(md5('5:' || step || ':{number}:' || {other}), 1, 12))::BIGINT"
+    source = f"m{number - 1}" if number else "m"
+    return f"m{number} AS (SELECT step, n, a, j, ({half} + {key} % a) % a AS {half}, {other} FROM {source})"
+
+
+def _draws_sql(steps: str) -> str:
+    return f"""
+    {_PLACED}, train AS (SELECT doc_id, ordinal // 2 AS split_ordinal FROM placed WHERE ordinal % 2 = 0),
+    n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM train),
+    m AS (SELECT *, j // a AS l, j % a AS r
+          FROM (SELECT step, n, a, unnest(range(0, least(16, n) + a * a - n)) AS j FROM ({steps}), n)),
+    {", ".join(_round_sql(k) for k in range(4))},
+    kept AS (SELECT step, l * a + r AS split_ordinal, row_number() OVER (PARTITION BY step ORDER BY j) - 1 AS draw
+             FROM m3 WHERE l * a + r < n)
     """
-    SELECT event_id, user_id FROM events ORDER BY md5('7:3:' || event_id), event_id LIMIT 256
+
+
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.col("ordinal")
+    rows = _documents(spark, sf).where(S.parity_split(place) == "train")
+    return rows.select("doc_id", S.parity_position(place).alias("split_ordinal"))
+
+
+@query(
+    f"""
+    WITH {_draws_sql('SELECT 3 AS step')}
+    SELECT draw::INT AS draw, doc_id FROM kept JOIN train USING (split_ordinal) WHERE draw < 16
     """
 )
 def random_batch(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("event_id", "user_id")
-    return S.random_batch(events, "event_id", 256, seed=7, step=3)
+    """Step 3 of :func:`step_batches`, drawn by itself."""
+    return S.random_batch(_train(spark, sf), 16, 5, step=3, ordinal="split_ordinal").select("draw", "doc_id")
 
 
 @query(
-    """
-    WITH n AS (SELECT count(*) AS n FROM documents),
-    p AS (SELECT min(c) AS p FROM n, (SELECT unnest(range(n, n + 2000)) AS c FROM n) AS cs
-          WHERE len(list_filter(range(2, floor(sqrt(c))::BIGINT + 1), lambda d: c % d = 0)) = 0),
-    steps AS (
-      SELECT doc_id AS step, p, n,
-             ('0x' || substr(md5('5:' || doc_id || ':a'), 1, 12))::BIGINT % (p - 1) + 1 AS a,
-             ('0x' || substr(md5('5:' || doc_id || ':b'), 1, 12))::BIGINT % p AS b
-      FROM documents, n, p),
-    walk AS (
-      SELECT step, n, j, ((a % p)::HUGEINT * j + b) % p AS ordinal
-      FROM (SELECT step, p, n, a, b, unnest(range(0, 16 + (p - n))) AS j FROM steps)),
-    kept AS (SELECT step, ordinal, row_number() OVER (PARTITION BY step ORDER BY j) - 1 AS draw
-             FROM walk WHERE ordinal < n)
-    SELECT step, draw::INT AS draw, ordinal::BIGINT AS ordinal FROM kept WHERE draw < 16
+    f"""
+    WITH {_draws_sql('SELECT doc_id AS step FROM documents')}
+    SELECT step, draw::INT AS draw, doc_id FROM kept JOIN train USING (split_ordinal) WHERE draw < 16
     """
 )
 def step_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch of 16 documents for as many steps as there are documents."""
-    docs = _documents(spark, sf)
+    """A batch of 16 train documents for as many steps as there are documents."""
     steps = table(spark, sf, "documents").select(F.col("doc_id").alias("step"))
-    return S.step_batches(docs, steps, 16, 5).select("step", "draw", "ordinal")
+    batches = S.step_batches(_train(spark, sf), steps, 16, 5, "split_ordinal")
+    return batches.select("step", "draw", "doc_id")
 
 
 @query(

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.vectors import digest
+from gradeloom.functions.text import let
+from gradeloom.functions.vectors import digest, upto
 from gradeloom.operators.positions import first_k_per_group, with_hash_position
 
 
@@ -90,47 +91,49 @@ def cap_per_source(df: DataFrame, source: str, ordinal: str, cap: int = 400) ->
     return first_k_per_group(df, [source], [ordinal], cap - 1)
 
 
-def random_batch(
-    df: DataFrame, key: str, size: int, seed: int | str, step: int = 0
-) -> DataFrame:
-    """A batch without replacement of at most ``size`` rows: a top-k by digest."""
-    return df.orderBy(digest(seed, step, F.col(key)), F.col(key)).limit(size)
+ROUNDS = 4
+
 
+def _permuted(j: Column, side: int, seed: int | str, step: Column) -> Column:
+    """Where a keyed permutation of 0 ... side^2 - 1 puts j: Feistel rounds on j's two digits in base ``side``."""
 
-def _next_prime(n: int) -> int:
-    candidate = max(n, 2)
-    while any(candidate % d == 0 for d in range(2, math.isqrt(candidate) + 1)):
-        candidate += 1
-    return candidate
+    def keyed(number: int, half: Column) -> Column:
+        return F.conv(F.substring(digest(seed, step, number, half), 1, 12), 16, 10).cast("bigint") % side
+
+    def mixed(number: int, left: Column, right: Column) -> Column:
+        if number == ROUNDS:
+            return left * side + right
+        if number % 2 == 0:
+            return let(lambda l, r: mixed(number + 1, l, r), (left + keyed(number, right)) % side, right)
+        return let(lambda l, r: mixed(number + 1, l, r), left, (right + keyed(number, left)) % side)
+
+    return let(lambda l, r: mixed(0, l, r), F.floor(j / side).cast("bigint"), j % side)
 
 
 def step_draws(n: int, steps: DataFrame, size: int, seed: int | str) -> DataFrame:
-    """Positions drawn for every step without replacement: ``(step, draw, ordinal)``.
+    """Positions drawn at random for every step without replacement: ``(step, draw, ordinal)``.
 
-    Step s walks ``(a * j + b) mod p`` for j = 0, 1, ... with p the first prime
-    from n on and a, b from the digest of (seed, s). The walk visits every
-    residue once, so positions never repeat, and the p - n residues that are no
-    position are skipped. Cost grows with steps times batch size, not with n.
+    A step draws the first places of its own permutation of the positions, which (seed,
+    step) key. The permutation covers the smallest square from n on; its few numbers that
+    are no position are skipped. Cost grows with steps times batch size and, for what is
+    skipped, with the square root of n.
     """
-    p = _next_prime(n)
-    extra = p - n
+    side = max(1, math.isqrt(max(n - 1, 0)) + 1)
     size = min(size, n)
-
-    def from_digest(name: str) -> Column:
-        return F.conv(F.substring(digest(seed, F.col("step"), name), 1, 12), 16, 10).cast("bigint")
-
-    stride = from_digest("a") % max(p - 1, 1) + 1
-    start = from_digest("b") % p
-    # Products stay below p * (size + extra); wider numbers only where they must be.
-    wide = "bigint" if p * (size + extra + 1) < 2**63 else "decimal(38,0)"
     walk = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(size + extra - 1).cast("bigint")),
-        lambda j: ((stride % p).cast(wide) * j + start) % F.lit(p).cast(wide),
-    )
-    kept = F.slice(F.filter(walk, lambda place: place < n), 1, size)
-    return steps.select("step", F.posexplode(kept).alias("draw", "ordinal")).withColumn(
-        "ordinal", F.col("ordinal").cast("bigint")
+        upto(size + side * side - n) if size else upto(0),
+        lambda j: _permuted(j.cast("bigint"), side, seed, F.col("step")),
     )
+    kept = F.slice(F.filter(walk, lambda place: place < n), 1, max(size, 1))
+    return steps.select("step", F.posexplode(kept).alias("draw", "ordinal"))
+
+
+def random_batch(
+    df: DataFrame, size: int, seed: int | str, step: int = 0, ordinal: str = "ordinal"
+) -> DataFrame:
+    """The batch of one step, as :func:`step_batches` draws it."""
+    steps = df.sparkSession.range(1).select(F.lit(step).alias("step"))
+    return step_batches(df, steps, size, seed, ordinal)
 
 
 def step_batches(

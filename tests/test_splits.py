@@ -80,11 +80,34 @@ def test_step_batches_never_repeat(spark, n, size):
 
 
 def test_random_batch(rows):
-    one = S.random_batch(rows, "id", 6, 3, step=1).collect()
-    assert len({r.id for r in one}) == 6
-    assert one == S.random_batch(rows.repartition(5), "id", 6, 3, step=1).collect()
-    assert one != S.random_batch(rows, "id", 6, 3, step=2).collect()
-    assert S.random_batch(rows, "id", 99, 3).count() == 25
+    def drawn(df, size, step):
+        batch = S.random_batch(df, size, 3, step).orderBy("draw").collect()
+        return [r.id for r in batch]
+
+    one = drawn(rows, 6, 1)
+    assert len(set(one)) == 6 and one == drawn(rows.repartition(5), 6, 1) and one != drawn(rows, 6, 2)
+    assert sorted(drawn(rows, 99, 0)) == sorted(r.id for r in rows.collect())
+    steps = rows.sparkSession.range(4).select(F.col("id").alias("step"))
+    batches = S.step_batches(rows, steps, 6, 3).where("step = 1").orderBy("draw").collect()
+    assert [r.id for r in batches] == one
+
+
+def test_draws_are_random(spark):
+    """Pairs of positions meet about equally often, and no step walks in constant strides."""
+    steps = spark.range(3000).select(F.col("id").alias("step"))
+    batches = {}
+    for r in S.step_draws(11, steps, 4, 9).collect():
+        batches.setdefault(r.step, {})[r.draw] = r.ordinal
+    pairs, strides = {}, 0
+    for batch in batches.values():
+        places = [batch[i] for i in range(4)]
+        strides += len({(b - a) % 11 for a, b in zip(places, places[1:])}) == 1
+        for i, a in enumerate(places):
+            for b in places[:i]:
+                pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0) + 1
+    expected = 3000 * 6 / 55
+    assert len(pairs) == 55 and all(0.7 * expected < n < 1.3 * expected for n in pairs.values())
+    assert strides < 120
 
 
 def test_choose_split_and_overlap(spark):

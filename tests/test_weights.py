@@ -181,4 +181,4 @@ def test_flatten_and_split(spark):
     assert [r.value for r in flat.orderBy("flat").collect()] == want
     sizes = params.select("owner", "position", "name", F.size("values").alias("n"))
     again = {r.name: list(r["values"]) for r in weights.split_by_sizes(flat, sizes).collect()}
-    assert again == {name: v for _, _, name, v in rows if v}
+    assert again == {name: v for _, _, name, v in rows}
