@@ -29,13 +29,19 @@ def _letters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     f"""
-    WITH g AS (SELECT avg((chr(65 + quality) IS NOT DISTINCT FROM {_LETTER})::INT::DOUBLE) AS acc
-               FROM documents JOIN labels USING (doc_id))
-    SELECT unnest(['acc', 'acc_ja', 'acc_en']) AS metric, acc AS value FROM g
+    WITH g AS (SELECT chr(65 + quality) IS NOT DISTINCT FROM {_LETTER} AS ok, lang
+               FROM documents JOIN labels USING (doc_id)),
+    a AS (SELECT avg(ok::INT::DOUBLE) AS acc, avg((ok AND lang = 'en')::INT::DOUBLE) AS acc_en FROM g)
+    SELECT unnest(['acc', 'acc_en']) AS metric, unnest([acc, acc_en]) AS value FROM a
     """
 )
 def eval_letters(spark: SparkSession, sf: str) -> DataFrame:
-    return V.letter_answers(*_letters(spark, sf)).metrics
+    """The table has English as its only language column."""
+    samples, generations = _letters(spark, sf)
+    lang = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("lang_en")
+    )
+    return V.letter_answers(samples.join(lang, "sample_id"), generations).metrics
 
 
 @query(

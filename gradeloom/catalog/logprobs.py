@@ -91,9 +91,7 @@ def _losses(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderstatus",
         reward(F.col("o_orderstatus") == "F").alias("reward"),
     )
-    return logprobs.policy_loss(
-        logprobs.sequence_loglik(tokens), rewards, logprobs.kl_to_reference(tokens), 0.2
-    )
+    return logprobs.policy_loss(logprobs.loss_terms(tokens), rewards, kl_coefficient=0.2)
 
 
 @query(f"WITH {_LOSSES} SELECT sample_id, round(pg, 6)::DOUBLE + 0.0 AS pg, round(loss, 6)::DOUBLE + 0.0 AS loss FROM l")

@@ -237,7 +237,7 @@ def chat_im_start(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     WITH {_TURNS}, m AS (
-      SELECT *, turn - first_turn - (first_role = 'system')::INT AS place FROM t),
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 - (first_role = 'system')::INT AS place FROM t),
     w AS (
       SELECT *, bool_or(place >= 0 AND (role = 'user') <> (place % 2 = 0)) OVER (PARTITION BY conv_id) AS wrong
       FROM m),
@@ -249,12 +249,13 @@ def chat_im_start(spark: SparkSession, sf: str) -> DataFrame:
                WHEN role = 'assistant' THEN '@@ Response:' || chr(10) || {_TRIMMED} ELSE '' END
           || CASE WHEN turn = last_turn AND role = 'user' THEN '@@ Response:' ELSE '' END END AS piece
       FROM w)
-    SELECT conv_id, turn, piece, error, {_RUNNING} AS stop, {_RUNNING} - length(piece) AS start FROM p
+    SELECT conv_id, turn * 3 + turn % 2 AS turn, piece, error, {_RUNNING} AS stop, {_RUNNING} - length(piece) AS start FROM p
     """
 )
 def chat_instruction(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations")
-    return chats.instruction_pieces(turns)
+    # The same turns, numbered with gaps.
+    gaps = F.col("turn") * 3 + F.col("turn") % 2
+    return chats.instruction_pieces(table(spark, sf, "conversations").withColumn("turn", gaps))
 
 
 @query(

@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 from gradeloom.functions import prompts as P
 from gradeloom.functions.text import strip
 from gradeloom.functions.vectors import digest
-from gradeloom.operators.positions import running
+from gradeloom.operators.positions import running, with_position
 
 CONV, TURN = "conv_id", "turn"
 
 
-def _with_ends(turns: DataFrame) -> DataFrame:
+def _with_ends(turns: DataFrame, place: str = TURN) -> DataFrame:
     """What a turn has to know of its conversation: first and last turn, the first
     role, and whether some role is out of order (``_wrong``).
 
     User turns belong on every second place from the first one after a leading
-    system turn, and nothing else does, so counts by parity of the turn decide.
+    system turn, and nothing else does, so counts by parity of the place decide.
     """
-    user, odd = F.col("role") == "user", F.col(TURN) % 2 == 1
+    user, odd = F.col("role") == "user", F.col(place) % 2 == 1
     ends = turns.groupBy(CONV).agg(
-        F.min(TURN).alias("_first"),
-        F.max(TURN).alias("_last"),
-        F.min_by("role", TURN).alias("_first_role"),
+        F.min(place).alias("_first"),
+        F.max(place).alias("_last"),
+        F.min_by("role", place).alias("_first_role"),
         F.count_if(user != odd).alias("_misfit_odd"),
         F.count_if(user == odd).alias("_misfit_even"),
     )
@@ -73,8 +73,9 @@ def im_start_pieces(
 
 def instruction_pieces(turns: DataFrame, generation: bool = True) -> DataFrame:
     """Instruction style, with ``error`` on every turn of a conversation whose roles
-    do not alternate; its pieces are null. Turns are numbered without gaps."""
-    role, turn = F.col("role"), F.col(TURN)
+    do not alternate; its pieces are null. Turn numbers may have gaps."""
+    turns = with_position(turns, [TURN], [CONV], "_place")
+    role, turn = F.col("role"), F.col("_place")
     closing = (turn == F.col("_last")) & (role == "user") & F.lit(generation)
     piece = F.concat(
         P.instruction_piece(role, F.col("text"), turn - F.col("_first")),
@@ -82,7 +83,7 @@ def instruction_pieces(turns: DataFrame, generation: bool = True) -> DataFrame:
     )
     wrong = F.col("_wrong")
     return _placed(
-        _with_ends(turns).select(
+        _with_ends(turns, "_place").select(
             CONV,
             TURN,
             F.when(~wrong, piece).alias("piece"),

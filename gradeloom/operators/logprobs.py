@@ -12,22 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POSITION = ("sample_id", "pos")
+BAND = 64  # e^64 and its sums are far from the largest double
 
 
 def log_softmax(
     logits: DataFrame, by: Sequence[str] = POSITION, x: str = "logit", name: str = "logp"
 ) -> DataFrame:
-    """``x - max - log(sum(exp(x - max)))`` over the candidates of a position.
+    """``x - log(sum(exp(x)))`` over the candidates of a position.
 
-    Two aggregates that join back instead of a window: partial sums run before
-    the shuffle and no position is gathered in one place.
+    One pass sums ``exp`` in bands of 64 below each band's own top, so nothing overflows
+    and partial sums run before the shuffle; the few bands of a position are then put
+    together, and the result joins back. Candidates of minus infinity add nothing.
     """
-    peaks = logits.groupBy(*by).agg(F.max(x).alias("_max"))
-    shifted = logits.join(peaks, list(by)).withColumn("_x", F.col(x) - F.col("_max"))
-    sums = shifted.groupBy(*by).agg(F.log(F.sum(F.exp("_x"))).alias("_lse"))
-    return shifted.join(sums, list(by)).select(
-        *logits.columns, (F.col("_x") - F.col("_lse")).alias(name)
+    value = F.col(x)
+    band = F.floor(value / BAND)
+    bands = (
+        logits.where(value > F.lit(float("-inf")))
+        .groupBy(*by, band.alias("_band"))
+        .agg(F.sum(F.exp(value - BAND * band)).alias("_sum"))
     )
+    top = F.array_max(F.col("_bands._band"))
+    total = F.aggregate(
+        F.col("_bands"),
+        F.lit(0.0),
+        lambda acc, b: acc + b["_sum"] * F.exp(F.lit(float(BAND)) * (b["_band"] - F.col("_top"))),
+    )
+    sums = (
+        bands.groupBy(*by)
+        .agg(F.collect_list(F.struct("_band", "_sum")).alias("_bands"))
+        .withColumn("_top", top)
+        .select(*by, (F.lit(float(BAND)) * F.col("_top") + F.log(total)).alias("_lse"))
+    )
+    return logits.join(sums, list(by), "left").select(*logits.columns, (value - F.col("_lse")).alias(name))
 
 
 def chosen_logprobs(
@@ -50,6 +66,14 @@ def kl_to_reference(candidates: DataFrame, sample: Sequence[str] = ("sample_id",
     return candidates.groupBy(*sample).agg(F.sum(F.exp(r) * (r - l)).alias("kl_div"))
 
 
+def loss_terms(tokens: DataFrame, sample: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Likelihood and divergence of a sample in one pass over its tokens."""
+    r, l = F.col("ref_logp"), F.col("logp")
+    return tokens.groupBy(*sample).agg(
+        F.sum(l).alias("loglik"), F.avg(l).alias("mean_logp"), F.sum(F.exp(r) * (r - l)).alias("kl_div")
+    )
+
+
 def policy_loss(
     loglik: DataFrame,
     rewards: DataFrame,
@@ -57,13 +81,17 @@ def policy_loss(
     kl_coefficient: float = 0.0,
     sample: str = "sample_id",
 ) -> DataFrame:
-    """Per sample: ``pg = -loglik * reward`` and ``loss = pg + coefficient * kl``."""
+    """Per sample: ``pg = -loglik * reward`` and ``loss = pg + coefficient * kl``.
+
+    The divergence comes with ``loglik`` (see :func:`loss_terms`) or as a table of its own; without
+    either the loss is ``pg``.
+    """
     joined = loglik.join(rewards, sample).withColumn("pg", -F.col("loglik") * F.col("reward"))
-    if kl is None:
+    if kl is not None:
+        joined = joined.join(kl, sample)
+    if "kl_div" not in joined.columns:
         return joined.withColumn("loss", F.col("pg"))
-    return joined.join(kl, sample).withColumn(
-        "loss", F.col("pg") + F.lit(float(kl_coefficient)) * F.col("kl_div")
-    )
+    return joined.withColumn("loss", F.col("pg") + F.lit(float(kl_coefficient)) * F.col("kl_div"))
 
 
 def mean_loss(losses: DataFrame, batch: Sequence[str] = ()) -> DataFrame:

@@ -51,12 +51,15 @@ def _metric_rows(wide: DataFrame) -> DataFrame:
 
 
 def _with_languages(
-    details: DataFrame, languages: Sequence[str], prefix: str = "lang_"
+    details: DataFrame, languages: Sequence[str] | None, prefix: str = "lang_"
 ) -> Evaluation:
     """Overall accuracy and the share correct and written in each language.
 
-    A language without its own probability column counts as certain.
+    By default every language with a probability column of its own is reported. One asked
+    for by name that has none counts as certain.
     """
+    if languages is None:
+        languages = [c.removeprefix(prefix) for c in details.columns if c.startswith(prefix)]
     for lang in languages:
         if f"{prefix}{lang}" not in details.columns:
             details = details.withColumn(f"{prefix}{lang}", F.lit(1.0))
@@ -83,7 +86,7 @@ def letter_answers(
     samples: DataFrame,
     generations: DataFrame,
     positions: DataFrame | None = None,
-    languages: Sequence[str] = ("ja", "en"),
+    languages: Sequence[str] | None = None,
     null_is_correct: bool = True,
 ) -> Evaluation:
     """Last capital A to E against ``samples.answer``."""
@@ -106,7 +109,7 @@ def number_answers(
     samples: DataFrame,
     generations: DataFrame,
     positions: DataFrame | None = None,
-    languages: Sequence[str] = ("ja", "en"),
+    languages: Sequence[str] | None = None,
     null_is_correct: bool = True,
     mode: str = "plain",
 ) -> Evaluation:

@@ -22,7 +22,9 @@ def test_letters_and_languages(spark):
     samples = spark.createDataFrame([(0, "A", 0.9), (1, None, 0.4), (2, "B", 1.0)], "sample_id bigint, answer string, lang_ja double")
     said = _generations(spark, ["so A", "none", "so C"])
     got = _metrics(V.letter_answers(samples, said))
-    assert got == pytest.approx({"acc": 2 / 3, "acc_ja": 1 / 3, "acc_en": 2 / 3})
+    assert got == pytest.approx({"acc": 2 / 3, "acc_ja": 1 / 3})
+    named = _metrics(V.letter_answers(samples, said, languages=("ja", "en")))
+    assert named == pytest.approx({"acc": 2 / 3, "acc_ja": 1 / 3, "acc_en": 2 / 3})
     strict = _metrics(V.letter_answers(samples, said, languages=(), null_is_correct=False))
     assert strict == pytest.approx({"acc": 1 / 3})
 
