@@ -246,34 +246,50 @@ def svd_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
     return again.select("name", "row", _rounded("values").alias("values"))
 
 
+# Products of the columns of a matrix: A^T A.
+_GRAM = f"""
+    {_LONG}, g AS (SELECT a.label, a.i AS c, b.i AS d, sum(a.v * b.v) AS g FROM e a JOIN e b USING (vec_id) GROUP BY ALL)
+"""
+
+
 @query(
     f"""
-    WITH {_LONG}, f AS (SELECT label, sum(v * v) AS f FROM e GROUP BY label)
-    SELECT {_NAME_SQL} AS name, round(f, 6) AS energy FROM f
+    WITH {_GRAM}
+    SELECT {_NAME_SQL} AS name, round(sum(g) FILTER (c = d), 6) AS energy, round(sum(g * g), 3) AS fourth
+    FROM g GROUP BY label
     """
 )
 def svd_energy(spark: SparkSession, sf: str) -> DataFrame:
-    """The squared singular values sum to the squared entries of the matrix."""
-    singular = matrices.decompose(_matrices(spark, sf), 512).where("part = 'S'")
+    """Squares of the singular values sum to the squared entries, fourth powers to those of A^T A."""
+    singular = matrices.decompose(_matrices(spark, sf), 512).singular
     energy = F.aggregate("values", F.lit(0.0), lambda acc, s: acc + s * s)
-    return singular.select("name", F.round(energy, 6).alias("energy"))
+    fourth = F.aggregate("values", F.lit(0.0), lambda acc, s: acc + s * s * s * s)
+    return singular.select("name", F.round(energy, 6).alias("energy"), F.round(fourth, 3).alias("fourth"))
 
 
 @query(
     f"""
-    WITH {_LONG}
-    SELECT {_NAME_SQL} AS name, vec_id AS row, {_list('v')} AS values FROM e GROUP BY label, vec_id
+    WITH {_GRAM}, cubed AS (
+      SELECT label, vec_id, d AS i, sum(v * g) AS v FROM e JOIN g USING (label) WHERE e.i = g.c GROUP BY ALL),
+    x AS (SELECT * FROM cubed WHERE label < 7 UNION ALL SELECT label, vec_id, i, v FROM e WHERE label >= 7)
+    SELECT {_NAME_SQL} AS name, vec_id AS row, array_agg(round(v, 4) + 0.0 ORDER BY i) AS values FROM x GROUP BY label, vec_id
     """
 )
 def composed_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """A constant mask cancels out, so the chosen names come back and the others pass through."""
+    """Chosen matrices masked by their squared singular values, others as they are.
+
+    Without the scale that keeps the sum of the singular values this is A A^T A.
+    """
     base = _matrices(spark, sf)
-    parts = matrices.decompose(base)
-    half = parts.where("part = 'S'").select(
-        "name", F.transform("values", lambda _: F.lit(0.5)).alias("values")
-    )
-    applied = matrices.apply_composed(base, matrices.compose(parts, half))
-    return applied.select("name", "row", _rounded("values").alias("values"))
+    parts = matrices.decompose(weights.choose_params(base))
+    squares = parts.singular.select("name", F.transform("values", lambda s: s * s).alias("values"))
+    cubes = F.aggregate("values", F.lit(0.0), lambda acc, s: acc + s * s * s)
+    total = F.aggregate("values", F.lit(0.0), lambda acc, s: acc + s)
+    scale = parts.singular.select("name", (cubes / total).alias("scale"))
+    applied = matrices.apply_composed(base, matrices.compose(parts, squares)).join(scale, "name", "left")
+    factor = F.coalesce(F.col("scale"), F.lit(1.0))
+    values = F.transform("values", lambda v: F.round(v * factor, 4))
+    return applied.select("name", "row", values.alias("values"))
 
 
 # --- populations ----------------------------------------------------------

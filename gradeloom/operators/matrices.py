@@ -7,16 +7,20 @@ block is reduced to its triangular factor and the factors are merged in a tree
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions.vectors import upto
 from gradeloom.operators.positions import chunk_of
 from gradeloom.session import cut_lineage
 
 BLOCK = 4096
 FAN_IN = 8
+BLOCK_GROUP = 64  # row blocks that one task copies a matrix's factors for
 PARTS = "name string, part string, row bigint, values array<double>"
 
 
@@ -71,34 +75,56 @@ def _left_factor(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _per_block(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """The factors of a matrix once for each of its row blocks."""
-    blocks = rows.select(F.col("name").alias("_name"), F.col("block").alias("_block")).distinct()
-    return factors.join(blocks, F.col("name") == F.col("_name")).select(
-        F.col("_name").alias("name"),
-        F.col("_block").alias("block"),
-        *[F.col(c).alias(c) for c in ("part", "row", "values")],
+@dataclass(frozen=True)
+class Factors:
+    """Parts of decomposed matrices; each is computed only where it is used.
+
+    ``left(name, row, values)``, ``singular(name, values)``, ``right(name, row, values)``;
+    ``places(name, row)`` are the rows of the matrices.
+    """
+
+    places: DataFrame
+    left: DataFrame
+    singular: DataFrame
+    right: DataFrame
+
+
+def _per_block(rows: DataFrame, factors: DataFrame, blocks: int) -> DataFrame:
+    """The factors of a matrix once for each of its row blocks.
+
+    The copies of one matrix are made by several tasks, a group of blocks each.
+    """
+    groups = 1 + blocks // BLOCK_GROUP
+    group = (F.col("_block") % groups).cast("int")
+    wanted = rows.select(F.col("name").alias("_name"), F.col("block").alias("_block")).distinct()
+    dealt = factors.withColumn("_group", F.explode(upto(groups)))
+    return (
+        dealt.join(wanted.withColumn("_of", group), (F.col("name") == F.col("_name")) & (F.col("_group") == F.col("_of")))
+        .select(F.col("_name").alias("name"), F.col("_block").alias("block"), "part", "row", "values")
     )
 
 
-def decompose(matrices: DataFrame, block_rows: int = BLOCK) -> DataFrame:
-    """(name, part, row, values) with parts U, S and V of every matrix.
+def _blocks(rows: DataFrame) -> int:
+    """Row blocks of the tallest matrix."""
+    return (rows.agg(F.max("block")).first()[0] or 0) + 1
+
 
-    Columns of V and U beyond the rank carry a zero singular value. Signs are
-    arbitrary, as always.
+def decompose(matrices: DataFrame, block_rows: int = BLOCK) -> Factors:
+    """Left and right factors and singular values of every matrix.
+
+    Columns beyond the rank carry a zero singular value. Signs are arbitrary, as always.
     """
     rows = cut_lineage(
         matrices.select("name", "row", F.col("values").cast("array<double>").alias("values"))
         .withColumn("block", chunk_of(F.col("row"), block_rows))
     )
-    top = rows.agg(F.max("block")).first()[0]
+    total = blocks = _blocks(rows)
     schema = "name string, block bigint, row bigint, values array<double>"
     factors = (
         rows.withColumn("merged", F.col("block"))
         .groupBy("name", "merged")
         .applyInPandas(_triangle, schema)
     )
-    blocks = (top or 0) + 1
     while blocks > 1:
         factors = (
             factors.withColumn("merged", chunk_of(F.col("block"), FAN_IN))
@@ -109,10 +135,15 @@ def decompose(matrices: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     right = cut_lineage(factors.groupBy("name").applyInPandas(_right_factors, PARTS))
     left = (
         rows.groupBy("name", "block")
-        .cogroup(_per_block(rows, right).groupBy("name", "block"))
+        .cogroup(_per_block(rows, right, total).groupBy("name", "block"))
         .applyInPandas(_left_factor, PARTS)
     )
-    return left.unionByName(right)
+    return Factors(
+        rows.select("name", "row"),
+        left.select("name", "row", "values"),
+        right.where("part = 'S'").select("name", "values"),
+        right.where("part = 'V'").select("name", "row", "values"),
+    )
 
 
 def _compose_rows(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
@@ -139,21 +170,25 @@ def _compose_rows(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def compose(parts: DataFrame, masks: DataFrame, block_rows: int = BLOCK) -> DataFrame:
+def compose(parts: Factors, masks: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """``U diag(S * mask) V^T * sum(S) / sum(S * mask)`` row by row, per name.
 
     ``masks(name, values)`` has one entry per singular value. When the masked
     singular values sum to zero the rows are null and ``degenerate`` is set.
     """
-    rows = parts.where("part = 'U'").withColumn("block", chunk_of(F.col("row"), block_rows))
-    mask_rows = masks.select(
-        "name", F.lit("M").alias("part"), F.lit(0).cast("bigint").alias("row"),
-        F.col("values").cast("array<double>").alias("values"),
-    )
-    factors = parts.where("part <> 'U'").unionByName(mask_rows)
+    rows = parts.left.withColumn("block", chunk_of(F.col("row"), block_rows))
+
+    def as_part(df: DataFrame, part: str) -> DataFrame:
+        row = F.col("row") if "row" in df.columns else F.lit(0).cast("bigint")
+        values = F.col("values").cast("array<double>").alias("values")
+        return df.select("name", F.lit(part).alias("part"), row.alias("row"), values)
+
+    factors = as_part(parts.singular, "S").unionByName(as_part(parts.right, "V")).unionByName(as_part(masks, "M"))
+    # The blocks of a matrix are known from its row numbers; U need not be made for that.
+    places = parts.places.withColumn("block", chunk_of(F.col("row"), block_rows))
     return (
         rows.groupBy("name", "block")
-        .cogroup(_per_block(rows, factors).groupBy("name", "block"))
+        .cogroup(_per_block(places, factors, _blocks(places)).groupBy("name", "block"))
         .applyInPandas(
             _compose_rows, "name string, row bigint, values array<double>, degenerate boolean"
         )
@@ -170,9 +205,7 @@ def apply_composed(base: DataFrame, composed: DataFrame, part: str = "mlp") -> D
     )
 
 
-def reconstruct(parts: DataFrame, block_rows: int = BLOCK) -> DataFrame:
+def reconstruct(parts: Factors, block_rows: int = BLOCK) -> DataFrame:
     """``U diag(S) V^T``: composing with a mask of ones."""
-    ones = parts.where("part = 'S'").select(
-        "name", F.transform("values", lambda _: F.lit(1.0)).alias("values")
-    )
+    ones = parts.singular.select("name", F.transform("values", lambda _: F.lit(1.0)).alias("values"))
     return compose(parts, ones, block_rows).drop("degenerate")

@@ -15,7 +15,7 @@ QUERIES, SQL = catalog.QUERIES, catalog.SQL
 # Python runs in these only: parsing code, and factoring matrices.
 PYTHON = {
     "cleaned_code", "cleaning_report", "code_parses", "eval_code_details",
-    "svd_reconstruct", "svd_energy", "composed_matrix",
+    "svd_reconstruct", "composed_matrix",
 }
 
 
@@ -68,6 +68,12 @@ def test_only_needed_columns_are_read(spark):
     assert re.search(r"ReadSchema: struct<doc_id:bigint,lang:string,source:string>", plan)
 
 
+@pytest.mark.parametrize("name, steps", [("svd_reconstruct", 2), ("svd_energy", 0), ("composed_matrix", 2)])
+def test_matrices_are_decomposed_once(spark, name, steps):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == steps
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["lang", "n", "acc"] and df.count() > 0

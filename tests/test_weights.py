@@ -107,7 +107,7 @@ def matrix_rows(spark):
 def test_decomposition(matrix_rows, block):
     mats, df = matrix_rows
     parts = matrices.decompose(df, block)
-    got = parts.where("part = 'S'").collect()
+    got = parts.singular.collect()
     for r in got:
         want = np.linalg.svd(mats[r.name], compute_uv=False)
         assert list(r["values"]) == pytest.approx(want.tolist(), abs=1e-9)
