@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.registry import beside, query, table
@@ -41,7 +41,7 @@ THRESHOLD = 0.3
 LOWEST = 0.01
 PIECE = 5
 PREFIXES = range(3, 7)
-LEAST_EVIDENCE = 20.0  # nats by which a piece's labels must beat chance; there are millions of pieces
+SURENESS = 3.0  # nats by which a piece's labels must beat the best that chance finds among all pieces
 SHARES = (0.95, 0.8)  # least share of toxic documents, round by round
 MOST_PIECES = 20_000
 
@@ -339,9 +339,11 @@ def _purest(rows: DataFrame, letters: LetterModel, told: dict[str, float], least
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("share", F.col("toxic") / (F.col("toxic") + F.col("clean") + 1.0))
     )
+    tried = Observation()
     kept = {
         r["piece"]: r
-        for r in counts.where((F.col("share") >= least) | (F.col("piece") == ""))
+        for r in counts.observe(tried, F.count(F.lit(1)).alias("n"))
+        .where((F.col("share") >= least) | (F.col("piece") == ""))
         .orderBy(F.col("piece") != "", F.desc("toxic"), "piece")
         .limit(MOST_PIECES)
         .collect()
@@ -350,7 +352,8 @@ def _purest(rows: DataFrame, letters: LetterModel, told: dict[str, float], least
     if not whole or not whole["toxic"]:
         return {}
     base = whole["toxic"] / (whole["toxic"] + whole["clean"])
-    return {p: r["share"] for p, r in kept.items() if evidence(r["toxic"], r["clean"], base) >= LEAST_EVIDENCE}
+    least_evidence = math.log(tried.get["n"]) + SURENESS
+    return {p: r["share"] for p, r in kept.items() if evidence(r["toxic"], r["clean"], base) >= least_evidence}
 
 
 def evidence(toxic: int, clean: int, base: float) -> float:
