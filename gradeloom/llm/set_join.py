@@ -9,10 +9,13 @@ four steps, none of which loses a link:
    fall into each of its slots, over all documents.
 2. *Candidate families.* Of n shingles, two sets that link share one of their first
    n - ceil(0.8 n) + 1 in any order common to all; the order puts rare slots first, so that passages
-   shared by many come last. Sets with such a shingle in common and fitting sizes are put
-   into one family: connected components of these contacts, found by contraction.
-3. *Search.* Families go to cells of bounded size, small ones together, a large one in
-   a grid of pairs of blocks in which each pair of sets meets once. A cell holds
+   shared by many come last. What stands behind the first common shingle bounds the overlap,
+   and so the sizes that a set can link with by it. Sets with such a shingle in common and
+   fitting sizes are put into one family: connected components of these contacts, found
+   by contraction.
+3. *Search.* Families go to cells of bounded size, small ones together. A large one is dealt
+   by bands of sizes, as sets further apart than two neighbouring bands cannot link, and a large
+   pair of bands in a grid of pairs of blocks; each pair of sets is counted in one cell. A cell holds
    inverted lists of its sets' shingles. For each set, DivideSkip sets aside the longest
    lists, merges the short ones, keeps sets that occur often enough in these, and
    probes the long lists by binary search; what reaches the required overlap is a link.
@@ -44,7 +47,8 @@ PERCENT = 80
 SLOTS = 1 << 20  # of the table that ranks shingles; only speed depends on it
 FILTER_BITS = 1 << 26  # of the filter in front of the texts' shuffle; only speed depends on it
 SLICES = 64
-BLOCK = 500  # sets in a block of a cell
+BLOCK = 800  # sets in a block of a cell
+BAND = 1.3  # ratio of sizes that a band spans; above 100 / PERCENT, so links reach the next band at most
 BATCH = 2_000_000  # characters of texts read together
 SHORT = 0.02  # DivideSkip's weight of probing against merging
 
@@ -171,42 +175,68 @@ def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 size = n[owner]
                 head = place < size - (PERCENT * size + 99) // 100 + 1
-                owner, value = owner[head], value[head]
-                order = np.lexsort((keys[owner], n[owner], value))
-                owner, value = owner[order], value[order]
-                size, key = n[owner], keys[owner]
-                same = np.concatenate([[False], (value[1:] == value[:-1]) & (size[1:] == size[:-1])])
+                owner, value, size = owner[head], value[head], size[head]
+                # If this is the first common shingle, the overlap is at most what stands here and behind;
+                # (100 + P) * overlap >= P * (sum of the sizes) bounds the other size.
+                reach = (100 + PERCENT) * (size - place[head]) // PERCENT - size
+                key = keys[owner]
+                order = np.lexsort((key, -reach, size, value))
+                value, size, key, reach = value[order], size[order], key[order], reach[order]
+                # Sets of one size that reach each other: the one that reaches furthest goes on.
+                same = np.zeros(len(value), bool)
+                same[1:] = (value[1:] == value[:-1]) & (size[1:] == size[:-1]) & (reach[1:] >= size[1:])
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same)))) if len(same) else same
                 yield pd.DataFrame(
-                    {"h": value[~same].view(np.int64), "n": size[~same].astype(np.int32), "a": key[~same], "b": None}
+                    {
+                        "h": value[~same].view(np.int64),
+                        "n": size[~same].astype(np.int32),
+                        "reach": reach[~same].astype(np.int32),
+                        "a": key[~same],
+                        "b": None,
+                    }
                 )
                 pairs = np.unique(np.stack([key[lead[same]], key[same]], 1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
-                yield pd.DataFrame({"h": None, "n": None, "a": pairs[:, 0], "b": pairs[:, 1]})
+                yield pd.DataFrame({"h": None, "n": None, "reach": None, "a": pairs[:, 0], "b": pairs[:, 1]})
 
     def chains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come ordered by shingle and size: a set goes to the one that leads its run
-        # as long as sizes do not jump by more than the similarity allows.
-        last_h, last_n, lead = None, 0, 0
+        # Rows come ordered by shingle and size. A run holds sets that may reach each other; its
+        # leader, furthest reach and least size are all that the next row has to know.
+        last, furthest, least, leader = None, 0, 0, 0
+        held: tuple | None = None  # the last row of a batch, whose shingle may go on
         for frame in frames:
-            h, n, key = frame["h"].to_numpy(), frame["n"].to_numpy().astype(np.int64), frame["a"].to_numpy()
+            h = frame["h"].to_numpy()
+            rows = [frame[c].to_numpy() for c in ("h", "n", "reach", "a")]
+            if held is not None:
+                rows = [np.concatenate([[x], r]) for x, r in zip(held, rows)]
+                h = rows[0]
             if not len(h):
                 continue
-            before_h = np.concatenate([[h[0] - 1 if last_h is None else last_h], h[:-1]])
-            before_n = np.concatenate([[last_n], n[:-1]])
-            goes_on = (h == before_h) & (100 * before_n >= PERCENT * n)
-            leader = np.maximum.accumulate(np.where(goes_on, -1, np.arange(len(h))))
-            to = np.where(leader >= 0, key[np.maximum(leader, 0)], lead)
-            last_h, last_n, lead = h[-1], n[-1], to[-1]
-            linked = goes_on & (to != key)
-            pairs = np.unique(np.stack([to[linked], key[linked]], 1), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
+            equal = h[1:] == h[:-1]
+            shared = np.zeros(len(h), bool)  # shingles of one set alone are passed over at once
+            shared[1:] |= equal
+            shared[:-1] |= equal
+            shared[0] |= last is not None and h[0] == last
+            held = tuple(r[-1] for r in rows)
+            shared[-1] = False
+            pairs = set()
+            for value, n, reach, key in zip(*(r[shared].tolist() for r in rows)):
+                if value != last or n > furthest:
+                    last, furthest, least, leader = value, reach, n, key
+                elif reach >= least:
+                    furthest = max(furthest, reach)
+                    if key != leader:
+                        pairs.add((leader, key))
+            yield pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
+        if held is not None and held[0] == last and held[1] <= furthest and held[2] >= least and held[3] != leader:
+            yield pd.DataFrame([(leader, held[3])], columns=["a", "b"], dtype="int64")
+
+    schema = "h long, n int, reach int, a long, b long"
     folder = new_folder(spark, "prefixes")
-    docs.select("doc_id", "text").mapInPandas(prefixes, "h long, n int, a long, b long").where("b IS NOT NULL OR h IS NOT NULL").write.parquet(folder)
-    found = spark.read.schema("h long, n int, a long, b long").parquet(folder)
+    docs.select("doc_id", "text").mapInPandas(prefixes, schema).where("b IS NOT NULL OR h IS NOT NULL").write.parquet(folder)
+    found = spark.read.schema(schema).parquet(folder)
     met = (
         found.where("b IS NULL")
-        .select("h", "n", "a")
+        .select("h", "n", "reach", "a")
         .repartition("h")
         .sortWithinPartitions("h", "n", "a")
         .mapInPandas(chains, "a long, b long")
@@ -278,7 +308,7 @@ class Cell:
 
 
 def search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Forest and link counts of one cell (text, key, copies, block, side)."""
+    """Forest and link counts of one cell (text, key, copies, block, across, band, top)."""
     texts = rows["text"].tolist()
     parts = [shingle_sets(texts[i:j]) for i, j in batches_of(texts, BATCH)]
     value = np.concatenate([v for v, _ in parts])
@@ -293,6 +323,8 @@ def search(rows: pd.DataFrame) -> pd.DataFrame:
     cell = Cell(value, np.concatenate([[0], ends]))
     key, copies, block = rows["key"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
     across = bool(rows["across"].iloc[0]) if len(rows) else False
+    # Of two bands in a cell, pairs within the lower one belong to another cell.
+    upper = (rows["top"] < 0).to_numpy() | (rows["band"] == rows["top"]).to_numpy()
     root = list(range(len(rows)))
     links = np.zeros(len(rows), np.int64)
 
@@ -306,6 +338,8 @@ def search(rows: pd.DataFrame) -> pd.DataFrame:
         found = cell.partners(q)
         if across:
             found = found[block[found] != block[q]]
+        if not upper[q]:
+            found = found[upper[found]]
         if len(found):
             links[q] += copies[found].sum()
             links[found] += copies[q]
@@ -358,19 +392,29 @@ def link(docs: DataFrame) -> DataFrame:
     if counts is None:
         counts = np.zeros(SLOTS, np.uint32)
     families = components(contacts(docs, counts))
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = sets.where("n > 0").groupBy("key").agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n")
+    )
 
-    members = families.join(classes, families["node"] == classes["key"]).select("key", "root", "first", "copies")
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    members = (
+        families.join(classes, families["node"] == classes["key"])
+        .select("key", "root", "first", "copies", F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band"))
+    )
     total = max(1, members.count())
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = members.groupBy("root").agg(F.count("*").alias("size")).withColumn("large", F.col("size") > BLOCK)
+    # A large family is searched in pairs of neighbouring bands: a set is in two.
+    dealt = members.join(large.select("root", "large"), "root").select(
+        *members.columns,
+        F.explode(F.when(F.col("large"), F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(-1)))).alias("top"),
+    )
+    sizes = dealt.groupBy("root", "top").agg(F.count("*").alias("size"))
     here = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
     cells = F.when(
-        F.col("blocks") == 1,
+        F.col("top") < 0,
         # Small families share cells.
         F.array(
             F.struct(
-                F.pmod(F.xxhash64("root"), F.lit(max(1, total // BLOCK))).alias("cell"),
+                F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * total // BLOCK))).alias("cell"),
                 F.lit(-1).alias("i"),
                 F.lit(-1).alias("j"),
             )
@@ -379,16 +423,18 @@ def link(docs: DataFrame) -> DataFrame:
         F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda other: F.struct(
-                F.col("root").alias("cell"), F.least(other, "block").alias("i"), F.greatest(other, "block").alias("j")
+                F.xxhash64("root", "top").alias("cell"),
+                F.least(other, "block").alias("i"),
+                F.greatest(other, "block").alias("j"),
             ),
         )
     )
     wanted = written(
-        members.join(sizes, "root")
-        .withColumn("blocks", blocks)
+        dealt.join(sizes, ["root", "top"])
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", here)
-        .select("key", "first", "copies", "block", F.explode(cells).alias("c"))
-        .select("key", "first", "copies", "block", "c.*", (F.col("c.i") < F.col("c.j")).alias("across")),
+        .select("key", "first", "copies", "band", "top", "block", F.explode(cells).alias("c"))
+        .select("key", "first", "copies", "band", "top", "block", "c.*", (F.col("c.i") < F.col("c.j")).alias("across")),
         "cells",
     )
     texts = only_ids(docs.select("doc_id", "text"), id_filter(wanted, "first"))
