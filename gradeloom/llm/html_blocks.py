@@ -65,7 +65,9 @@ BOILERPLATE = (
     "div.cookie; div.cookie-banner; div.consent; div.alert; div.gdpr; div.warning; div.message; div.ad; div.ads; "
     "div.advert; div.advertisement; div.sponsored; div.sponsor; div.promo; div.banner-ad; ins.adsbygoogle; "
     "div.comments; div.comment; section.comments; section#comments; ol.comment-list li; div#comments; div.replies; "
-    "div.reply; ul.comments li; div.discussion; div.share; div.social; div.newsletter; div.subscribe; div.signup; "
+    "div.reply; ul.comments li; div.discussion; section.comments article.comment; div#comments article; article.comment; "
+    "ol.comment-list article.comment-body; div.related article; aside article; section.related article.teaser; "
+    "div.user-comments; div.reader-comments; section.reader-comments div.comment-text; div.share; div.social; div.newsletter; div.subscribe; div.signup; "
     "div.login; div.search; form.search; div.pagination; div.pager; div.tags; div.modal; div.popup; dialog; menu; "
     "div.toolbar; div.skip; div.disclaimer; button; select option; fieldset; div.hidden; div.feedback; div.rating"
 ).split("; ")
