@@ -186,17 +186,18 @@ def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 same = np.zeros(len(value), bool)
                 same[1:] = (value[1:] == value[:-1]) & (size[1:] == size[:-1]) & (reach[1:] >= size[1:])
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same)))) if len(same) else same
+                pairs = np.unique(np.stack([key[lead[same]], key[same]], 1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
+                # A pair goes on as two rows that share a name of their own and reach each other.
+                name = mixed(pairs[:, 0].view(np.uint64) + mixed(pairs[:, 1].view(np.uint64), 11), 12)
+                one = np.ones(2 * len(pairs), np.int64)
                 yield pd.DataFrame(
                     {
-                        "h": value[~same].view(np.int64),
-                        "n": size[~same].astype(np.int32),
-                        "reach": reach[~same].astype(np.int32),
-                        "a": key[~same],
-                        "b": None,
+                        "h": np.concatenate([value[~same], name, name]).view(np.int64),
+                        "n": np.concatenate([size[~same], one]).astype(np.int32),
+                        "reach": np.concatenate([reach[~same], one]).astype(np.int32),
+                        "a": np.concatenate([key[~same], pairs[:, 0], pairs[:, 1]]),
                     }
                 )
-                pairs = np.unique(np.stack([key[lead[same]], key[same]], 1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
-                yield pd.DataFrame({"h": None, "n": None, "reach": None, "a": pairs[:, 0], "b": pairs[:, 1]})
 
     def chains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come ordered by shingle and size. A run holds sets that may reach each other; its
@@ -230,18 +231,13 @@ def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         if held is not None and held[0] == last and held[1] <= furthest and held[2] >= least and held[3] != leader:
             yield pd.DataFrame([(leader, held[3])], columns=["a", "b"], dtype="int64")
 
-    schema = "h long, n int, reach int, a long, b long"
-    folder = new_folder(spark, "prefixes")
-    docs.select("doc_id", "text").mapInPandas(prefixes, schema).where("b IS NOT NULL OR h IS NOT NULL").write.parquet(folder)
-    found = spark.read.schema(schema).parquet(folder)
-    met = (
-        found.where("b IS NULL")
-        .select("h", "n", "reach", "a")
+    return (
+        docs.select("doc_id", "text")
+        .mapInPandas(prefixes, "h long, n int, reach int, a long")
         .repartition("h")
-        .sortWithinPartitions("h", "n", "a")
+        .sortWithinPartitions("h", "n", "reach", "a")
         .mapInPandas(chains, "a long, b long")
     )
-    return met.unionByName(found.where("b IS NOT NULL").select("a", "b"))
 
 
 class Cell:
