@@ -68,6 +68,7 @@ def code_task_from_docstring(prompt: Column) -> tuple[Column, Column]:
     sentence = F.when(task.endswith("."), task).otherwise(F.concat(task, F.lit(".")))
     instruction = F.concat(
         sentence,
+        # Fixed value: the wording that models of this task were shown.
         F.lit(" Your code should satisfy the following assertion:\n```python\n"),
         checks,
         F.lit("\n```"),
@@ -113,6 +114,7 @@ def build_messages(
 
 
 # --- chat renderings: one piece of text per message ----------------------
+# Fixed values below: the marks of the three chat formats, as models know them.
 
 
 def header_of(role: Column) -> Column:
