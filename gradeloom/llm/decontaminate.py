@@ -56,7 +56,9 @@ class Windows:
         self.window = window
         owners: dict[str, set[int]] = {}
         for number, text in enumerate(texts):
-            words = folded(text).split()
+            # At the ASCII blank only: other white space is part of a word, here as in the texts.
+            line = folded(text)
+            words = line[1:-1].split(" ") if line else []
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 owners.setdefault(" " + " ".join(words[i : i + window]) + " ", set()).add(number)
         self.automaton = ahocorasick.Automaton()

@@ -245,6 +245,18 @@ def test_decontamination(spark, odd_docs, odd_texts, no_docs):
     assert decontaminate.clean(odd_docs, table.limit(0)).count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u0085", "\u2003", "\u2028", "\u202f", "\u3000"])
+def test_decontamination_with_unicode_spaces(spark, blank):
+    long_item = " ".join(f"mot{i}{blank}?" if i % 3 == 0 else f"w{i}{blank}x" if i % 3 == 1 else f"w{i}" for i in range(30))
+    items = [(1, long_item), (2, f"deux{blank}mots ici"), (3, blank)]
+    docs = [f"Before. {long_item} behind", f"x deux{blank}mots ici y", "x deux mots ici y"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = decontaminate.scan(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.item_ids) == brute_hits(docs[r.doc_id], items)
+    assert {r.doc_id: r.item_ids for r in rows} == {0: ["1"], 1: ["2"], 2: []}
+
+
 def test_decontamination_query(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
