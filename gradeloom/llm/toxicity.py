@@ -6,6 +6,8 @@ each observed character may stand for itself, for letters it is used for, or for
 nothing. Viterbi decoding under a letter model takes the likeliest path, and the
 restored text is scored.
 
+* Every word that mixes a letter with signs or digits is decoded; its plain letters count, too.
+  Runs of spaced characters are read as one word and as all words whose ends are likely where they stand.
 * The letter model is the trigram statistics of all texts' words, counted in tasks and
   summed over slices of a fixed table.
 * The scorer knows pieces of words (whole words, their first letters and runs of
@@ -52,6 +54,8 @@ STANDS_FOR = {
     "¡": "i", "§": "s", "×": "x", "&": "a",
 }
 MASKS = "*#%?"
+# Signs used for two letters, read as the one and as the other throughout a word.
+EITHER = [str.maketrans({sign: s[k] for sign, s in STANDS_FOR.items() if len(s) > 1}) for k in (0, 1)]
 SEPARATORS = " .-_*~'`·,:;/\\|^+=​‌‍﻿­"
 ZERO_WIDTH = "​‌‍﻿­"
 LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -59,8 +63,10 @@ LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõ
 LOOKALIKES = dict(zip("аеорсухіјѕԁһαορν", "aeopcyxijsdhaopv"))
 
 _SIGNS = "".join(STANDS_FOR) + MASKS
-#: A run of three or more single characters with the same kind of gap.
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: A run of three or more single characters with white space between them.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
+#: Letters of the longest word that is looked for inside a spaced run; the whole run is read, too.
+SPACED_WORD = 24
 DOUBLED = re.compile(r"(.)\1+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 #: A sign or digit next to a letter, or letters with one sign between them.
@@ -138,6 +144,7 @@ class Decoder:
     """Viterbi search over the readings of a disguised word."""
 
     SWAP, DROP, LOST, MASKED, REPEAT = 1.0, 0.6, 4.0, 1.5, 0.4
+    NEAR = 6.0  # nats
 
     def __init__(self, letters: LetterModel, masked: int = 3):
         self.letters = letters
@@ -170,33 +177,63 @@ class Decoder:
             out.append(("", 0, self.DROP))
         return out
 
+    def step(self, states: dict, word: str, i: int) -> dict:
+        """The states behind the i-th character: last two classes -> (cost, path as linked pairs)."""
+        new: dict = {}
+        costs, readings, mask = self.costs, self.readings(word, i), word[i] in MASKS
+        for (a, b), (total, path) in states.items():
+            ahead = costs[a][b]
+            for c, n, paid in readings + self.likely[a, b] if mask else readings:
+                if c:
+                    key, value, way = (b, n), total + paid + ahead[n], (c, path)
+                else:
+                    key, value, way = (a, b), total + paid, path
+                if key not in new or value < new[key][0]:
+                    new[key] = (value, way)
+        return new
+
+    def ended(self, states: dict) -> tuple[float, tuple | None]:
+        """Cost and path of the likeliest word that ends here."""
+        return min(
+            ((total + self.costs[a][b][0], path) for (a, b), (total, path) in states.items()), key=lambda x: x[0]
+        )
+
     def decode(self, word: str) -> str:
         """The likeliest letters behind the word; costs grow with its length only."""
         if GAPPED.fullmatch(word):
             word = word[::2]
-        costs = self.costs
-        states = {(0, 0): (0.0, None)}  # last two classes -> (cost, path as linked pairs)
+        states = {(0, 0): (0.0, None)}
         for i in range(len(word)):
-            new: dict = {}
-            readings, mask = self.readings(word, i), word[i] in MASKS
-            for (a, b), (total, path) in states.items():
-                ahead = costs[a][b]
-                for c, n, paid in readings + self.likely[a, b] if mask else readings:
-                    if c:
-                        key, value, way = (b, n), total + paid + ahead[n], (c, path)
-                    else:
-                        key, value, way = (a, b), total + paid, path
-                    if key not in new or value < new[key][0]:
-                        new[key] = (value, way)
-            states = new
-        _, path = min(
-            ((total + costs[a][b][0], path) for (a, b), (total, path) in states.items()), key=lambda x: x[0]
-        )
-        out = []
-        while path:
-            out.append(path[0])
-            path = path[1]
-        return "".join(reversed(out))
+            states = self.step(states, word, i)
+        return letters_of(self.ended(states)[1])
+
+    def words(self, run: str) -> set[str]:
+        """Words behind characters that stood apart, where any gap may be the end of a word.
+
+        Those on a path of the lattice that costs at most ``NEAR`` more than the likeliest one.
+        """
+        n = len(run)
+        ahead, found = [0.0] + [math.inf] * n, []
+        for i in range(n):
+            states = {(0, 0): (0.0, None)}
+            for j in range(i, min(n, i + SPACED_WORD)):
+                states = self.step(states, run, j)
+                cost, path = self.ended(states)
+                found.append((i, j + 1, cost, path))
+                ahead[j + 1] = min(ahead[j + 1], ahead[i] + cost)
+        behind = [math.inf] * n + [0.0]
+        for i, j, cost, _ in reversed(found):
+            behind[i] = min(behind[i], cost + behind[j])
+        most = ahead[n] + self.NEAR
+        return {letters_of(path) for i, j, cost, path in found if ahead[i] + cost + behind[j] <= most}
+
+
+def letters_of(path: tuple | None) -> str:
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out))
 
 
 def bare(word: str) -> str:
@@ -208,10 +245,8 @@ def bare(word: str) -> str:
 
 
 def disguised(word: str) -> bool:
-    """Letters mixed with signs, tripled letters or lookalikes; at least two in five characters are letters."""
-    if not (MIXED.search(word) or TRIPLE.search(word) or any(c in LOOKALIKES for c in word)):
-        return False
-    return 5 * sum(map(str.isalpha, word)) >= 2 * sum(c not in SEPARATORS for c in word)
+    """At least one letter mixed with signs, tripled letters or lookalikes, however many of the characters are signs."""
+    return bool(MIXED.search(word) or TRIPLE.search(word) or any(c in LOOKALIKES for c in word))
 
 
 def squeezed(word: str) -> str:
@@ -235,13 +270,17 @@ def restored_words(text: str, decoder: Decoder, known: dict[str, tuple[str, ...]
                 found.add(squeezed(part))
             else:
                 if disguised(part):
-                    found.add(squeezed(decoder.decode(part)))
+                    ways = {part, *(part.translate(way) for way in EITHER)}
+                    found.update(squeezed(decoder.decode(way)) for way in ways)
                 found.update(squeezed(p) for p in LETTERS.findall(part))
             found.discard("")
             got = known[word] = tuple(found)
         out.update(got)
     for run in SPACED.findall(lower):
-        out.add(squeezed(decoder.decode(run.replace(" ", ""))))
+        run = "".join(run.split())
+        out.add(squeezed(decoder.decode(run)))
+        out.update(map(squeezed, decoder.words(run)))
+    out.discard("")
     return out
 
 

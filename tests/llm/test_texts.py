@@ -107,6 +107,25 @@ def test_spaced_letters_and_clean_texts(scorer):
         assert scorer.score(text) <= 0.02
 
 
+@pytest.mark.parametrize(
+    "word, plain",
+    [("p47h371c", "pathetic"), ("1d107", "idiot"), ("p@7h37!c", "pathetic"), ("!d!07", "idiot"), ("1053r", "loser"),
+     ("w0r7h1355", "worthles")],
+)
+def test_words_mostly_of_signs(scorer, word, plain):
+    assert plain in toxicity.restored_words(f"The {word} of", scorer.decoder, {})
+    assert scorer.score(f"The and of {word} that.") > 0.8
+
+
+@pytest.mark.parametrize(
+    "run", ["a s c u m", "y o u s c u m", "i  d  i  o  t", "i\td\ti\to\tt", "y o u  i d i o t", "a n 1 d 1 0 7"]
+)
+def test_spaced_words(scorer, run):
+    plain = "scum" if "m" in run else "idiot"
+    assert plain in toxicity.restored_words(f"that is {run} of", scorer.decoder, {})
+    assert scorer.score(f"that is {run} of") > 0.8
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
