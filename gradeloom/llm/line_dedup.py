@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines, in native expressions only.
+"""Removal of repeated runs of lines and of words, in native expressions only.
 
 A text is cut into chunks of at least two lines at places that its content chooses: a
 rolling hash over the hashes of ``ROLL`` lines ends a chunk where it is larger than at the
@@ -7,11 +7,20 @@ cuts next to them only, so the same passage gets the same chunks in every docume
 chunk that occurs more than once in the corpus stays where it occurs first, by
 ``doc_id`` and place, and is removed everywhere else once its bytes were compared.
 
-Only hashes of chunks are counted over the corpus, with partial sums before the shuffle;
+Passages of words are found apart from lines: windows of ``WINDOW`` words start at words that
+their neighbours choose (a larger hash than two words on either side), at starts of lines and
+so that they end at ends of lines and of the text. Words in a window that stands earlier in the
+corpus, or in the same text and not across itself, are removed; windows are compared by 64 and
+256 bits of digests of their words. So a repeated passage of one long line goes as well as one
+of many lines. What stays of it: the words before its first window and behind its last one (a few, none
+where it begins or ends with a line), and passages without a whole window inside. ``op9_line_dedup``
+leaves passages alone, because its SQL knows chunks only; the pipeline removes them.
+
+Only hashes of chunks and windows are counted over the corpus, with partial sums before the shuffle;
 texts travel by document, and bytes of chunks only where their hash repeats.
 
 A null text stays null, an empty one has one empty line and loses nothing. Chunks with
-fewer than two lines that hold a word are never removed, so single lines and blank runs stay.
+fewer than two lines that hold a word are never removed as chunks, so short single lines and blank runs stay.
 Of rows with equal ``doc_id`` and text all lose the same chunks. Chunks whose hash also
 stands for other bytes are left alone. All other columns pass through, whatever their names.
 """
@@ -27,6 +36,11 @@ from gradeloom.llm.registry import query, table, written
 ROLL = 2
 STEP, MODULUS = 1_000_003, 4_294_967_291
 LEAST_LINES = 2
+#: Words of a window.
+WINDOW = 25
+#: Windows are numbered by their first word from here on, chunks from 0.
+WINDOWS = 1 << 30
+SPACES = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -80,27 +94,76 @@ def bytes_of(lines: Column, chunk: Column) -> Column:
     return F.array_join(lines_of(lines, chunk), "\n")
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """(_id, _key, removed): the numbers of the chunks that each text loses."""
+def tokens_of(text: Column) -> Column:
+    """The words of a text, each with the white space behind it; leading white space is one more."""
+    return F.split(F.coalesce(text, F.lit("")), r"(?<=\s)(?=\S)", -1)
+
+
+def window_at(words: Column, start: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, WINDOW), " ")
+
+
+def windows_of(tokens: Column) -> Column:
+    """The windows of a text: an array of (_i, _h)."""
+
+    def starts(tokens: Column, hashes: Column) -> Column:
+        last = F.size(tokens) - WINDOW
+
+        def chosen(i: Column) -> Column:
+            own = F.get(hashes, i)
+            return (
+                (i == 0)
+                | (i == last)
+                | F.contains(F.get(tokens, i - 1), F.lit("\n"))
+                | F.contains(F.get(tokens, i + WINDOW - 1), F.lit("\n"))
+                | (
+                    (own > F.greatest(F.get(hashes, i - 1), F.get(hashes, i - 2)))
+                    & (own >= F.greatest(F.get(hashes, i + 1), F.get(hashes, i + 2)))
+                )
+            )
+
+        return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), chosen)).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    def hashed(tokens: Column, words: Column) -> Column:
+        return F.transform(
+            let(starts, tokens, F.transform(words, lambda w: F.xxhash64(w))),
+            lambda i: F.struct((i + WINDOWS).alias("_i"), F.xxhash64(window_at(words, i)).alias("_h")),
+        )
+
+    return let(hashed, tokens, words_of(tokens))
+
+
+def words_of(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.rtrim(t, F.lit(SPACES)))
+
+
+def repeated_chunks(keyed: DataFrame, passages: bool) -> DataFrame:
+    """(_id, _key, removed): the numbers of the chunks and windows that each text loses."""
 
     def hashes(lines: Column, chunks: Column) -> Column:
-        """A hash for each chunk with enough lines that hold a word, null for others."""
+        """(_i, _h) for each chunk; the hash is null where too few lines hold a word."""
 
-        def of_chunk(chunk: Column) -> Column:
+        def of_chunk(chunk: Column, i: Column) -> Column:
             filled = F.filter(lines_of(lines, chunk), lambda line: F.rlike(line, F.lit(WORD)))
-            return F.when(F.size(filled) >= LEAST_LINES, F.xxhash64(bytes_of(lines, chunk)))
+            hashed = F.when(F.size(filled) >= LEAST_LINES, F.xxhash64(bytes_of(lines, chunk)))
+            return F.struct(i.alias("_i"), hashed.alias("_h"))
 
         return F.transform(chunks, of_chunk)
 
-    def shown_bytes(found: Column, lines: Column, chunks: Column) -> Column:
-        return F.transform(
-            found,
-            lambda f: F.struct(f["_h"].alias("h"), bytes_of(lines, F.get(chunks, f["_i"])).alias("bytes")),
-        )
+    def shown_bytes(found: Column, lines: Column, chunks: Column, words: Column) -> Column:
+        def shown(f: Column) -> Column:
+            window = F.sha2(window_at(words, f["_i"] - WINDOWS), 256)
+            own = F.when(f["_i"] < WINDOWS, bytes_of(lines, F.get(chunks, f["_i"]))).otherwise(window)
+            return F.struct(f["_h"].alias("h"), own.alias("bytes"))
 
-    hashed = with_chunks(keyed.select("_id", "_key", "_text"), "_text").select(
-        "_id", "_key", F.posexplode(let(hashes, F.col("_lines"), F.col("_chunks"))).alias("_i", "_h")
-    )
+        return F.transform(found, shown)
+
+    numbered = let(hashes, F.col("_lines"), F.col("_chunks"))
+    if passages:
+        numbered = F.concat(numbered, let(windows_of, tokens_of(F.col("_text"))))
+    hashed = with_chunks(keyed.select("_id", "_key", "_text"), "_text").select("_id", "_key", F.inline(numbered))
     # Small rows, read four times: the texts are cut and hashed once.
     hashed = written(hashed.where(F.col("_h").isNotNull()), "chunks")
     place = F.struct("_id", "_key", "_i")
@@ -110,21 +173,48 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     found = hashed.join(often, "_h")
     # The bytes behind the repeated hashes, each text's once.
     listed = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("_i", "_h")).alias("_found"))
+    words = words_of(tokens_of(F.col("_text"))) if passages else F.array().cast("array<string>")
     shown = (
         with_chunks(joined(keyed.select("_id", "_key", "_text"), listed, "inner"), "_text")
-        .select(F.explode(let(shown_bytes, F.col("_found"), F.col("_lines"), F.col("_chunks"))).alias("c"))
+        .select(F.explode(let(shown_bytes, F.col("_found"), F.col("_lines"), F.col("_chunks"), words)).alias("c"))
         .groupBy("c.h", "c.bytes")
         .agg(F.lit(1).alias("one"))
     )
     same = shown.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    first = F.col("_first")
+    across = first["_id"].eqNullSafe(F.col("_id")) & (first["_key"] == F.col("_key")) & (
+        F.col("_i") - first["_i"] < WINDOW
+    )
+    stays = F.when(F.col("_i") < WINDOWS, first.eqNullSafe(place)).otherwise(across)
     return (
         found.join(same, "_h")
-        .where(~F.col("_first").eqNullSafe(place))
+        .where(~stays)
         .groupBy("_id", "_key")
         .agg(F.collect_list("_i").alias("_removed"))
     )
 
 
+def without_windows(starts: Column, chunks_gone: Column, tokens: Column) -> Column:
+    """The text without the windows at ``starts`` (in order) and the tokens marked in ``chunks_gone``."""
+
+    def marked(starts: Column) -> Column:
+        def part(start: Column, k: Column) -> Column:
+            room = F.coalesce(F.get(starts, k + 1), F.size(tokens)) - start
+            inside = F.array_repeat(F.lit(True), F.least(room, F.lit(WINDOW)))
+            return F.concat(inside, F.array_repeat(F.lit(False), F.greatest(room - WINDOW, F.lit(0))))
+
+        before = F.array(F.array_repeat(F.lit(False), F.get(starts, F.lit(0))))
+        return F.flatten(F.concat(before, F.transform(starts, part)))
+
+    def text(gone: Column, chunks_gone: Column) -> Column:
+        stay = F.filter(tokens, lambda t, j: ~(F.get(gone, j) | F.get(chunks_gone, j)))
+        end = F.size(tokens) - 1
+        kept = F.array_join(stay, "")
+        return F.when(F.get(gone, end) | F.get(chunks_gone, end), F.rtrim(kept, F.lit(SPACES))).otherwise(kept)
+
+    return let(text, let(marked, starts), chunks_gone)
+
+
 def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join on the two key columns, nulls equal."""
     other = right.withColumnsRenamed({"_id": "_id2", "_key": "_key2"})
@@ -133,16 +223,17 @@ def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", passages: bool = True) -> DataFrame:
     """For each row of ``docs``: the row as a struct ``_row``, ``_kept`` (its text without repeated
-    chunks), ``_n_lines``, ``_n_removed`` and ``_n_chunks_removed``."""
+    chunks and, with ``passages``, repeated windows of words), ``_n_lines``, ``_n_removed`` (lines of the
+    chunks; all lines if no word stays) and ``_n_chunks_removed`` (chunks and windows)."""
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
         docs[order].alias("_id"),
         docs[text].alias("_text"),
         F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_key"),
     )
-    lost = repeated_chunks(keyed)
+    lost = repeated_chunks(keyed, passages)
 
     def rest(removed: Column, lines: Column, chunks: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), removed)
@@ -154,10 +245,46 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
             F.size(removed).cast("long").alias("n_chunks_removed"),
         )
 
+    def rest_of_words(removed: Column, lines: Column, chunks: Column, text: Column) -> Column:
+        """As ``rest``, for texts that lose windows."""
+        starts = F.array_sort(F.transform(F.filter(removed, lambda i: i >= WINDOWS), lambda i: i - WINDOWS))
+        cut = F.filter(removed, lambda i: i < WINDOWS)
+
+        def marks(chunk: Column, k: Column) -> Column:
+            words = F.regexp_count(bytes_of(lines, chunk), F.lit(r"\S+"))
+            return F.array_repeat(F.array_contains(cut, k), words)
+
+        lead = F.array(F.array_repeat(F.lit(False), F.when(F.rlike(text, F.lit(r"^\s")), 1).otherwise(0)))
+        chunks_gone = F.flatten(F.concat(lead, F.transform(chunks, marks)))
+
+        def result(kept: Column, plain: Column) -> Column:
+            lost = ~F.rlike(kept, F.lit(WORD))
+            return F.struct(
+                F.when(lost, "").otherwise(kept).alias("kept"),
+                plain["n_lines"].alias("n_lines"),
+                F.when(lost, plain["n_lines"]).otherwise(plain["n_removed"]).alias("n_removed"),
+                F.size(removed).cast("long").alias("n_chunks_removed"),
+            )
+
+        return let(result, let(without_windows, starts, chunks_gone, tokens_of(text)), let(rest, cut, lines, chunks))
+
+    def all_rest(removed: Column, lines: Column, chunks: Column, text: Column) -> Column:
+        plain = let(rest, removed, lines, chunks)
+        words = let(rest_of_words, removed, lines, chunks, text)
+        return F.when(F.exists(removed, lambda i: i >= WINDOWS), words).otherwise(plain)
+
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
     return (
         with_chunks(joined(keyed, lost, "left"), "_text")
-        .select("_row", "_text", let(rest, removed, F.col("_lines"), F.col("_chunks")).alias("_new"))
+        .select(
+            "_row",
+            "_text",
+            (
+                let(all_rest, removed, F.col("_lines"), F.col("_chunks"), F.col("_text"))
+                if passages
+                else let(rest, removed, F.col("_lines"), F.col("_chunks"))
+            ).alias("_new"),
+        )
         .select(
             "_row",
             F.when(F.col("_new.n_chunks_removed") == 0, F.col("_text")).otherwise(F.col("_new.kept")).alias("_kept"),
@@ -169,7 +296,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id") -> D
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text`` (and ``n_chars``, where there is one, set anew).
+    """``docs`` with repeated chunks and passages cut out of ``text`` (and ``n_chars``, where there is one, set anew).
 
     A document that had a text and lost all of it goes.
     """
@@ -221,7 +348,7 @@ FROM m GROUP BY doc_id
 @query("op9_line_dedup", _SQL)
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, passages=False).select(
         "_row.doc_id",
         F.col("_n_lines").alias("n_lines"),
         F.col("_n_removed").alias("n_removed"),

@@ -174,6 +174,31 @@ def test_shifted_passages_lose_the_same_chunks(spark):
     assert sorted(kept) == [1, 2, 4]
 
 
+def test_repeated_passages_in_any_lines(spark):
+    made = random.Random(9)
+    word = lambda: "".join(made.choice("abcdefghij") for _ in range(made.randint(3, 8)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    one, few = own(60), "\n".join(own(20) for _ in range(3))
+    around = [own(30) for _ in range(8)]
+    rows = [
+        (1, f"{around[0]}\n{one}\n{around[1]}\n{few}"),
+        (2, f"{around[2]}\n{one}\n{around[3]}"),  # one long line
+        (3, f"{around[4]}\n{few}\n{around[5]}"),  # three lines
+        (4, f"{around[6]} {one} {around[7]}"),  # inside a line
+        (5, one),
+        (6, "  " + own(5) + " " + "\n".join(["ab cd ef"] * 40)),  # repeats across itself keep one window
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["_row"]["doc_id"]: r["_kept"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1] == rows[0][1]
+    assert got[2].split() == f"{around[2]} {around[3]}".split()
+    assert got[3].split() == f"{around[4]} {around[5]}".split()
+    left = got[4].split()
+    assert left[:30] == around[6].split() and left[-30:] == around[7].split() and len(left) <= 60 + 25
+    assert got[5] == "" and rows[5][1].startswith(got[6][:30]) and len(got[6].split()) >= 5
+    assert {r.doc_id for r in line_dedup.without_repeats(docs).collect()} == {1, 2, 3, 4, 6}
+
+
 def test_empty_tables(no_docs):
     assert set_join.link(no_docs).count() == 0
     assert set_join.one_of_each(no_docs).columns == no_docs.columns
