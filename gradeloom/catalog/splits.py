@@ -133,53 +133,67 @@ def source_cap(spark: SparkSession, sf: str) -> DataFrame:
     return S.cap_per_source(events, "event_type", "event_id", 400)
 
 
-# Four Feistel rounds on a position's two digits in base a, as the library draws.
-def _round_sql(number: int) -> str:
-    half, other = ("l", "r") if number % 2 == 0 else ("r", "l")
-    key = f"('0x' || substr(md5('5:' || step || ':{number}:' || {other}), 1, 12))::BIGINT"
-    source = f"m{number - 1}" if number else "m"
-    return f"m{number} AS (SELECT step, n, a, j, ({half} + {key} % a) % a AS {half}, {other} FROM {source})"
+# Feistel rounds on a position's row and column, as the library draws.
+def _permuted_sql(source: str) -> str:
+    """``source`` has n, rows, cols, draw, step and j; the result has j where the permutation puts it."""
+
+    def key(number: int, at: int) -> str:
+        return f"('0x' || substr(md5('5:' || step || ':{number}'), {at}, 7))::BIGINT"
+
+    sql = f"SELECT *, j // cols AS r, j % cols AS c FROM ({source})"
+    for number in range(S.ROUNDS):
+        half, other, size = ("r", "c", "rows") if number % 2 == 0 else ("c", "r", "cols")
+        sql = f"SELECT *, ({other} + {key(number, 1)}) % {S.PRIME} AS x FROM ({sql})"
+        sql = f"SELECT * EXCLUDE x, ((x * x) % {S.PRIME} + {key(number, 8)}) % {S.PRIME} AS y FROM ({sql})"
+        sql = f"SELECT * EXCLUDE y REPLACE (({half} + (y * y) % {S.PRIME}) % {size} AS {half}) FROM ({sql})"
+    return f"SELECT step, draw, n, rows, cols, r * cols + c AS j FROM ({sql})"
 
 
 def _draws_sql(steps: str) -> str:
+    """Places outside are permuted again until they are inside."""
     return f"""
-    {_PLACED}, train AS (SELECT doc_id, ordinal // 2 AS split_ordinal FROM placed WHERE ordinal % 2 = 0),
-    n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM train),
-    m AS (SELECT *, j // a AS l, j % a AS r
-          FROM (SELECT step, n, a, unnest(range(0, least(16, n) + a * a - n)) AS j FROM ({steps}), n)),
-    {", ".join(_round_sql(k) for k in range(4))},
-    kept AS (SELECT step, l * a + r AS split_ordinal, row_number() OVER (PARTITION BY step ORDER BY j) - 1 AS draw
-             FROM m3 WHERE l * a + r < n)
+    RECURSIVE {_PLACED}, train AS (SELECT doc_id, ordinal // 2 AS split_ordinal FROM placed WHERE ordinal % 2 = 0),
+    n AS (SELECT *, (n + rows - 1) // rows AS cols
+          FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS rows FROM train)),
+    walk AS (
+        SELECT * FROM ({_permuted_sql(f"SELECT step, n, rows, cols, draw, draw::BIGINT AS j FROM (SELECT step, n, rows, cols, unnest(range(0, least(16, n))) AS draw FROM ({steps}), n)")})
+        UNION ALL
+        SELECT * FROM ({_permuted_sql("SELECT step, n, rows, cols, draw, j FROM walk WHERE j >= n")})),
+    kept AS (SELECT step, draw, j AS split_ordinal FROM walk WHERE j < n)
     """
 
 
-def _train(spark: SparkSession, sf: str) -> DataFrame:
+def _train(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Train documents with their positions, and how many: the larger half of all, so nothing is numbered to count."""
     place = F.col("ordinal")
     rows = _documents(spark, sf).where(S.parity_split(place) == "train")
-    return rows.select("doc_id", S.parity_position(place).alias("split_ordinal"))
+    positions = rows.select("doc_id", S.parity_position(place).alias("split_ordinal"))
+    return positions, (table(spark, sf, "documents").count() + 1) // 2
 
 
 @query(
     f"""
     WITH {_draws_sql('SELECT 3 AS step')}
-    SELECT draw::INT AS draw, doc_id FROM kept JOIN train USING (split_ordinal) WHERE draw < 16
+    SELECT draw::INT AS draw, doc_id FROM kept JOIN train USING (split_ordinal)
     """
 )
 def random_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Step 3 of :func:`step_batches`, drawn by itself."""
-    return S.random_batch(_train(spark, sf), 16, 5, step=3, ordinal="split_ordinal").select("draw", "doc_id")
+    rows, n = _train(spark, sf)
+    return S.random_batch(rows, 16, 5, step=3, ordinal="split_ordinal", n=n).select("draw", "doc_id")
 
 
 @query(
     f"""
     WITH {_draws_sql('SELECT doc_id AS step FROM documents')}
-    SELECT step, draw::INT AS draw, doc_id FROM kept JOIN train USING (split_ordinal) WHERE draw < 16
+    SELECT step, draw::INT AS draw, doc_id FROM kept JOIN train USING (split_ordinal)
     """
 )
 def step_batches(spark: SparkSession, sf: str) -> DataFrame:
     """A batch of 16 train documents for as many steps as there are documents."""
     steps = table(spark, sf, "documents").select(F.col("doc_id").alias("step"))
-    batches = S.step_batches(_train(spark, sf), steps, 16, 5, "split_ordinal")
+    rows, n = _train(spark, sf)
+    batches = S.step_batches(rows, steps, 16, 5, "split_ordinal", n)
     return batches.select("step", "draw", "doc_id")
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import let
 from gradeloom.functions.vectors import digest, upto
 from gradeloom.operators.positions import first_k_per_group, with_hash_position
 
@@ -91,56 +90,101 @@ def cap_per_source(df: DataFrame, source: str, ordinal: str, cap: int = 400) ->
     return first_k_per_group(df, [source], [ordinal], cap - 1)
 
 
-ROUNDS = 4
+ROUNDS = 6
+#: Round functions are squares modulo this prime, so that products fit 64 bits in any engine.
+PRIME = (1 << 31) - 1
 
 
-def _permuted(j: Column, side: int, seed: int | str, step: Column) -> Column:
-    """Where a keyed permutation of 0 ... side^2 - 1 puts j: Feistel rounds on j's two digits in base ``side``."""
+def _round_keys(seed: int | str, step: Column, rows: int, columns: int) -> Column:
+    """For each round of a step's permutation two numbers below 2^28 and the size of the half that moves."""
 
-    def keyed(number: int, half: Column) -> Column:
-        return F.conv(F.substring(digest(seed, step, number, half), 1, 12), 16, 10).cast("bigint") % side
+    def of_round(number: int) -> Column:
+        words = digest(seed, step, number)
+        first, second = (F.conv(F.substring(words, at, 7), 16, 10).cast("bigint") for at in (1, 8))
+        size = F.lit(rows if number % 2 == 0 else columns).cast("bigint")
+        return F.struct(first.alias("a"), second.alias("b"), size.alias("size"))
 
-    def mixed(number: int, left: Column, right: Column) -> Column:
-        if number == ROUNDS:
-            return left * side + right
-        if number % 2 == 0:
-            return let(lambda l, r: mixed(number + 1, l, r), (left + keyed(number, right)) % side, right)
-        return let(lambda l, r: mixed(number + 1, l, r), left, (right + keyed(number, left)) % side)
+    return F.array(*[of_round(number) for number in range(ROUNDS)])
 
-    return let(lambda l, r: mixed(0, l, r), F.floor(j / side).cast("bigint"), j % side)
+
+def _permuted(j: Column, keys: Column, columns: int) -> Column:
+    """Where a keyed permutation of 0 ... rows * columns - 1 puts j.
+
+    Feistel rounds on j's row and column, in whole-number arithmetic. A fold over the rounds,
+    as nested bindings would make Spark resolve their types again and again at every level.
+    """
+
+    def squared(x: Column) -> Column:
+        return (x * x) % PRIME
+
+    def round_of(halves: Column, key: Column) -> Column:
+        mixed = squared((squared((halves["still"] + key["a"]) % PRIME) + key["b"]) % PRIME)
+        return F.struct(
+            halves["still"].alias("moving"), ((halves["moving"] + mixed) % key["size"]).alias("still")
+        )
+
+    start = F.struct(
+        F.call_function("div", j, F.lit(columns).cast("bigint")).alias("moving"), (j % columns).alias("still")
+    )
+    return F.aggregate(keys, start, round_of, lambda halves: halves["moving"] * columns + halves["still"])
+
+
+def _walked(place: Column, n: int, again: Callable[[Column], Column], most: int) -> Column:
+    """``place``, permuted again until it is below n; that takes ``most`` times at most.
+
+    Two nested folds, because a fold has no early end: the inner one starts only where the
+    place is still outside.
+    """
+    turns = F.sequence(F.lit(1), F.lit(math.isqrt(most) + 1))
+
+    def once(at: Column, _: Column) -> Column:
+        return F.when(at < n, at).otherwise(again(at))
+
+    def many(at: Column, _: Column) -> Column:
+        return F.when(at < n, at).otherwise(F.aggregate(turns, at, once))
+
+    return F.when(place < n, place).otherwise(F.aggregate(turns, place, many))
 
 
 def step_draws(n: int, steps: DataFrame, size: int, seed: int | str) -> DataFrame:
     """Positions drawn at random for every step without replacement: ``(step, draw, ordinal)``.
 
-    A step draws the first places of its own permutation of the positions, which (seed,
-    step) key. The permutation covers the smallest square from n on; its few numbers that
-    are no position are skipped. Cost grows with steps times batch size and, for what is
-    skipped, with the square root of n.
+    Draw j of a step is the place that the step's own permutation, keyed by (seed, step),
+    gives to j. The permutation covers the rows and columns of a rectangle that has fewer than
+    sqrt(n) + 1 places too many; one that lands outside walks on along its cycle until it
+    is inside again, so the n positions are permuted among themselves. Hardly any draw walks, and
+    the cost of a step is its batch, whatever n is.
     """
-    side = max(1, math.isqrt(max(n - 1, 0)) + 1)
-    size = min(size, n)
-    walk = F.transform(
-        upto(size + side * side - n) if size else upto(0),
-        lambda j: _permuted(j.cast("bigint"), side, seed, F.col("step")),
-    )
-    kept = F.slice(F.filter(walk, lambda place: place < n), 1, max(size, 1))
-    return steps.select("step", F.posexplode(kept).alias("draw", "ordinal"))
+    rows = math.isqrt(max(n - 1, 0)) + 1
+    columns = max(1, -(-n // rows))
+    # Keys first, in a step of their own: beside the explode they would be made for every draw.
+    keyed = steps.select("step", _round_keys(seed, F.col("step"), rows, columns).alias("_keys"))
+    drawn = keyed.select("step", "_keys", F.explode(upto(min(size, n))).alias("draw"))
+    again = lambda at: _permuted(at, F.col("_keys"), columns)
+    first = drawn.withColumn("_place", again(F.col("draw").cast("bigint")))
+    place = _walked(F.col("_place"), n, again, rows * columns - n + 1)
+    # Never null, and said so: else a join on it filters by the whole expression first.
+    return first.select("step", "draw", F.coalesce(place, F.lit(-1)).alias("ordinal"))
 
 
 def random_batch(
-    df: DataFrame, size: int, seed: int | str, step: int = 0, ordinal: str = "ordinal"
+    df: DataFrame, size: int, seed: int | str, step: int = 0, ordinal: str = "ordinal", n: int | None = None
 ) -> DataFrame:
     """The batch of one step, as :func:`step_batches` draws it."""
     steps = df.sparkSession.range(1).select(F.lit(step).alias("step"))
-    return step_batches(df, steps, size, seed, ordinal)
+    return step_batches(df, steps, size, seed, ordinal, n)
 
 
 def step_batches(
-    df: DataFrame, steps: DataFrame, size: int, seed: int | str, ordinal: str = "ordinal"
+    df: DataFrame,
+    steps: DataFrame,
+    size: int,
+    seed: int | str,
+    ordinal: str = "ordinal",
+    n: int | None = None,
 ) -> DataFrame:
-    """One random batch per step over a table with dense positions."""
-    draws = step_draws(df.count(), steps, size, seed)
+    """One random batch per step over a table with dense positions; it is counted unless ``n`` says how many."""
+    draws = step_draws(df.count() if n is None else n, steps, size, seed)
     return draws.join(df, draws["ordinal"] == df[ordinal]).drop(draws["ordinal"])
 
 
