@@ -411,7 +411,8 @@ _FLAT = f"""
 @query(f"WITH {_FLAT} SELECT owner, vec_id::VARCHAR AS name, flat, round(v, 6) + 0.0 AS value FROM f")
 def flatten_params(spark: SparkSession, sf: str) -> DataFrame:
     flat = weights.flattened(_owned(spark, sf))
-    return flat.withColumn("value", F.round("value", 6))
+    entries = flat.select("owner", "name", "first", F.posexplode("values").alias("i", "value"))
+    return entries.select("owner", "name", (F.col("first") + F.col("i")).alias("flat"), F.round("value", 6).alias("value"))
 
 
 @query(

@@ -36,12 +36,25 @@ def completeness(df: DataFrame, identifier: Sequence[str]) -> DataFrame:
     ).withColumn("complete", F.col("n_rows") == F.col("n_distinct"))
 
 
+#: Labels that are held as a dictionary in the plan; more of them are joined.
+MOST_LABELS = 1000
+
+
 def with_experts(
-    samples: DataFrame, experts: DataFrame, label: str = "expert_label"
+    samples: DataFrame, experts: DataFrame, label: str = "expert_label", most: int = MOST_LABELS
 ) -> DataFrame:
-    """Samples with the expert of their label; no expert leaves ``evaluated`` false."""
-    known = experts.select(label).distinct().withColumn("evaluated", F.lit(True))
-    return samples.join(known, label, "left").withColumn(
+    """Samples with ``evaluated``: whether an expert of their label exists.
+
+    The labels of the experts are read at once, ``most`` and one more of them at most. So
+    few are looked up where the sample is: a label with a third of all samples, as labels have, moves
+    no sample. Beyond that they are joined.
+    """
+    known = experts.select(label).where(F.col(label).isNotNull()).distinct()
+    names = [row[0] for row in known.limit(most + 1).collect()]
+    if len(names) <= most:
+        evaluated = F.col(label).isin(names) if names else F.lit(False)
+        return samples.withColumn("evaluated", F.coalesce(evaluated, F.lit(False)))
+    return samples.join(known.withColumn("evaluated", F.lit(True)), label, "left").withColumn(
         "evaluated", F.coalesce("evaluated", F.lit(False))
     )
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from gradeloom.operators.positions import BLOCK_ROWS, running, with_sort_position
-from gradeloom.session import cut_lineage
+from gradeloom.operators.positions import BLOCK_ROWS, block_of, running, with_position
 
 
 def best_so_far(
@@ -71,7 +71,12 @@ def step_records(
 
 
 def step_series(
-    log: DataFrame, metric: str, node: str = "node", path: str = "path", place: str = "pos"
+    log: DataFrame,
+    metric: str,
+    node: str = "node",
+    path: str = "path",
+    place: str = "pos",
+    width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(node, step, value, at_start) of one metric, in path order.
 
@@ -79,7 +84,10 @@ def step_series(
     dropped afterwards.
     """
     needed = log.select(node, path, place, "iter", F.col(metric).alias("_metric"))
-    placed = with_sort_position(needed, [F.col(path), F.col(place)], "step", [node])
+    # A file is one block, or several where its records are many: each counts its own, and the
+    # counts of the blocks before it in the node are added.
+    blocks = F.struct(F.col(path), block_of(F.col(place), width))
+    placed = with_position(needed, [path, place], [node], "step", blocks)
     value = F.col("_metric").cast("double")
     return placed.where(value.isNotNull() & ~F.isnan(value)).select(
         node, "step", value.alias("value"), (F.col("iter") == 0).alias("at_start")
@@ -108,32 +116,99 @@ def running_mean(
     and resets afterwards. A row marked by ``sets`` replaces what was summed so
     far by its own value, counted once. ``bias`` is the small start of the count
     that avoids a division by zero; it does not apply after a set.
+
+    A segmented scan: rows are summed inside their epoch and block in one layout, and one
+    summary per block is carried over the blocks before it. The input is read twice, once for
+    the summaries.
+    """
+    work = log.select(
+        "*",
+        F.struct(*metric).alias("_group"),
+        F.struct(block_of(F.col(order), width).alias("number")).alias("_block"),
+        (F.lit(False) if sets is None else F.coalesce(F.col(sets), F.lit(False))).alias("_set"),
+    )
+    breaks = F.col(reset).cast("bigint") + F.col("_set").cast("bigint")
+    so_far = W.partitionBy("_group", "_block").orderBy(order)
+    before = F.sum(breaks).over(so_far.rowsBetween(W.unboundedPreceding, -1))
+    # Epochs of a block, from 0; epoch 0 goes on from the block before and holds no set.
+    work = work.withColumn("_epoch", F.coalesce(before, F.lit(0)) + F.col("_set").cast("bigint"))
+    carried = _carried_means(work, value, breaks, bias)
+    in_epoch = W.partitionBy("_group", "_block", "_epoch").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    here = work.select(
+        "*",
+        F.sum(value).over(in_epoch).alias("_sum"),
+        F.count(value).over(in_epoch).alias("_n"),
+        F.max("_set").over(in_epoch).alias("_was_set"),
+    ).join(carried, ["_group", "_block"])
+    goes_on = F.col("_epoch") == 0
+    total = F.coalesce("_sum", F.lit(0.0)) + F.when(goes_on, F.col("_carry.sum")).otherwise(0.0)
+    count = F.col("_n") + F.when(goes_on, F.col("_carry.n")).otherwise(0)
+    was_set = F.col("_was_set") | (goes_on & F.col("_carry.was_set"))
+    means = here.withColumn("_mean", _mean(total, count, was_set, bias))
+    latest = F.last("_mean", ignorenulls=True).over(so_far.rowsBetween(W.unboundedPreceding, 0))
+    return means.select(
+        *log.columns, F.coalesce(latest, F.col("_carry.mean"), F.lit(0.0)).alias(name)
+    )
+
+
+def _mean(total: Column, count: Column, was_set: Column, bias: float) -> Column:
+    """Mean of an epoch, null without a sample; the biased start does not apply after a set."""
+    return F.when(count >= 1, total / (count + F.when(was_set, 0.0).otherwise(bias)))
+
+
+def _carried_means(work: DataFrame, value: str, breaks: Column, bias: float) -> DataFrame:
+    """(_group, _block, _carry): the open epoch and the last mean before each block.
+
+    A block's summary is its first epoch, its last one (open to the right) and its last mean that
+    needs nothing from before. Summaries combine like the rows do, so the scan over the
+    blocks of a group is the same segmented sum, on one row per block.
     """
-    is_set = F.lit(False) if sets is None else F.coalesce(F.col(sets), F.lit(False))
-    total, count, was_set, mark = (f"_{x}_{name}" for x in ("s", "n", "set", "epoch"))
-    breaks = F.col(reset).cast("bigint") + is_set.cast("bigint")
-    marked = running(log, metric, [order], {mark: ("sum", breaks)}, width=width, inclusive=False)
-    marked = marked.withColumn(
-        mark, F.coalesce(F.col(mark), F.lit(0)) + is_set.cast("bigint")
+    epochs = work.groupBy("_group", "_block", "_epoch").agg(
+        F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
+        F.count(value).alias("n"),
+        F.max("_set").alias("was_set"),
+        F.sum(breaks).alias("breaks"),
+    )
+    part = F.struct("sum", "n", "was_set")
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("was_set"))
+    own = _mean(F.col("sum"), F.col("n"), F.col("was_set"), bias)
+    blocks = epochs.groupBy("_group", "_block").agg(
+        F.sum("breaks").alias("breaks"),
+        F.coalesce(F.max(F.when(F.col("_epoch") == 0, part)), none).alias("first"),
+        F.max(F.struct(F.col("_epoch").alias("epoch"), part.alias("state"))).alias("last"),
+        F.max(
+            F.when((F.col("_epoch") > 0) & own.isNotNull(), F.struct(F.col("_epoch").alias("epoch"), own.alias("mean")))
+        )["mean"].alias("own_mean"),
     )
-    # Each pass reads its input twice; without a cut three passes would read it
-    # eight times.
-    summed = running(
-        cut_lineage(marked),
-        [*metric, mark],
-        [order],
-        {
-            total: ("sum", F.col(value)),
-            count: ("sum", F.col(value).isNotNull().cast("bigint")),
-            was_set: ("max", is_set),
-        },
-        width=width,
+    in_order = W.partitionBy("_group").orderBy("_block")
+    # What stands open behind a block: its last epoch, unless a reset at its end closed that too.
+    open_state = F.when(F.col("last.epoch") == F.col("breaks"), F.col("last.state")).otherwise(none)
+    numbered = blocks.select(
+        "*",
+        open_state.alias("open"),
+        F.sum((F.col("breaks") > 0).cast("bigint")).over(in_order.rowsBetween(W.unboundedPreceding, 0)).alias("segment"),
     )
-    start = F.when(F.col(was_set), F.lit(0.0)).otherwise(F.lit(bias))
-    here = F.when(F.col(count) >= 1, F.col(total) / (F.col(count) + start))
-    latest = F.when(here.isNotNull(), F.struct(F.col(order).alias("at"), here.alias("mean")))
-    means = cut_lineage(summed.select(*log.columns, latest.alias("_mean")))
-    carried = running(means, metric, [order], {"_latest": ("max", F.col("_mean"))}, width=width)
-    return carried.select(
-        *log.columns, F.coalesce(F.col("_latest.mean"), F.lit(0.0)).alias(name)
+    segment = W.partitionBy("_group", "segment").orderBy("_block").rowsBetween(W.unboundedPreceding, 0)
+    behind = numbered.select(
+        "*",
+        F.struct(
+            F.sum("open.sum").over(segment).alias("sum"),
+            F.sum("open.n").over(segment).alias("n"),
+            F.max("open.was_set").over(segment).alias("was_set"),
+        ).alias("behind"),
+    )
+    entered = behind.withColumn("enter", F.coalesce(F.lag("behind").over(in_order), none))
+    first_mean = _mean(
+        F.col("first.sum") + F.col("enter.sum"), F.col("first.n") + F.col("enter.n"), F.col("enter.was_set"), bias
+    )
+    latest = F.last(F.coalesce("own_mean", first_mean), ignorenulls=True)
+    return entered.select(
+        "_group",
+        "_block",
+        F.struct(
+            "enter.sum",
+            "enter.n",
+            "enter.was_set",
+            latest.over(in_order.rowsBetween(W.unboundedPreceding, -1)).alias("mean"),
+        ).alias("_carry"),
     )

@@ -159,60 +159,69 @@ def exchange_rounds(
     return state
 
 
-def flattened(params: DataFrame) -> DataFrame:
-    """All vectors of an owner in one numbering: (owner, name, flat, value).
+#: Entries of a slice of a flat vector.
+FLAT_SLICE = 1024
+
+
+def _whole(value: Column, width: int) -> Column:
+    """Whole part of a division, exact for all whole numbers."""
+    return F.call_function("div", value, F.lit(width).cast("bigint"))
+
+
+def _slices_of(first: Column, n: Column, width: int) -> Column:
+    """Numbers of the slices that n > 0 entries from ``first`` on lie in."""
+    return F.sequence(_whole(first, width), _whole(first + n - 1, width))
+
+
+def _offsets(sized: DataFrame) -> DataFrame:
+    """``_from``: the entries of an owner before each of its vectors, from their number ``_n``."""
+    total = {"_before": ("sum", F.col("_n"))}
+    placed = running(sized, ["owner"], ["position"], total, inclusive=False)
+    return placed.withColumn("_from", F.coalesce(F.col("_before"), F.lit(0).cast("bigint"))).drop("_before")
+
+
+def flattened(params: DataFrame, width: int = FLAT_SLICE) -> DataFrame:
+    """All vectors of an owner in one numbering: pieces (owner, name, first, values).
 
     ``params(owner, position, name, values)`` with ``position`` the 0-based
-    place of the vector in its owner's parameter order.
+    place of the vector in its owner's parameter order. A vector is cut where a slice of
+    ``width`` entries of the flat numbering ends, so every piece lies in one slice. An empty
+    vector has no piece.
     """
-    placed = running(
-        params.withColumn("_n", F.size("values").cast("bigint")),
-        ["owner"],
-        ["position"],
-        {"_before": ("sum", F.col("_n"))},
-        inclusive=False,
-    )
-    offset = F.coalesce(F.col("_before"), F.lit(0))
-    return placed.select(
-        "owner", "name", offset.alias("_offset"), F.posexplode("values").alias("_i", "value")
-    ).select("owner", "name", (F.col("_offset") + F.col("_i")).alias("flat"), "value")
+    placed = _offsets(params.withColumn("_n", F.size("values").cast("bigint")))
+    start, end = F.col("_from"), F.col("_from") + F.col("_n")
 
+    def piece(number: Column) -> Column:
+        first, last = F.greatest(start, number * width), F.least(end, (number + 1) * width)
+        part = F.slice("values", (first - start + 1).cast("int"), (last - first).cast("int"))
+        return F.struct(first.alias("first"), part.alias("values"))
 
-def split_by_sizes(flat: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Named vectors again, from ``flat(owner, flat, value)`` and ``sizes(owner, position, name, n)``.
+    pieces = F.transform(_slices_of(start, F.col("_n"), width), piece)
+    return placed.where("_n > 0").select("owner", "name", F.inline(pieces))
 
-    Values travel in slices of neighbours, and a vector meets the slices it lies in.
-    A vector of length zero comes back empty.
+
+def split_by_sizes(flat: DataFrame, sizes: DataFrame, width: int = FLAT_SLICE) -> DataFrame:
+    """Named vectors again, from pieces ``flat(owner, first, values)`` and ``sizes(owner, position, name, n)``.
+
+    Pieces that lie in one slice each, as :func:`flattened` cuts them, and leave no gap. They are put
+    together slice by slice, and a vector takes its part of every slice it lies in, so many
+    short vectors in one slice cost no more than a long one. A vector of length zero comes back empty.
     """
-    placed = running(
-        sizes, ["owner"], ["position"], {"_before": ("sum", F.col("n").cast("bigint"))}, inclusive=False
-    ).withColumn("_from", F.coalesce(F.col("_before"), F.lit(0)))
-    places = placed.select(
-        "owner",
-        "position",
-        "name",
-        "_from",
-        "n",
-        # An empty vector asks for a slice that does not exist.
-        F.explode(
-            F.when(
-                F.col("n") > 0,
-                F.sequence(
-                    F.floor(F.col("_from") / SLICE), F.floor((F.col("_from") + F.col("n") - 1) / SLICE)
-                ),
-            ).otherwise(F.array(F.lit(-1).cast("bigint")))
-        ).alias("_slice"),
-    )
-    entry = F.struct("flat", "value")
-    slices = flat.groupBy("owner", F.floor(F.col("flat") / SLICE).alias("_slice")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_entries")
+    placed = _offsets(sizes.withColumn("_n", F.col("n").cast("bigint")))
+    # An empty vector asks for a slice that does not exist.
+    wanted = F.when(F.col("_n") > 0, _slices_of(F.col("_from"), F.col("_n"), width)).otherwise(
+        F.array(F.lit(-1).cast("bigint"))
     )
-    inside = F.filter(
-        F.coalesce("_entries", F.array().cast("array<struct<flat:bigint,value:double>>")),
-        lambda e: (e["flat"] >= F.col("_from")) & (e["flat"] < F.col("_from") + F.col("n")),
+    places = placed.select("owner", "position", "name", "_from", "_n", F.explode(wanted).alias("_slice"))
+    pieces = F.array_sort(F.collect_list(F.struct("first", "values")))
+    slices = flat.groupBy("owner", _whole(F.col("first"), width).alias("_slice")).agg(
+        F.min("first").alias("_first"), F.flatten(pieces["values"]).alias("_values")
     )
+    first = F.greatest("_from", "_first")
+    last = F.least(F.col("_from") + F.col("_n"), F.col("_first") + F.size("_values"))
+    part = F.slice("_values", (first - F.col("_first") + 1).cast("int"), (last - first).cast("int"))
     met = places.join(slices, ["owner", "_slice"], "left").select(
-        "owner", "position", "name", F.struct("_slice", inside["value"].alias("part")).alias("_part")
+        "owner", "position", "name", F.struct("_slice", F.coalesce(part, F.array().cast("array<double>")).alias("part")).alias("_part")
     )
     parts = F.array_sort(F.collect_list("_part"))
     return met.groupBy("owner", "position", "name").agg(F.flatten(parts["part"]).alias("values"))

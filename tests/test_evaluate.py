@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.estimates import pass_at_k
 from gradeloom.operators import joins as J
 from gradeloom.operators import logprobs, reports
+from gradeloom.operators.joins import with_experts
 from gradeloom.plans import evaluate as V
 from gradeloom.plans.spec import TASKS
 
@@ -189,3 +190,20 @@ def test_masked_nll(spark):
     df = spark.createDataFrame([(0, -1.0, True), (0, -2.0, False), (0, -4.0, None), (1, -3.0, False)], "sample_id int, logp double, mask boolean")
     got = sorted(map(tuple, logprobs.masked_nll(df).collect()))
     assert got == [(0, 1.0, 1), (1, 0.0, 0)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 1000])
+def test_experts_by_dictionary_and_by_join(spark, most):
+    """Few labels are looked up where the samples are; the join gives the same."""
+    samples = spark.range(900).selectExpr("id", "if(id % 3 < 2, 'math', if(id % 2 = 0, 'code', null)) as expert_label")
+    experts = spark.createDataFrame([("math",), ("law",), (None,), ("math",)], "expert_label string")
+    found = with_experts(samples, experts, most=most)
+    assert dict(map(tuple, found.groupBy("evaluated").count().collect())) == {True: 600, False: 300}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan or "Exchange" in plan) == (most < 2)
+
+
+def test_no_experts(spark):
+    samples = spark.range(3).selectExpr("id", "'a' as expert_label")
+    none = spark.createDataFrame([], "expert_label string")
+    assert not any(r.evaluated for r in with_experts(samples, none).collect())

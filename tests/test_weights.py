@@ -173,12 +173,29 @@ def test_member_likelihood(spark):
     assert got == {0: -2.0, 1: 0.0}
 
 
-def test_flatten_and_split(spark):
-    rows = [("o", p, f"n{9 - p}", [float(p * 100 + i) for i in range(n)]) for p, n in enumerate([3, 0, 70, 1])]
+@pytest.mark.parametrize("width", [1, 4, 64, 1024])
+def test_flatten_and_split(spark, width):
+    lengths = [3, 0, 70, 1, 1, 1, 1, 0, 9]
+    rows = [
+        (o, p, f"n{9 - p}", [float(p * 100 + i) for i in range(n)]) for o in "op" for p, n in enumerate(lengths)
+    ]
     params = spark.createDataFrame(rows, "owner string, position int, name string, values array<double>")
-    flat = weights.flattened(params)
-    want = [v for *_, values in rows for v in values]
-    assert [r.value for r in flat.orderBy("flat").collect()] == want
+    flat = weights.flattened(params, width)
+    pieces = flat.where("owner = 'o'").orderBy("first").collect()
+    assert [v for r in pieces for v in r["values"]] == [v for o, *_, values in rows if o == "o" for v in values]
+    assert all(r["first"] // width == (r["first"] + len(r["values"]) - 1) // width for r in pieces)
     sizes = params.select("owner", "position", "name", F.size("values").alias("n"))
-    again = {r.name: list(r["values"]) for r in weights.split_by_sizes(flat, sizes).collect()}
-    assert again == {name: v for _, _, name, v in rows}
+    again = weights.split_by_sizes(flat.drop("name"), sizes, width).collect()
+    assert {(r.owner, r.name): list(r["values"]) for r in again} == {(o, name): v for o, _, name, v in rows}
+
+
+def test_no_row_per_entry(spark):
+    """Two long vectors are flattened and split in rows of slices, not of entries."""
+    params = spark.range(2).selectExpr(
+        "'o' as owner", "id as position", "string(id) as name", "transform(sequence(1, 100001), x -> double(x)) as values"
+    )
+    flat = weights.flattened(params)
+    assert flat.count() <= 2 * (100_001 // 1024 + 2)
+    sizes = params.selectExpr("owner", "position", "name", "size(values) as n")
+    again = weights.split_by_sizes(flat, sizes)
+    assert again.selectExpr("sum(values[0])", "sum(values[100000])", "sum(size(values))").first()[:] == (2.0, 200002.0, 200002)
