@@ -24,7 +24,10 @@ from gradeloom.functions.vectors import digest
 from gradeloom.session import cut_lineage
 
 BLOCK_ROWS = 1 << 18
-HASH_DIGITS = 4
+#: Cells of the histogram that :func:`data_blocks` cuts ranges by.
+CELLS = 4096
+#: Hex digits of a digest that fit a whole number.
+MOST_DIGITS = 15
 _FOLD = {"sum": F.sum, "max": F.max}
 
 
@@ -49,9 +52,10 @@ def running(
     ``block`` must grow with the order; by default it is ranges of the first order
     column, ``width`` wide.
 
-    A group has as many blocks as its order range is wide, divided by ``width``.
-    Where that is itself too much for one task (orders with very large gaps),
-    ``levels=2`` carries the totals over blocks of blocks.
+    A group has as many blocks as its order range is wide, divided by ``width``; for orders
+    with gaps :func:`data_blocks` gives ranges by rows instead. Where the blocks are
+    themselves too many for one task, ``levels=2`` carries the totals over blocks of blocks;
+    blocks that are given must be whole numbers then.
 
     The input is read twice, once with few columns for the block totals. Give it a
     stored table, or cut the lineage first, where computing it again is dear; and
@@ -71,7 +75,7 @@ def running(
     totals = work.groupBy(key, blk).agg(
         *[_FOLD[kind](f"_in_{name}").alias(name) for name, (kind, _) in values.items()]
     )
-    if levels > 1 and block is None:
+    if levels > 1:
         numbered = totals.select(
             F.col(key).alias("g"), F.col(blk).alias("b"), F.col(f"{blk}.number").alias("n"),
             *[F.col(name).alias(f"_total_{name}") for name in values],
@@ -175,16 +179,67 @@ def with_sort_position(
     )
 
 
+def data_blocks(df: DataFrame, order: str, width: int = BLOCK_ROWS, cells: int = CELLS) -> Column:
+    """Blocks of a whole-number order by its rows, about ``width`` or fewer each, for dense, sparse and hashed numbers.
+
+    Reads the order column twice at once: its range, then rows, least and greatest number in each of
+    ``cells`` equal parts of it, which are all that comes to the driver. Neighbouring parts with few
+    rows share a block, and full ones are cut evenly between their own least and greatest number, so
+    there are some 4 rows / width + 2 blocks at most, whatever the gaps. Only equal numbers, and crowds
+    inside a part that holds far numbers as well, can make a block larger.
+    """
+    # Quarters, so that the distance of any two 64-bit numbers fits.
+    place = F.shiftright(F.col(order).cast("bigint"), 2)
+    low, high, n = df.agg(F.min(place), F.max(place), F.count(order)).first()
+    if n <= width:
+        return F.lit(0).cast("bigint")
+    span = -(-(high - low + 1) // cells)
+    cell = F.call_function("div", place - F.lit(low), F.lit(span).cast("bigint")).cast("int")
+    found = df.where(F.col(order).isNotNull()).groupBy(cell.alias("c")).agg(F.count(order), F.min(place), F.max(place))
+    counts = {c: rest for c, *rest in found.collect()}
+    firsts, lows, steps, block, held = [], [], [], 0, 0
+    for c in range(cells):
+        rows, least, most = counts.get(c, (0, 0, 0))
+        parts = -(-2 * rows // width)
+        if parts > 1 and held:
+            block, held = block + 1, 0
+        elif held + rows > width:
+            block, held = block + 1, 0
+        firsts.append(block)
+        lows.append(least)
+        steps.append(-(-(most - least + 1) // max(parts, 1)))
+        if parts > 1:
+            block += parts
+        else:
+            held += rows
+
+    def of_cell(values: list[int]) -> Column:
+        return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), cell)
+
+    return of_cell(firsts) + F.call_function("div", place - of_cell(lows), of_cell(steps))
+
+
 def with_hash_position(
-    df: DataFrame, key: str, seed: int | str, name: str = "ordinal", group: Sequence[str] = ()
+    df: DataFrame,
+    key: str,
+    seed: int | str,
+    name: str = "ordinal",
+    group: Sequence[str] = (),
+    rows: int | None = None,
+    width: int = BLOCK_ROWS,
 ) -> DataFrame:
     """0-based position in a seeded shuffle: order by digest of seed and unique key.
 
-    Digests are uniform, so their leading digits cut the order into even blocks.
+    Digests are uniform, so their leading digits cut the order into even blocks: as many
+    digits as keep a block of all rows below ``width``. ``df`` is counted for that unless ``rows``
+    says how many there are. Blocks that are themselves many are carried in two levels.
     """
+    rows = df.count() if rows is None else rows
+    digits = next(d for d in range(MOST_DIGITS + 1) if d == MOST_DIGITS or 2 * rows <= width * 16**d)
     shuffled = df.withColumn("_digest", digest(seed, F.col(key)))
-    lead = F.conv(F.substring("_digest", 1, HASH_DIGITS), 16, 10).cast("bigint")
-    return with_position(shuffled, ["_digest", key], group, name, lead).drop("_digest")
+    lead = F.conv(F.substring("_digest", 1, digits), 16, 10).cast("bigint") if digits else F.lit(0).cast("bigint")
+    levels = 1 if 16**digits <= BLOCK_ROWS else 2
+    return with_position(shuffled, ["_digest", key], group, name, lead, width, levels).drop("_digest")
 
 
 def first_k_per_group(

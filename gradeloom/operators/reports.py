@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.estimates import pass_at_k as pass_estimate
 from gradeloom.functions.vectors import vector_mean, vector_norm
-from gradeloom.operators.positions import chunk_of, with_position
+from gradeloom.operators.positions import chunk_of, data_blocks, with_position
 
 
 def accuracy(correct: Column) -> Column:
@@ -101,8 +101,11 @@ def pass_at_k_report(
 def numbered_attempts(
     completions: DataFrame, task: str, ordinal: str, name: str = "completion_id"
 ) -> DataFrame:
-    """Arrival number of each completion within its task, from 0."""
-    return with_position(completions, [ordinal], [task], name)
+    """Arrival number of each completion within its task, from 0.
+
+    Ordinals may be dense or have any gaps: their ranges are cut by the rows in them, which reads the column at once.
+    """
+    return with_position(completions, [ordinal], [task], name, data_blocks(completions, ordinal))
 
 
 def verdict_lists(verdicts: DataFrame, task: str = "task_id") -> DataFrame:

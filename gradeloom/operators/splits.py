@@ -77,10 +77,11 @@ def equal_shards(
     df: DataFrame, key: str, seed: int | str, n_parts: int = 11, n_keep: int = 10
 ) -> DataFrame:
     """Shards of size ``total // n_parts`` after a seeded shuffle; the first ``n_keep`` stay."""
-    size = df.count() // n_parts
+    rows = df.count()
+    size = rows // n_parts
     if size == 0:
         raise ValueError(f"fewer rows than the {n_parts} parts asked for")
-    placed = with_hash_position(df, key, seed, "_place")
+    placed = with_hash_position(df, key, seed, "_place", rows=rows)
     shard = F.floor(F.col("_place") / size).cast("int")
     return placed.withColumn("shard", shard).where(F.col("shard") < n_keep).drop("_place")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import positions as P
-from gradeloom.operators import runs
+from gradeloom.operators import reports, runs
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,65 @@ def test_hash_position_is_a_permutation_and_ignores_partitions(spark):
     assert other != one
 
 
+@pytest.mark.parametrize("width", [1, 40, 3000])
+def test_hash_blocks_follow_the_rows(spark, width, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_ROWS", 64)
+    seen, original = [], P.running
+
+    def watched(df, group, order, values, block, *rest, **more):
+        if "_digest" in df.columns:
+            seen.extend(r["count"] for r in df.groupBy(block.alias("b")).count().collect())
+        return original(df, group, order, values, block, *rest, **more)
+
+    want = {r.id: r.ordinal for r in P.with_hash_position(spark.range(1500), "id", 3).collect()}
+    monkeypatch.setattr(P, "running", watched)
+    got = {r.id: r.ordinal for r in P.with_hash_position(spark.range(1500), "id", 3, width=width).collect()}
+    assert got == want and sum(seen) == 1500
+    assert max(seen) <= max(2 * width, 4)
+
+
+ORDERS = {
+    "dense": "id",
+    "hashed": "xxhash64(id)",
+    "far": "if(id % 2 = 0, id - 9223372036854775807, 9223372036854775807 - id)",
+    "crowded": "if(id < 10, id * 100000000000, 500000000000 + id)",
+    "equal": "7",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(ORDERS))
+def test_blocks_from_data(spark, kind):
+    df = spark.range(20_000).selectExpr(f"{ORDERS[kind]} as o")
+    blocks = df.select("o", P.data_blocks(df, "o", width=500).alias("b")).groupBy("b").agg(
+        F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")
+    ).orderBy("b").collect()
+    assert all(a.high < b.low for a, b in zip(blocks, blocks[1:]))
+    if kind in ("dense", "hashed"):
+        assert len(blocks) <= 4 * 20_000 / 500 + 2
+    if kind in ("dense", "hashed", "far"):
+        assert max(r.n for r in blocks) <= 1000
+
+
+def test_a_million_hashed_orders(spark):
+    """Sparse orders give few blocks, and none with many rows."""
+    df = spark.range(1_000_000).selectExpr("xxhash64(id) as o")
+    width = 1 << 14
+    counts = df.groupBy(P.data_blocks(df, "o", width).alias("b")).count().collect()
+    assert len(counts) <= 4 * 1_000_000 / width + 2 and max(r["count"] for r in counts) <= 2 * width
+
+
+def test_attempts_with_sparse_ordinals(spark, monkeypatch):
+    monkeypatch.setattr(reports, "data_blocks", lambda df, order: P.data_blocks(df, order, width=16, cells=8))
+    rows = [("hot" if i % 3 else f"t{i % 7}", (i * 7919 % 1009) ** 5 - 10**9) for i in range(800)] + [("t0", None)]
+    df = spark.createDataFrame(rows, "task string, o bigint")
+    got = {(r.task, r.o): r.completion_id for r in reports.numbered_attempts(df, "task", "o").collect()}
+    want = {}
+    for task in {t for t, _ in rows}:
+        mine = sorted((o for t, o in rows if t == task), key=lambda o: (o is not None, o or 0))
+        want |= {(task, o): i for i, o in enumerate(mine)}
+    assert got == want
+
+
 @pytest.mark.parametrize("salts", [1, 8])
 def test_first_k_per_group(skewed, salts):
     rows, df = skewed
