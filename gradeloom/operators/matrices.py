@@ -2,12 +2,17 @@
 
 A matrix is ``(name, row, values)``. Tall ones are cut into blocks of rows; each
 block is reduced to its triangular factor and the factors are merged in a tree
-(tall-skinny QR), so no task holds more than a few blocks of one matrix.
+(tall-skinny QR), so no task holds more than a few blocks of one matrix. Matrices with more
+columns than rows are decomposed as their transposes, so that factors have the shorter side.
+Left factors are the rows times V over s, which loses orthogonality as singular values
+get small; where they do, a second QR of these, of the same kind, restores it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,8 +25,13 @@ from gradeloom.session import cut_lineage
 
 BLOCK = 4096
 FAN_IN = 8
+MERGE_NUMBERS = 1 << 26  # entries of the triangles that one task merges; two of them at least
+RANK = 1e-14  # singular values below this share of the largest are zero
+CONDITION = 1e4  # below it A V / s is orthogonal to some 1e-12, and no second QR is run
+TURNED_COLUMNS = 64  # columns that one task turns into rows
 BLOCK_GROUP = 64  # row blocks that one task copies a matrix's factors for
 PARTS = "name string, part string, row bigint, values array<double>"
+BLOCK_ROWS_SCHEMA = "name string, block bigint, row bigint, values array<double>"
 
 
 def _stack(rows: pd.DataFrame) -> np.ndarray:
@@ -58,35 +68,73 @@ def _right_factors(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([_rows(name, "S", s.reshape(1, -1)), _rows(name, "V", vt.T)])
 
 
-def _left_factor(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
+def _left_rows(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
+    """Rows of A V / s; zero beyond the rank."""
     if rows.empty or factors.empty:
-        return _rows("", "U", np.empty((0, 0)))
+        return pd.DataFrame(columns=["name", "block", "row", "values"])
     s = factors.loc[factors["part"] == "S", "values"].iat[0]
     v = _stack(factors[factors["part"] == "V"].sort_values("row"))
     rows = rows.sort_values("row")
-    scale = np.divide(1.0, s, out=np.zeros_like(s), where=s > s.max(initial=0.0) * 1e-14)
+    scale = np.divide(1.0, s, out=np.zeros_like(s), where=s > s.max(initial=0.0) * RANK)
     return pd.DataFrame(
         {
             "name": rows["name"].to_numpy(),
-            "part": "U",
+            "block": rows["block"].to_numpy(),
             "row": rows["row"].to_numpy(),
             "values": list(_stack(rows) @ v * scale),
         }
     )
 
 
+def _orthogonal_rows(rows: pd.DataFrame, triangle: pd.DataFrame) -> pd.DataFrame:
+    """The rows times the inverse of their triangular factor, whose diagonal is made positive."""
+    if rows.empty or triangle.empty:
+        return pd.DataFrame(columns=["name", "row", "values"])
+    left, factor = _stack(rows), _stack(triangle.sort_values("row"))
+    diagonal = np.diagonal(factor)
+    rank = int(np.count_nonzero(diagonal))
+    signed = factor[:rank, :rank] * np.sign(diagonal[:rank])[:, None]
+    left[:, :rank] = np.linalg.solve(signed.T, left[:, :rank].T).T
+    return pd.DataFrame({"name": rows["name"].to_numpy(), "row": rows["row"].to_numpy(), "values": list(left)})
+
+
+def _turned(group: pd.DataFrame) -> pd.DataFrame:
+    """A few columns of a matrix as rows of its transpose."""
+    columns = _stack(group.sort_values("row")).T
+    first = int(group["part"].iat[0]) * TURNED_COLUMNS
+    return pd.DataFrame(
+        {
+            "name": group["name"].iat[0],
+            "row": np.arange(first, first + len(columns), dtype="int64"),
+            "values": list(columns),
+        }
+    )
+
+
 @dataclass(frozen=True)
 class Factors:
     """Parts of decomposed matrices; each is computed only where it is used.
 
     ``left(name, row, values)``, ``singular(name, values)``, ``right(name, row, values)``;
-    ``places(name, row)`` are the rows of the matrices.
+    ``places(name, row)`` are the rows of the matrices. The first use of a side that the second
+    QR makes runs it.
     """
 
     places: DataFrame
-    left: DataFrame
     singular: DataFrame
-    right: DataFrame
+    sides: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _sides(self) -> tuple[DataFrame, DataFrame]:
+        return self.sides()
+
+    @property
+    def left(self) -> DataFrame:
+        return self._sides[0]
+
+    @property
+    def right(self) -> DataFrame:
+        return self._sides[1]
 
 
 def _per_block(rows: DataFrame, factors: DataFrame, blocks: int) -> DataFrame:
@@ -109,41 +157,86 @@ def _blocks(rows: DataFrame) -> int:
     return (rows.agg(F.max("block")).first()[0] or 0) + 1
 
 
-def decompose(matrices: DataFrame, block_rows: int = BLOCK) -> Factors:
-    """Left and right factors and singular values of every matrix.
+def _merged_triangles(factors: DataFrame, blocks: int, columns: int) -> DataFrame:
+    """One triangular factor per matrix, from those of its blocks (name, block, row, values).
 
-    Columns beyond the rank carry a zero singular value. Signs are arbitrary, as always.
+    Wide triangles are merged two by two, narrow ones by up to ``FAN_IN``.
     """
-    rows = cut_lineage(
-        matrices.select("name", "row", F.col("values").cast("array<double>").alias("values"))
-        .withColumn("block", chunk_of(F.col("row"), block_rows))
-    )
-    total = blocks = _blocks(rows)
-    schema = "name string, block bigint, row bigint, values array<double>"
-    factors = (
-        rows.withColumn("merged", F.col("block"))
-        .groupBy("name", "merged")
-        .applyInPandas(_triangle, schema)
-    )
+    fan_in = max(2, min(FAN_IN, MERGE_NUMBERS // max(1, columns * columns)))
     while blocks > 1:
         factors = (
-            factors.withColumn("merged", chunk_of(F.col("block"), FAN_IN))
+            factors.withColumn("merged", chunk_of(F.col("block"), fan_in))
             .groupBy("name", "merged")
-            .applyInPandas(_triangle, schema)
+            .applyInPandas(_triangle, BLOCK_ROWS_SCHEMA)
         )
-        blocks = -(-blocks // FAN_IN)
-    right = cut_lineage(factors.groupBy("name").applyInPandas(_right_factors, PARTS))
-    left = (
-        rows.groupBy("name", "block")
-        .cogroup(_per_block(rows, right, total).groupBy("name", "block"))
-        .applyInPandas(_left_factor, PARTS)
-    )
-    return Factors(
-        rows.select("name", "row"),
-        left.select("name", "row", "values"),
-        right.where("part = 'S'").select("name", "values"),
-        right.where("part = 'V'").select("name", "row", "values"),
-    )
+        blocks = -(-blocks // fan_in)
+    return factors
+
+
+def _block_triangles(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("merged", F.col("block")).groupBy("name", "merged").applyInPandas(_triangle, BLOCK_ROWS_SCHEMA)
+
+
+def _transposed(rows: DataFrame) -> DataFrame:
+    """Transposes of matrices stored row by row; a task holds ``TURNED_COLUMNS`` columns of one."""
+    width = TURNED_COLUMNS
+    starts = upto(F.ceil(F.size("values") / width))
+    parts = F.transform(starts, lambda p: F.slice("values", p * width + 1, F.lit(width)))
+    sliced = rows.select("name", "row", F.posexplode(parts).alias("part", "values"))
+    return sliced.groupBy("name", "part").applyInPandas(_turned, "name string, row bigint, values array<double>")
+
+
+def decompose(matrices: DataFrame, block_rows: int = BLOCK) -> Factors:
+    """Left and right factors and singular values of every matrix.
+
+    Columns beyond the rank carry a zero singular value. Signs are arbitrary, as always.
+    """
+    given = matrices.select("name", "row", F.col("values").cast("array<double>").alias("values"))
+    shapes = given.groupBy("name").agg((F.max("row") + 1).alias("rows"), F.max(F.size("values")).alias("columns"))
+    height, columns, turned = shapes.agg(
+        F.max(F.greatest("rows", "columns")), F.max(F.least("rows", "columns")), F.count_if(F.col("columns") > F.col("rows"))
+    ).first()
+    blocks = max(1, -(-(height or 0) // block_rows))
+    wide = shapes.where(F.col("columns") > F.col("rows")).select("name")
+    upright = given
+    if turned:
+        upright = given.join(wide, "name", "left_anti").unionByName(_transposed(given.join(wide, "name", "left_semi")))
+    rows = cut_lineage(upright.withColumn("block", chunk_of(F.col("row"), block_rows)))
+    triangles = _merged_triangles(_block_triangles(rows), blocks, columns or 0)
+    factors = cut_lineage(triangles.groupBy("name").applyInPandas(_right_factors, PARTS))
+
+    singular = factors.where("part = 'S'").select("name", "values")
+
+    def sides() -> tuple[DataFrame, DataFrame]:
+        raw = (
+            rows.groupBy("name", "block")
+            .cogroup(_per_block(rows, factors, blocks).groupBy("name", "block"))
+            .applyInPandas(_left_rows, BLOCK_ROWS_SCHEMA)
+        )
+        left = raw.select("name", "row", "values")
+        most = F.array_max("values")
+        small = F.exists("values", lambda s: (s > most * RANK) & (s * CONDITION < most))
+        if not singular.where(small).isEmpty():
+            # Stored, because the triangle is that of these very numbers.
+            raw = cut_lineage(raw)
+            triangle = _merged_triangles(_block_triangles(raw), blocks, columns).select(
+                "name", F.lit("R").alias("part"), "row", "values"
+            )
+            left = (
+                raw.groupBy("name", "block")
+                .cogroup(_per_block(raw, triangle, blocks).groupBy("name", "block"))
+                .applyInPandas(_orthogonal_rows, "name string, row bigint, values array<double>")
+            )
+        right = factors.where("part = 'V'").select("name", "row", "values")
+        if not turned:
+            return left, right
+
+        def chosen(own: DataFrame, other: DataFrame) -> DataFrame:
+            return own.join(wide, "name", "left_anti").unionByName(other.join(wide, "name", "left_semi"))
+
+        return chosen(left, right), chosen(right, left)
+
+    return Factors(given.select("name", "row"), singular, sides)
 
 
 def _compose_rows(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:

@@ -116,6 +116,58 @@ def test_decomposition(matrix_rows, block):
     assert max(np.abs(np.array(r["values"]) - mats[r.name][r.row]).max() for r in again) < 1e-9
 
 
+def _stored(spark, mats):
+    rows = [(name, i, [float(v) for v in row]) for name, m in mats.items() for i, row in enumerate(m)]
+    return spark.createDataFrame(rows, "name string, row bigint, values array<double>").repartition(5)
+
+
+def _whole(df):
+    found = {}
+    for r in sorted(df.collect(), key=lambda r: r.row):
+        found.setdefault(r.name, []).append(list(r["values"]))
+    return {name: np.array(rows) for name, rows in found.items()}
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_factors_are_orthogonal(spark, block):
+    """Ill-conditioned, wide and deficient matrices: both sides orthogonal, the product exact."""
+    rng = np.random.default_rng(3)
+
+    def made(m, n, s):
+        u, v = (np.linalg.qr(rng.normal(size=(k, len(s))))[0] for k in (m, n))
+        return (u * s) @ v.T
+
+    mats = {
+        "ill": made(120, 12, np.logspace(0, -10, 12)),
+        "wide": made(9, 200, np.logspace(0, -10, 9)),
+        "square": made(30, 30, np.logspace(3, -7, 30)),
+        "low": made(60, 8, np.array([3.0, 2.0, 1e-3])),
+        "row": rng.normal(size=(1, 70)),
+        "none": np.zeros((5, 3)),
+    }
+    parts = matrices.decompose(_stored(spark, mats), block)
+    left, right = _whole(parts.left), _whole(parts.right)
+    singular = {r.name: np.array(r["values"]) for r in parts.singular.collect()}
+    assert {name: len(s) for name, s in singular.items()} == {name: min(m.shape) for name, m in mats.items()}
+    for name, m in mats.items():
+        u, s, v = left[name], singular[name], right[name]
+        assert u.shape == (m.shape[0], len(s)) and v.shape == (m.shape[1], len(s))
+        rank = int((s > s.max() * 1e-13).sum())
+        for side in (u, v):
+            assert np.abs(side[:, :rank].T @ side[:, :rank] - np.eye(rank)).max(initial=0) < 1e-10
+        assert np.abs((u * s) @ v.T - m).max() <= 1e-13 * max(1.0, s.max()) * 10
+    again = _whole(matrices.reconstruct(parts, block).where("name <> 'none'"))
+    for name in ("ill", "wide", "row"):
+        assert np.abs(again[name] - mats[name]).max() < 1e-11
+
+
+def test_wide_triangles_merge_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matrices, "MERGE_NUMBERS", 10)
+    m = np.random.default_rng(4).normal(size=(300, 6))
+    singular = matrices.decompose(_stored(spark, {"m": m}), 10).singular.first()["values"]
+    assert singular == pytest.approx(np.linalg.svd(m, compute_uv=False).tolist())
+
+
 def test_compose(matrix_rows, spark):
     mats, df = matrix_rows
     parts = matrices.decompose(df, 64)
