@@ -7,17 +7,19 @@ cuts next to them only, so the same passage gets the same chunks in every docume
 chunk that occurs more than once in the corpus stays where it occurs first, by
 ``doc_id`` and place, and is removed everywhere else once its bytes were compared.
 
-Passages of words are found apart from lines: windows of ``WINDOW`` words start at words that
-their neighbours choose (a larger hash than two words on either side), at starts of lines and
-so that they end at ends of lines and of the text. Words in a window that stands earlier in the
+Passages of words are found apart from lines, by winnowing: of every ``SPAN`` neighbouring windows of
+``WINDOW`` words the one with the least hash is kept, so every passage of ``WINDOW + SPAN - 1`` (50) words
+has a window that all its copies keep as well. Windows at the starts and ends of texts and lines are kept
+too, so a passage of whole lines goes from end to end. Words in a window that stands earlier in the
 corpus, or in the same text and not across itself, are removed; windows are compared by 64 and
 256 bits of digests of their words. So a repeated passage of one long line goes as well as one
-of many lines. What stays of it: the words before its first window and behind its last one (a few, none
-where it begins or ends with a line), and passages without a whole window inside. ``op9_line_dedup``
+of many lines. What stays of it: the words before its first window and behind its last one (fewer than
+``SPAN`` each), and passages without a whole window inside. ``op9_line_dedup``
 leaves passages alone, because its SQL knows chunks only; the pipeline removes them.
 
 Only hashes of chunks and windows are counted over the corpus, with partial sums before the shuffle;
-texts travel by document, and bytes of chunks only where their hash repeats.
+texts travel by document, where passages are removed those only that a map of bits marks as holding
+something repeated, and bytes of chunks only where their hash repeats.
 
 A null text stays null, an empty one has one empty line and loses nothing. Chunks with
 fewer than two lines that hold a word are never removed as chunks, so short single lines and blank runs stay.
@@ -38,6 +40,12 @@ STEP, MODULUS = 1_000_003, 4_294_967_291
 LEAST_LINES = 2
 #: Words of a window.
 WINDOW = 25
+#: Neighbouring windows of which one is kept at least, and the words that a window is chosen by.
+SPAN, GRAM = 26, 3
+#: Bits of a word's place in a text.
+PLACE_BITS = 30
+#: Bits of the map of texts that hold something repeated, 16 MB, and of one of its rows.
+FLAGS, FLAGS_ROW = 1 << 27, 1 << 15
 #: Windows are numbered by their first word from here on, chunks from 0.
 WINDOWS = 1 << 30
 SPACES = " \t\n\v\f\r"
@@ -103,34 +111,49 @@ def window_at(words: Column, start: Column) -> Column:
     return F.array_join(F.slice(words, start + 1, WINDOW), " ")
 
 
+def winnowed(hashes: Column) -> Column:
+    """Starts of the windows that are least among ``SPAN`` neighbours, by the hash of their first words.
+
+    Hash and place share one number, so the least one names its place, the first one of equal hashes.
+    """
+
+    def least(grams: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.greatest(F.size(grams) - SPAN, F.lit(0)))
+        places = (1 << PLACE_BITS) - 1
+        return F.array_distinct(
+            F.transform(groups, lambda j: F.array_min(F.slice(grams, j + 1, SPAN)).bitwiseAND(F.lit(places)).cast("int"))
+        )
+
+    def gram(i: Column) -> Column:
+        mixed = F.xxhash64(*[F.get(hashes, i + k) for k in range(GRAM)])
+        return F.shiftleft(F.shiftright(mixed, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
+
+    return let(least, F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), gram))
+
+
 def windows_of(tokens: Column) -> Column:
     """The windows of a text: an array of (_i, _h)."""
 
-    def starts(tokens: Column, hashes: Column) -> Column:
+    def ends(tokens: Column) -> Column:
+        """Starts of windows that begin or end with a text or line."""
         last = F.size(tokens) - WINDOW
 
+        def broken(token: Column) -> Column:
+            return F.contains(token, F.lit("\n"))
+
         def chosen(i: Column) -> Column:
-            own = F.get(hashes, i)
-            return (
-                (i == 0)
-                | (i == last)
-                | F.contains(F.get(tokens, i - 1), F.lit("\n"))
-                | F.contains(F.get(tokens, i + WINDOW - 1), F.lit("\n"))
-                | (
-                    (own > F.greatest(F.get(hashes, i - 1), F.get(hashes, i - 2)))
-                    & (own >= F.greatest(F.get(hashes, i + 1), F.get(hashes, i + 2)))
-                )
-            )
+            at_end = broken(F.get(tokens, i - 1)) | broken(F.get(tokens, i + WINDOW - 1))
+            return (i == 0) | (i == last) | at_end
 
-        return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), chosen)).otherwise(
-            F.array().cast("array<int>")
-        )
+        return F.filter(F.sequence(F.lit(0), last), chosen)
 
     def hashed(tokens: Column, words: Column) -> Column:
-        return F.transform(
-            let(starts, tokens, F.transform(words, lambda w: F.xxhash64(w))),
-            lambda i: F.struct((i + WINDOWS).alias("_i"), F.xxhash64(window_at(words, i)).alias("_h")),
+        starts = F.array_union(let(winnowed, F.transform(words, lambda w: F.xxhash64(w))), ends(tokens))
+        found = F.transform(
+            starts, lambda i: F.struct((i + WINDOWS).alias("_i"), F.xxhash64(window_at(words, i)).alias("_h"))
         )
+        none = F.array().cast("array<struct<_i:int,_h:bigint>>")
+        return F.when(F.size(tokens) >= WINDOW, found).otherwise(none)
 
     return let(hashed, tokens, words_of(tokens))
 
@@ -139,8 +162,37 @@ def words_of(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.rtrim(t, F.lit(SPACES)))
 
 
-def repeated_chunks(keyed: DataFrame, passages: bool) -> DataFrame:
-    """(_id, _key, removed): the numbers of the chunks and windows that each text loses."""
+def flag_place() -> Column:
+    return F.pmod(F.xxhash64("_id", "_key"), F.lit(FLAGS))
+
+
+def flags_of(texts: DataFrame) -> DataFrame:
+    """A map of bits of fixed size in which the texts (_id, _key) are marked: (_part, _bits)."""
+    return texts.select(
+        F.call_function("div", flag_place(), F.lit(FLAGS_ROW)).alias("_part"), (flag_place() % FLAGS_ROW).alias("bit")
+    ).groupBy("_part").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+
+
+def with_flag(keyed: DataFrame, flags: DataFrame) -> DataFrame:
+    """Add ``_flag``: whether a text is marked, or shares its bit with one that is.
+
+    Only marked texts have to travel; what the map says of the others is certain, and its
+    size is fixed, so it is broadcast.
+    """
+    bit = flag_place() % FLAGS_ROW
+    byte = F.substring(F.col("_bits"), F.call_function("div", bit, F.lit(8)).cast("int") + 1, F.lit(1))
+    marked = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) % 2 == 1
+    placed = keyed.withColumn("_part", F.call_function("div", flag_place(), F.lit(FLAGS_ROW)))
+    return placed.join(F.broadcast(flags), "_part", "left").select(
+        *keyed.columns, F.coalesce(marked, F.lit(False)).alias("_flag")
+    )
+
+
+def repeated_chunks(keyed: DataFrame, passages: bool) -> tuple[DataFrame, DataFrame]:
+    """(_id, _key, _removed): the numbers of the chunks and windows that each text loses.
+
+    Also ``keyed`` with ``_flag``, false for texts that lose nothing for certain.
+    """
 
     def hashes(lines: Column, chunks: Column) -> Column:
         """(_i, _h) for each chunk; the hash is null where too few lines hold a word."""
@@ -154,8 +206,8 @@ def repeated_chunks(keyed: DataFrame, passages: bool) -> DataFrame:
 
     def shown_bytes(found: Column, lines: Column, chunks: Column, words: Column) -> Column:
         def shown(f: Column) -> Column:
-            window = F.sha2(window_at(words, f["_i"] - WINDOWS), 256)
-            own = F.when(f["_i"] < WINDOWS, bytes_of(lines, F.get(chunks, f["_i"]))).otherwise(window)
+            window = F.unhex(F.sha2(window_at(words, f["_i"] - WINDOWS), 256))
+            own = F.when(f["_i"] < WINDOWS, bytes_of(lines, F.get(chunks, f["_i"])).cast("binary")).otherwise(window)
             return F.struct(f["_h"].alias("h"), own.alias("bytes"))
 
         return F.transform(found, shown)
@@ -173,9 +225,10 @@ def repeated_chunks(keyed: DataFrame, passages: bool) -> DataFrame:
     found = hashed.join(often, "_h")
     # The bytes behind the repeated hashes, each text's once.
     listed = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("_i", "_h")).alias("_found"))
+    keyed = with_flag(keyed, flags_of(listed.select("_id", "_key"))) if passages else keyed.withColumn("_flag", F.lit(True))
     words = words_of(tokens_of(F.col("_text"))) if passages else F.array().cast("array<string>")
     shown = (
-        with_chunks(joined(keyed.select("_id", "_key", "_text"), listed, "inner"), "_text")
+        with_chunks(joined(keyed.where("_flag").select("_id", "_key", "_text"), listed, "inner"), "_text")
         .select(F.explode(let(shown_bytes, F.col("_found"), F.col("_lines"), F.col("_chunks"), words)).alias("c"))
         .groupBy("c.h", "c.bytes")
         .agg(F.lit(1).alias("one"))
@@ -186,12 +239,8 @@ def repeated_chunks(keyed: DataFrame, passages: bool) -> DataFrame:
         F.col("_i") - first["_i"] < WINDOW
     )
     stays = F.when(F.col("_i") < WINDOWS, first.eqNullSafe(place)).otherwise(across)
-    return (
-        found.join(same, "_h")
-        .where(~stays)
-        .groupBy("_id", "_key")
-        .agg(F.collect_list("_i").alias("_removed"))
-    )
+    lost = found.join(same, "_h").where(~stays).groupBy("_id", "_key").agg(F.collect_list("_i").alias("_removed"))
+    return lost, keyed
 
 
 def without_windows(starts: Column, chunks_gone: Column, tokens: Column) -> Column:
@@ -233,7 +282,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", pass
         docs[text].alias("_text"),
         F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_key"),
     )
-    lost = repeated_chunks(keyed, passages)
+    lost, keyed = repeated_chunks(keyed, passages)
 
     def rest(removed: Column, lines: Column, chunks: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), removed)
@@ -274,8 +323,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", pass
         return F.when(F.exists(removed, lambda i: i >= WINDOWS), words).otherwise(plain)
 
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
+    met = joined(keyed.where("_flag").drop("_flag"), lost, "left")
+    if passages:
+        # The others stay where they are.
+        others = keyed.where("not _flag").drop("_flag")
+        met = met.unionByName(others.withColumn("_removed", F.lit(None).cast("array<int>")))
     return (
-        with_chunks(joined(keyed, lost, "left"), "_text")
+        with_chunks(met, "_text")
         .select(
             "_row",
             "_text",
