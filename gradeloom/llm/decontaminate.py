@@ -108,12 +108,12 @@ HITS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<beg
 
 
 def benchmark_parts(items: DataFrame, most_bytes: int = MOST_BYTES) -> list[list[tuple[str, str]]]:
-    """(item_id, text) in parts of bounded size; the benchmark is the one table that is brought together.
+    """(item_id, text) in parts of bounded size, a null id as the empty one; the benchmark is the one table that is brought together.
 
     Rows arrive one partition at a time.
     """
     parts, size = [[]], 0
-    for row in items.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).toLocalIterator():
+    for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).toLocalIterator():
         if size and size + len(row[1]) > most_bytes:
             parts.append([])
             size = 0

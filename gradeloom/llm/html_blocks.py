@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import beside, hashed_sample, query, table
+from gradeloom.llm.registry import beside, hashed_sample, query, shared_value, table
 
 TRAINING_PAGES = 240
 LESSONS = 8  # changed copies of each page
@@ -475,7 +475,7 @@ def train(pages: DataFrame, most: int = TRAINING_PAGES) -> Lstm:
 
 def extract(pages: DataFrame, net: Lstm) -> DataFrame:
     """Add ``text``, the main text, to ``pages``; only ``html`` is read."""
-    shared = pages.sparkSession.sparkContext.broadcast(net)
+    shared = shared_value(pages.sparkSession, net)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, float]] = {}
@@ -484,7 +484,7 @@ def extract(pages: DataFrame, net: Lstm) -> DataFrame:
             values = column.tolist()
             for i in range(0, len(values), 500):
                 read = [blocks_of(v) for v in values[i : i + 500]]
-                labels = shared.value.label([vectors(b, known) for b in read])
+                labels = shared().label([vectors(b, known) for b in read])
                 texts += ["\n".join(b.text for b, kept in zip(bs, ls) if kept) for bs, ls in zip(read, labels)]
             yield pd.Series(texts, dtype=object)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import beside, query, table
+from gradeloom.llm.registry import beside, query, shared_value, table
 from gradeloom.llm.token_ids import batches_of
 
 DOCS_PER_LANGUAGE = 600
@@ -200,13 +200,13 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
         return beside(docs, unknown, fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in columns:
             texts, names, scores = column.tolist(), [], []
             for a, b in batches_of(texts):
-                some, values = shared.value.predict(texts[a:b])
+                some, values = shared().predict(texts[a:b])
                 names += some
                 scores.append(values)
             score = np.concatenate(scores) if scores else np.zeros(0)

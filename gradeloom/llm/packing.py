@@ -7,7 +7,7 @@ piece and emitted, and the rest of the piece looks for a place again. Windows st
 open at the end of a partition are merged over a few partitions each.
 
 Nothing but those last windows moves between tasks. Nulls in the text are empty
-documents (one end id); equal ids, repeated rows and empty tables need no special
+documents (one end id), a null id stays null; equal ids, repeated rows and empty tables need no special
 care: each row is packed by itself. Other columns of the input are not read.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import query, table
+from gradeloom.llm.registry import query, table, with_null_ids, without_null_ids
 from gradeloom.llm.token_ids import batches_of, default_tokenizer, encoder
 from gradeloom.session import new_folder
 
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, op
         return _frame(out)
 
     folder = new_folder(docs.sparkSession, "packing")
-    docs.select("doc_id", "text").mapInPandas(fill, PIECES).write.parquet(folder)
+    without_null_ids(docs.select("doc_id", "text")).mapInPandas(fill, PIECES).write.parquet(folder)
     # Written once: both branches read it, and the texts are encoded a single time.
     written = docs.sparkSession.read.schema(PIECES).parquet(folder)
     merged = (
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, op
         .groupBy(F.floor(F.shiftright("sequence_id", 32) / MERGED_PARTITIONS).alias("batch"))
         .applyInPandas(merge, PIECES)
     )
-    return written.where(F.col("ids").isNull()).unionByName(merged).drop("ids")
+    return with_null_ids(written.where(F.col("ids").isNull()).unionByName(merged).drop("ids"))
 
 
 @query("op8_packing")

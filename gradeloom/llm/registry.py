@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,24 @@ def once_per_worker(key: object, make: Callable[[], object]) -> object:
     if key not in store.__dict__:
         store.__dict__[key] = make()
     return store.__dict__[key]
+
+
+def shared_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """``value`` for the Python workers, sent once to each and made once in each.
+
+    It travels with its class, as functions do, so workers need not have this package.
+    """
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: once_per_worker(("shared", key), lambda: pickle.loads(sent.value))
+
+
+#: Stands for a null id where ids go through pandas, which would make doubles of all of them.
+NO_ID = -(1 << 63)
+
+
+def without_null_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    return docs.withColumn(key, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+
+
+def with_null_ids(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    return df.withColumn(key, F.when(F.col(key) != NO_ID, F.col(key)))

@@ -11,7 +11,7 @@ occurs often enough a new symbol, and replaces its occurrences, more frequent pa
 first where two overlap. Rounds end when one shortens the shard by less than a
 hundredth. A pair never reaches over the end of a document.
 
-Null texts are empty documents (the end id alone). Rows with equal ``doc_id`` are kept
+Null texts are empty documents (the end id alone); null ids stand first, as the least number. Rows with equal ``doc_id`` are kept
 and stand in the order of their texts. An empty table gives an empty file.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.packing import END_ID, crc_of, encoded
-from gradeloom.llm.registry import query, table
-from gradeloom.llm.token_ids import default_tokenizer
+from gradeloom.llm.registry import query, table, with_null_ids, without_null_ids
+from gradeloom.llm.token_ids import default_tokenizer, encoder
 from gradeloom.session import new_folder
 
 SHARD_TOKENS = 1 << 18  # a shard is closed once it has as many
@@ -192,7 +192,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
             yield close()
 
     (
-        docs.select("doc_id", "text")
+        without_null_ids(docs.select("doc_id", "text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInPandas(write, SHARDS)
@@ -202,8 +202,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
 
 
 def vocabulary_size(path: str) -> int:
-    from gradeloom.llm.token_ids import encoder
-
     return len(encoder(path).last)
 
 
@@ -228,7 +226,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     schema = "doc_id long, part long, offset long, n_tokens long, ids_crc32 long"
-    return spark.read.schema(SHARDS).parquet(folder).mapInPandas(read, schema)
+    return with_null_ids(spark.read.schema(SHARDS).parquet(folder).mapInPandas(read, schema))
 
 
 def part_starts(spark: SparkSession, folder: str) -> DataFrame:

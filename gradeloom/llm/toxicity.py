@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.registry import beside, query, table
+from gradeloom.llm.registry import beside, query, shared_value, table
 from gradeloom.session import cut_lineage
 
 LABELLED_DOCS = 16_000
@@ -412,10 +412,10 @@ def train(docs: DataFrame, labels: DataFrame, learned: Column | None = None, mos
 
 def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Add ``score`` to ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = shared_value(docs.sparkSession, scorer)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Scorer(shared.value.decoder, shared.value.chances)
+        own = Scorer(shared().decoder, shared().chances)
         for column in columns:
             yield pd.Series([own.score(t) for t in column], dtype="float64")
 
