@@ -235,9 +235,9 @@ def with_hash_position(
     says how many there are. Blocks that are themselves many are carried in two levels.
     """
     rows = df.count() if rows is None else rows
-    digits = next(d for d in range(MOST_DIGITS + 1) if d == MOST_DIGITS or 2 * rows <= width * 16**d)
+    digits = next(d for d in range(1, MOST_DIGITS + 1) if d == MOST_DIGITS or 2 * rows <= width * 16**d)
     shuffled = df.withColumn("_digest", digest(seed, F.col(key)))
-    lead = F.conv(F.substring("_digest", 1, digits), 16, 10).cast("bigint") if digits else F.lit(0).cast("bigint")
+    lead = F.conv(F.substring("_digest", 1, digits), 16, 10).cast("bigint")
     levels = 1 if 16**digits <= BLOCK_ROWS else 2
     return with_position(shuffled, ["_digest", key], group, name, lead, width, levels).drop("_digest")
 
