@@ -222,12 +222,12 @@ def exchange_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("node", "name", _rounded("values").alias("values"))
 
 
-# Matrices: the vectors of a label, in number order, are the rows of its matrix.
+# Matrices: the vectors of a label, in number order, are the rows of its matrix; entries as they are stored.
 def _matrices(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).select(
+    return table(spark, sf, "embeddings").select(
         F.concat(F.lit("layers."), F.col("label").cast("string"), F.when(F.col("label") < 7, ".mlp").otherwise(".attn")).alias("name"),
         F.col("vec_id").alias("row"),
-        "values",
+        F.col("embedding").alias("values"),
     )
 
 
@@ -243,7 +243,8 @@ _NAME_SQL = "'layers.' || label || CASE WHEN label < 7 THEN '.mlp' ELSE '.attn'
 def svd_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
     """Decomposing and composing again gives back the matrix."""
     again = matrices.reconstruct(matrices.decompose(_matrices(spark, sf)))
-    return again.select("name", "row", _rounded("values").alias("values"))
+    whole = again.withColumn("values", F.col("values").cast("array<double>"))
+    return whole.select("name", "row", _rounded("values").alias("values"))
 
 
 # Products of the columns of a matrix: A^T A.

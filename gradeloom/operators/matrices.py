@@ -116,11 +116,12 @@ class Factors:
     """Parts of decomposed matrices; each is computed only where it is used.
 
     ``left(name, row, values)``, ``singular(name, values)``, ``right(name, row, values)``;
-    ``places(name, row)`` are the rows of the matrices. The first use of a side that the second
-    QR makes runs it.
+    ``places(name, row)`` are the rows of the matrices, ``floats`` says whether their entries are
+    stored in single precision. The first use of a side that the second QR makes runs it.
     """
 
     places: DataFrame
+    floats: bool
     singular: DataFrame
     sides: Callable[[], tuple[DataFrame, DataFrame]]
 
@@ -236,7 +237,8 @@ def decompose(matrices: DataFrame, block_rows: int = BLOCK) -> Factors:
 
         return chosen(left, right), chosen(right, left)
 
-    return Factors(given.select("name", "row"), singular, sides)
+    floats = matrices.schema["values"].dataType.simpleString() == "array<float>"
+    return Factors(given.select("name", "row"), floats, singular, sides)
 
 
 def _compose_rows(rows: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
@@ -299,6 +301,11 @@ def apply_composed(base: DataFrame, composed: DataFrame, part: str = "mlp") -> D
 
 
 def reconstruct(parts: Factors, block_rows: int = BLOCK) -> DataFrame:
-    """``U diag(S) V^T``: composing with a mask of ones."""
+    """``U diag(S) V^T``: composing with a mask of ones.
+
+    Entries stored in single precision come back in it, so the last bits that the factors
+    lose in double precision go and the entries are those given.
+    """
     ones = parts.singular.select("name", F.transform("values", lambda _: F.lit(1.0)).alias("values"))
-    return compose(parts, ones, block_rows).drop("degenerate")
+    again = compose(parts, ones, block_rows).drop("degenerate")
+    return again.withColumn("values", F.col("values").cast("array<float>")) if parts.floats else again
