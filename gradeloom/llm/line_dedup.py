@@ -17,7 +17,8 @@ of many lines. What stays of it: the words before its first window and behind it
 ``SPAN`` each), and passages without a whole window inside. ``op9_line_dedup``
 leaves passages alone, because its SQL knows chunks only; the pipeline removes them.
 
-Only hashes of chunks and windows are counted over the corpus, with partial sums before the shuffle;
+Only hashes of chunks and windows are counted over the corpus, with partial sums before the shuffle, and
+places are sent along once and kept of repeated hashes only;
 texts travel by document, where passages are removed those only that a map of bits marks as holding
 something repeated, and bytes of chunks only where their hash repeats.
 
@@ -216,13 +217,11 @@ def repeated_chunks(keyed: DataFrame, passages: bool) -> tuple[DataFrame, DataFr
     if passages:
         numbered = F.concat(numbered, let(windows_of, tokens_of(F.col("_text"))))
     hashed = with_chunks(keyed.select("_id", "_key", "_text"), "_text").select("_id", "_key", F.inline(numbered))
-    # Small rows, read four times: the texts are cut and hashed once.
+    # Small rows, read twice: the texts are cut and hashed once.
     hashed = written(hashed.where(F.col("_h").isNotNull()), "chunks")
-    place = F.struct("_id", "_key", "_i")
-    often = (
-        hashed.groupBy("_h").agg(F.count("*").alias("n"), F.min(place).alias("_first")).where("n > 1").drop("n")
-    )
-    found = hashed.join(often, "_h")
+    often = written(hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    # Three plans use these rows, each with other columns, so none would share the shuffle of all hashes with another.
+    found = written(hashed.join(often, "_h"), "found")
     # The bytes behind the repeated hashes, each text's once.
     listed = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("_i", "_h")).alias("_found"))
     keyed = with_flag(keyed, flags_of(listed.select("_id", "_key"))) if passages else keyed.withColumn("_flag", F.lit(True))
@@ -234,12 +233,16 @@ def repeated_chunks(keyed: DataFrame, passages: bool) -> tuple[DataFrame, DataFr
         .agg(F.lit(1).alias("one"))
     )
     same = shown.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    place = F.struct("_id", "_key", "_i")
+    firsts = found.groupBy("_h").agg(F.min(place).alias("_first"))
+    # Stored, so that the one join left may split a frequent hash over tasks.
+    known = written(firsts.join(same, "_h"), "firsts")
     first = F.col("_first")
     across = first["_id"].eqNullSafe(F.col("_id")) & (first["_key"] == F.col("_key")) & (
         F.col("_i") - first["_i"] < WINDOW
     )
     stays = F.when(F.col("_i") < WINDOWS, first.eqNullSafe(place)).otherwise(across)
-    lost = found.join(same, "_h").where(~stays).groupBy("_id", "_key").agg(F.collect_list("_i").alias("_removed"))
+    lost = found.join(known, "_h").where(~stays).groupBy("_id", "_key").agg(F.collect_list("_i").alias("_removed"))
     return lost, keyed
 
 

@@ -199,6 +199,14 @@ def test_repeated_passages_in_any_lines(spark):
     assert {r.doc_id for r in line_dedup.without_repeats(docs).collect()} == {1, 2, 3, 4, 6}
 
 
+def test_hashes_of_all_windows_are_not_read_again(spark):
+    """What is done with repeated hashes reads their rows only, not those of the whole corpus."""
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, f"other {text}"), (3, "a\nb\nc\nd")], "doc_id long, text string")
+    read = {f.split("/")[-2].split("-")[0] for f in line_dedup.dedup_lines(docs).inputFiles()}
+    assert "found" in read and "chunks" not in read
+
+
 def test_every_passage_of_fifty_words_is_found(spark):
     """Passages at any place of other texts lose all words between their first and last window."""
     made = random.Random(21)
