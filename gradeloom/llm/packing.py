@@ -31,6 +31,8 @@ WINDOW = 4096
 OPEN_WINDOWS = 32
 MERGED_PARTITIONS = 4
 END_ID = 2
+#: Characters encoded at once; the encoder's working arrays take about 40 bytes for each.
+ENCODED_AT_ONCE = 1_000_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -96,7 +98,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def encoded(texts: list[str | None], path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its ids and the end id) for each text."""
     tokens = encoder(path)
-    for a, b in batches_of(texts):
+    for a, b in batches_of(texts, ENCODED_AT_ONCE):
         ids, at = tokens.encode(texts[a:b])
         for i in range(a, b):
             yield i, np.append(ids[at[i - a] : at[i - a + 1]], np.array(END_ID, ids.dtype))

@@ -28,7 +28,7 @@ import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -293,6 +293,8 @@ def pieces(word: str) -> list[str]:
 
 
 KEPT_WORDS = 300_000
+KEPT_PIECES = 50_000  # words whose pieces a task remembers while it counts
+COUNTED_PIECES = 100_000  # pieces that a task counts before it hands the counts on
 
 
 class Scorer:
@@ -356,21 +358,42 @@ def learn(docs: DataFrame, labels: DataFrame, letters: LetterModel, most: int =
     return chances
 
 
+def count_pieces(
+    frames: Iterable[pd.DataFrame], decoder: Decoder, told: dict[str, float], most: int = COUNTED_PIECES
+) -> Iterator[pd.DataFrame]:
+    """Toxic and clean texts with each piece, of those that hold none of ``told``.
+
+    A piece's counts come in several rows: they go out whenever ``most`` pieces are counted.
+    """
+    of_word = functools.lru_cache(KEPT_PIECES)(pieces)
+    known: dict[str, tuple[str, ...]] = {}
+    toxic, clean = Counter(), Counter()
+    for frame in frames:
+        for text, label in zip(frame["text"], frame["toxic"]):
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            found = {p for w in restored_words(text, decoder, known) for p in of_word(w)}
+            # An empty piece, which no word has, counts the documents.
+            if told.keys().isdisjoint(found):
+                (toxic if label == 1 else clean).update(found | {""})
+            if len(toxic) + len(clean) >= most:
+                yield counted(toxic, clean)
+                toxic, clean = Counter(), Counter()
+    yield counted(toxic, clean)
+
+
+def counted(toxic: Counter, clean: Counter) -> pd.DataFrame:
+    names = [*toxic, *(p for p in clean if p not in toxic)]
+    return pd.DataFrame({"piece": names, "toxic": [toxic[p] for p in names], "clean": [clean[p] for p in names]})
+
+
 def _purest(rows: DataFrame, letters: LetterModel, told: dict[str, float], least: float) -> dict[str, float]:
     """Pieces with a share of ``least`` among the rows that hold none of ``told``."""
 
+    shared = shared_value(rows.sparkSession, Decoder(letters))
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, known = Decoder(letters), {}
-        of_word = functools.lru_cache(200_000)(pieces)
-        for frame in frames:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(frame["text"], frame["toxic"]):
-                found = {p for w in restored_words(text, decoder, known) for p in of_word(w)}
-                # An empty piece, which no word has, counts the documents.
-                if told.keys().isdisjoint(found):
-                    (toxic if label == 1 else clean).update(found | {""})
-            names = [*toxic, *(p for p in clean if p not in toxic)]
-            yield pd.DataFrame({"piece": names, "toxic": [toxic[p] for p in names], "clean": [clean[p] for p in names]})
+        yield from count_pieces(frames, shared(), told)
 
     counts = (
         rows.mapInPandas(count, "piece string, toxic long, clean long")

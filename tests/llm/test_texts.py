@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from rows import SF, no_docs, odd_docs, odd_texts  # noqa: F401
 from pyspark.sql import functions as F
@@ -134,6 +135,18 @@ def test_held_out_toxicity(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.9 * len(rows)
 
 
+def test_piece_counts_go_out_in_bounded_parts(scorer):
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} plain tones" for i in range(300)]
+    frame = pd.DataFrame({"text": texts, "toxic": [i % 2 for i in range(300)]})
+    parts = list(toxicity.count_pieces(iter([frame]), scorer.decoder, {}, most=50))
+    whole = list(toxicity.count_pieces(iter([frame]), scorer.decoder, {}, most=1 << 30))
+    assert len(whole) == 1 and len(parts) > 5
+    assert max(map(len, parts)) < 50 + 40  # a text has fewer than 40 pieces
+    sums = pd.concat(parts).groupby("piece").sum().sort_index()
+    assert sums.equals(whole[0].set_index("piece").sort_index())
+    assert sums.loc["", "toxic"] == 150 and sums.loc["=plain", "clean"] == 150
+
+
 def test_toxicity_of_odd_documents(spark, odd_docs, no_docs, scorer):
     rows = toxicity.score_texts(odd_docs, scorer)
     assert sorted(rows.columns) == sorted(odd_docs.columns) and rows.count() == odd_docs.count()

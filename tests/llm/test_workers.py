@@ -4,9 +4,10 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 from rows import SF, odd_texts  # noqa: F401
 
-from gradeloom.llm import packing, repair_shards
+from gradeloom.llm import packing, registry, repair_shards, token_ids
 from gradeloom.llm.decontaminate import scan
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -40,6 +41,33 @@ def test_workers_need_no_package(tmp_path):
     assert set(counts) == set(NAMES) and all(int(n) > 0 for n in counts.values())
 
 
+def test_values_of_other_stages_go(monkeypatch):
+    """A worker keeps what the running stage asks for, not the encoder of one long over."""
+    monkeypatch.delitem(sys.modules, "gradeloom_worker_values", raising=False)
+    made = []
+
+    def ask(stage, key):
+        task = type("Task", (), {"stageId": lambda self: stage})()
+        monkeypatch.setattr(registry, "TaskContext", type("Now", (), {"get": lambda: task}), raising=False)
+        registry.once_per_worker(key, lambda: made.append(key) or np.zeros(1))
+
+    for stage, key in [(1, "encoder"), (1, "powers"), (1, "encoder"), (2, "powers"), (3, "scorer"), (3, "scorer")]:
+        ask(stage, key)
+    assert made == ["encoder", "powers", "scorer"]
+    ask(3, "encoder")
+    assert made == ["encoder", "powers", "scorer", "encoder"]
+    monkeypatch.delitem(sys.modules, "gradeloom_worker_values")
+
+
+def test_working_arrays_of_the_encoder_stay_small(monkeypatch):
+    monkeypatch.delitem(sys.modules, "gradeloom_worker_values", raising=False)
+    texts = ["some plain words " * 6_000] * 50  # five million characters
+    found = sum(len(ids) for _, ids in packing.encoded(texts, token_ids.default_tokenizer()))
+    assert found == 50 * (3 * 6_000 + 1)
+    assert len(token_ids.powers(1)[0]) < 1_200_000
+    monkeypatch.delitem(sys.modules, "gradeloom_worker_values", raising=False)
+
+
 def test_null_and_large_ids(spark, tmp_path):
     big = 9007199254740993
     rows = [(None, "some words here"), (big, "more words"), (big + 1, None), (None, "last"), (-3, "b")]
