@@ -7,10 +7,11 @@ four steps, none of which loses a link:
 1. *Sets.* Numpy cuts the texts into words and hashes shingles to 64 bits; a class is known
    by a hash of its set. In the same pass a table of fixed size counts how often shingles
    fall into each of its slots, over all documents.
-2. *Candidate families.* Of n shingles, two sets that link share one of their first
-   n - ceil(0.8 n) + 1 in any order common to all; the order puts rare slots first, so that passages
-   shared by many come last. What stands behind the first common shingle bounds the overlap,
-   and so the sizes that a set can link with by it. Sets with such a shingle in common and
+2. *Candidate families.* The order of shingles, common to all sets, puts rare slots first, so that
+   passages shared by many come last. Each shingle that one of two sets lacks parts one pair of neighbours of
+   their overlap at most, so sets that link have a pair of neighbours in common, and among the first 0.4 n
+   of each; its place bounds the sizes that a set can link with by it. Two shingles side by side in both sets are
+   seldom chance, as one alone often is in a large corpus. Sets with such a pair in common and
    fitting sizes are put into one family: connected components of these contacts, found
    by contraction.
 3. *Search.* Families go to cells of bounded size, small ones together. A large one is dealt
@@ -47,6 +48,9 @@ PERCENT = 80
 SLOTS = 1 << 20  # of the table that ranks shingles; only speed depends on it
 FILTER_BITS = 1 << 26  # of the filter in front of the texts' shuffle; only speed depends on it
 SLICES = 64
+BUCKETS = 4  # of contact records, for each shuffle partition
+_SIZES = lambda kind: np.dtype([("low", "<u4"), ("high", "u1"), ("n", kind), ("reach", kind), ("a", "<i8")])
+NARROW, WIDE = _SIZES("<u2"), _SIZES("<u4")
 BLOCK = 800  # sets in a block of a cell
 BAND = 1.3  # ratio of sizes that a band spans; above 100 / PERCENT, so links reach the next band at most
 BATCH = 2_000_000  # characters of texts read together
@@ -149,13 +153,60 @@ def read_sets(docs: DataFrame, folder: str) -> None:
     docs.select("doc_id", "text").mapInPandas(run, READ).write.parquet(folder)
 
 
+def reach_of(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest size of a set that links and has its first unspoiled pair at this place of a set of this size.
+
+    Of sets of n and m shingles with Jaccard t, one lacks at most (n - t m) / (1 + t) of its own in the other and that one
+    (m - t n) / (1 + t). Each of them spoils one pair of neighbours in the overlap at most, so the first unspoiled pair
+    stands no further behind than twice the one plus the other.
+    """
+    far = ((200 - PERCENT) * size - (100 + PERCENT) * place) // (2 * PERCENT - 100)
+    return np.minimum(far, 100 * size // PERCENT)
+
+
+def records(h: np.ndarray, n: np.ndarray, reach: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One array of rows (low bits of h, n, reach, a), in two bytes a size where these do."""
+    found = np.empty(len(h), NARROW if not len(h) or max(n.max(), reach.max()) < 1 << 16 else WIDE)
+    found["low"], found["high"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) & np.uint64(0xFF)
+    found["n"], found["reach"], found["a"] = n, reach, key
+    return found
+
+
+def chained(parts: list[np.ndarray]) -> pd.DataFrame:
+    """Links (a, b) between the sets of one bucket's records."""
+    h = np.concatenate([p["high"].astype(np.int64) << 32 | p["low"] for p in parts])
+    order = np.argsort(h, kind="stable")
+    equal = h[order][1:] == h[order][:-1]
+    shared = np.zeros(len(h), bool)  # what one set alone has is passed over at once
+    shared[1:] |= equal
+    shared[:-1] |= equal
+    order = order[shared]
+    h = h[order]
+    n, reach, key = (np.concatenate([p[c].astype(np.int64) for p in parts])[order] for c in ("n", "reach", "a"))
+    order = np.lexsort((key, reach, n, h))
+    # A run holds sets that may reach each other; its leader, furthest reach and least size
+    # are all that the next row has to know.
+    last, furthest, least, leader = None, 0, 0, 0
+    pairs = set()
+    for value, size, far, key_ in zip(*(r[order].tolist() for r in (h, n, reach, key))):
+        if value != last or size > furthest:
+            last, furthest, least, leader = value, far, size, key_
+        elif far >= least:
+            furthest = max(furthest, far)
+            if key_ != leader:
+                pairs.add((leader, key_))
+    return pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
+
+
 def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Links (a, b) between sets that share a shingle of their prefixes and fit in size.
+    """Links (a, b) between sets that share two neighbours in their prefixes and fit in size.
 
-    Sets of equal size that share one within a batch are linked at once, and one of them goes on.
+    Sets of equal size that share them within a batch are linked at once, and one of them goes on.
+    Rows travel as records, those of one bucket of hashes and one batch together.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -174,11 +225,10 @@ def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 owner, value = owner[order], value[order]
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 size = n[owner]
-                head = place < size - (PERCENT * size + 99) // 100 + 1
-                owner, value, size = owner[head], value[head], size[head]
-                # If this is the first common shingle, the overlap is at most what stands here and behind;
-                # (100 + P) * overlap >= P * (sum of the sizes) bounds the other size.
-                reach = (100 + PERCENT) * (size - place[head]) // PERCENT - size
+                reach = reach_of(size, place)
+                head = np.flatnonzero((reach >= (PERCENT * size + 99) // 100) & (place + 1 < size))
+                owner, size, reach = owner[head], size[head], reach[head]
+                value = mixed(value[head] + mixed(value[head + 1], 13), 14)
                 key = keys[owner]
                 order = np.lexsort((key, -reach, size, value))
                 value, size, key, reach = value[order], size[order], key[order], reach[order]
@@ -190,52 +240,42 @@ def contacts(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 # A pair goes on as two rows that share a name of their own and reach each other.
                 name = mixed(pairs[:, 0].view(np.uint64) + mixed(pairs[:, 1].view(np.uint64), 11), 12)
                 one = np.ones(2 * len(pairs), np.int64)
+                h = np.concatenate([value[~same], name, name])
+                bucket = (h >> np.uint64(40)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                found = records(
+                    h[order],
+                    np.concatenate([size[~same], one])[order],
+                    np.concatenate([reach[~same], one])[order],
+                    np.concatenate([key[~same], pairs[:, 0], pairs[:, 1]])[order],
+                )
+                names, at = np.unique(bucket[order], return_index=True)
+                ends = [*at[1:].tolist(), len(found)]
                 yield pd.DataFrame(
                     {
-                        "h": np.concatenate([value[~same], name, name]).view(np.int64),
-                        "n": np.concatenate([size[~same], one]).astype(np.int32),
-                        "reach": np.concatenate([reach[~same], one]).astype(np.int32),
-                        "a": np.concatenate([key[~same], pairs[:, 0], pairs[:, 1]]),
+                        "bucket": names.astype(np.int32),
+                        "wide": found.dtype == WIDE,
+                        "records": [found[i:j].tobytes() for i, j in zip(at.tolist(), ends)],
                     }
                 )
 
     def chains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come ordered by shingle and size. A run holds sets that may reach each other; its
-        # leader, furthest reach and least size are all that the next row has to know.
-        last, furthest, least, leader = None, 0, 0, 0
-        held: tuple | None = None  # the last row of a batch, whose shingle may go on
+        now, parts = None, []
         for frame in frames:
-            h = frame["h"].to_numpy()
-            rows = [frame[c].to_numpy() for c in ("h", "n", "reach", "a")]
-            if held is not None:
-                rows = [np.concatenate([[x], r]) for x, r in zip(held, rows)]
-                h = rows[0]
-            if not len(h):
-                continue
-            equal = h[1:] == h[:-1]
-            shared = np.zeros(len(h), bool)  # shingles of one set alone are passed over at once
-            shared[1:] |= equal
-            shared[:-1] |= equal
-            shared[0] |= last is not None and h[0] == last
-            held = tuple(r[-1] for r in rows)
-            shared[-1] = False
-            pairs = set()
-            for value, n, reach, key in zip(*(r[shared].tolist() for r in rows)):
-                if value != last or n > furthest:
-                    last, furthest, least, leader = value, reach, n, key
-                elif reach >= least:
-                    furthest = max(furthest, reach)
-                    if key != leader:
-                        pairs.add((leader, key))
-            yield pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
-        if held is not None and held[0] == last and held[1] <= furthest and held[2] >= least and held[3] != leader:
-            yield pd.DataFrame([(leader, held[3])], columns=["a", "b"], dtype="int64")
+            for bucket, wide, rows in zip(frame["bucket"].tolist(), frame["wide"].tolist(), frame["records"]):
+                if bucket != now and parts:
+                    yield chained(parts)
+                    parts = []
+                now = bucket
+                parts.append(np.frombuffer(rows, WIDE if wide else NARROW))
+        if parts:
+            yield chained(parts)
 
     return (
         docs.select("doc_id", "text")
-        .mapInPandas(prefixes, "h long, n int, reach int, a long")
-        .repartition("h")
-        .sortWithinPartitions("h", "n", "reach", "a")
+        .mapInPandas(prefixes, "bucket int, wide boolean, records binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
         .mapInPandas(chains, "a long, b long")
     )
 

@@ -75,6 +75,61 @@ def test_all_links_are_found(spark, copies, block, monkeypatch):
     assert len({r[2] for r in want}) < len(want) - 30
 
 
+def test_chance_shingles_make_no_family(spark):
+    """Texts in a ring share five single shingles with the next, which the order cannot tell from others."""
+    import numpy as np
+
+    made = random.Random(11)
+    word = lambda: "".join(made.choice("abcdefghij") for _ in range(8))
+    runs = [[" ".join(word() for _ in range(5)) for _ in range(5)] for _ in range(60)]
+    rows = []
+    for i in range(60):
+        shared = [*runs[i], *runs[i - 1]]
+        made.shuffle(shared)
+        rows.append((i, " ".join(" ".join([*(word() for _ in range(15)), run]) for run in shared)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert set_join.contacts(docs, np.zeros(set_join.SLOTS, np.uint32)).count() <= 3
+    near = [(100 + i, f"{text} {word()}") for i, text in rows]
+    docs = docs.union(spark.createDataFrame(near, docs.schema))
+    found = components(set_join.contacts(docs, np.zeros(set_join.SLOTS, np.uint32)))
+    assert found.count() == 120 and found.groupBy("root").count().where("count > 4").isEmpty()
+
+
+def test_sets_that_link_share_neighbours_in_reach():
+    import numpy as np
+
+    made = random.Random(5)
+    met = 0
+    for _ in range(4000):
+        n = made.randint(4, 60)
+        kept = made.sample(range(n), n - made.randint(0, n // 5))
+        a, b = [*range(n)], [*kept, *range(100, 100 + made.randint(0, n // 4))]
+        if len(kept) == len(a) == len(b) or 100 * len(kept) < 80 * (len(a) + len(b) - len(kept)):
+            continue
+        order = made.sample(range(200), 200)
+        a, b = (sorted(s, key=order.__getitem__) for s in (a, b))
+        far = [set_join.reach_of(np.full(len(s), len(s)), np.arange(len(s))) for s in (a, b)]
+        heads = [
+            {pair for pair, reach in zip(zip(s, s[1:]), f) if reach >= len(other)}
+            for s, f, other in ((a, far[0], b), (b, far[1], a))
+        ]
+        assert heads[0] & heads[1]
+        met += 1
+    assert met > 500
+
+
+def test_records_of_wide_sets():
+    import numpy as np
+
+    h = np.array([7 << 41 | 5, 7 << 41 | 5, 9], np.uint64)
+    one = np.array([1, 2, 3])
+    wide = set_join.records(h, np.array([70000, 70001, 1]), np.array([87500, 87501, 1]), one)
+    narrow = set_join.records(h, np.array([6, 7, 1]), np.array([7, 8, 1]), one + 3)
+    assert (wide.dtype, narrow.dtype) == (set_join.WIDE, set_join.NARROW)
+    found = set_join.chained([wide, narrow])
+    assert sorted(map(tuple, found.to_numpy().tolist())) == [(1, 2), (3, 6), (4, 5)]
+
+
 def test_links_of_odd_documents(odd_docs, odd_texts):
     rows = [*enumerate(odd_texts), (5, odd_texts[5])]
     assert linked(set_join.link(odd_docs)) == sorted(brute_links(rows))
